@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table, utc
-from . import cuts, looks, subwords
+from . import cuts, garbles, languages, leaks, looks, subwords
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,8 +17,14 @@ def queries() -> dict[str, Query]:
     return {
         "p2_found": lambda s, d: cuts.cut_values(t(s, d, "papers", "seq", "source", "abstract", "snippet")),
         "p2_report": lambda s, d: cuts.cut_report(t(s, d, "papers", "seq", "source", "abstract", "snippet")),
+        "p3_found": lambda s, d: garbles.garbled_values(t(s, d, "scraped_pages", "page_id", "title", "abstract", "authors")),
+        "p3_restored": lambda s, d: garbles.mended(t(s, d, "scraped_pages", "page_id", "title", "abstract", "authors")).where("garbled"),
+        "p7_found": lambda s, d: languages.found(t(s, d, "papers", "seq", "title", "abstract", "metadata")),
+        "p7_labels": lambda s, d: languages.relabelled(t(s, d, "papers", "seq", "title", "abstract", "metadata")).select("seq", "label", "main", "title_lang", "title_conf", "langs", "affected"),
         "p8_ids": lambda s, d: subwords.encoded(t(s, d, "documents", "doc_id", "text")),
         "p8_round_trip": lambda s, d: subwords.decoded(subwords.encoded(t(s, d, "documents", "doc_id", "text"))),
+        "p9_found": lambda s, d: leaks.leaked(t(s, d, "documents", "doc_id", "text"), t(s, d, "eval_items", "item_id", "text")).select("item_id", "doc_id"),
+        "p9_clean": lambda s, d: leaks.without_leaks(t(s, d, "documents"), t(s, d, "eval_items", "item_id", "text")).select("doc_id", "source", "n_chars"),
         "p10_found": lambda s, d: looks.look_alikes(t(s, d, "documents", "doc_id", "text")),
         "p10_texts": lambda s, d: looks.normalised(t(s, d, "documents", "doc_id", "text")),
     }
