@@ -8,19 +8,40 @@ last sentence counts as whole only if whole sentences that open like it end like
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import checkpointed
 from .genuine import genuine_text
 
-MARK = r"(?i)(?<!\betc)(?<!\betc\.)(?<!\betc\.\.)(\.\s?\.\s?\.|…)\s*[\])]?(\s*\p{L}+){0,3}\s*[\])]?$|[\[(](\.\s?\.\s?\.|…|cont(inúa|inua|inues|\.)?|more|más|sigue|truncated|truncado)[\])]$|\b(ver más|leer más|read more|see more|ler mais|lire la suite|texto completo|descripción completa)$"
-TAIL = r"(<(/?[a-zA-Z][^<>\s]{0,40})?>?|&(#?\w{0,6};?)|[\"“”«»'’\s ])+$"
-ENDED = r"[.!?]$"
-LABELLED = r"^\p{Lu}[\p{L}-]+(\s\p{L}+)?\s?:\s"
-LINK = r"\shttps?://[^\s]+$"
+L = r"[^\W\d_]"
+OMITTED = r"(?:\.\s?\.\s?\.|…)"
+MARK = re.compile(
+    rf"(?<!\betc)(?<!\betc\.)(?<!\betc\.\.){OMITTED}\s*[\])]?(?:\s*{L}+){{0,3}}\s*[\])]?$|[\[(](?:{OMITTED}|cont(?:inúa|inua|inues|\.)?|more|más|sigue|truncated|truncado)[\])]$"
+    r"|\b(?:ver más|leer más|read more|see more|ler mais|lire la suite|texto completo|descripción completa)$",
+    re.IGNORECASE,
+)
+TAGS = re.compile(r"</?[a-zA-Z][^<>]*>|&nbsp;")
+LAST_TAGS = re.compile(r"(?:</?[a-zA-Z][^<>\s]{0,40}>|\s)+$")
+TAIL = re.compile(r"(?:<(?:/?[a-zA-Z][^<>\s]{0,40})?>?|&#?\w{0,6};?|[\"“”«»'’\s])+$")
+BREAK = re.compile(r"([.!?][\"”»)]?)\s+(?=[A-ZÀ-ÖØ-Þ¿¡«“\"(\[])")
+LABELLED = re.compile(rf"([A-ZÀ-ÖØ-Þ](?:{L}|-)+(?:\s{L}+)?)\s?:\s")
+LINK = re.compile(r"\shttps?://\S+$")
+LONE_DIGIT = re.compile(rf"(?:^|[^\W\d_]\s|<\s)\d\.$")
+NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+NAMES = re.compile(rf"(?<=[\s'’])[A-ZÀ-ÖØ-Þ](?:{L}|-)*(?:\s[A-ZÀ-ÖØ-Þ](?:{L}|-)*)*")
+OPENING = re.compile(r"[^,]{3,24},\s(?=[a-zß-ÿ])")
+SCANNED = {
+    "seq": pa.int64(), "source": pa.string(), "field": pa.string(), "size": pa.int32(), "octets": pa.int32(), "ends": pa.string(),
+    "keys": pa.list_(pa.int64()), "sure": pa.bool_(), "label": pa.string(), "end": pa.string(), "key": pa.int64(),
+}
 FACTS = r"\s\|\s"
-SENTENCES = r"(?<=[.!?])[\"”»)]?\s+(?=[\p{Lu}¿¡«“\"(\[])"
 
 
 def values(papers: DataFrame, *columns: str) -> DataFrame:
@@ -32,25 +53,60 @@ def values(papers: DataFrame, *columns: str) -> DataFrame:
     return rows.select("seq", "source", "x.field", "x.value").where(genuine_text(F.col("value")) & ~F.col("value").rlike(FACTS))
 
 
-def _bare(column: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(column, r"</?[a-zA-Z][^<>]*>|&nbsp;", " "), TAIL, "")
-
+def _hash(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\x1f".join(parts)) - (1 << 63)
 
-def _shape(sentence: Column) -> Column:
-    """Numbers as 0 and runs of capitalised words as P, without an opening phrase before a comma or the final stop."""
-    plain = F.regexp_replace(F.trim(sentence), r"\.$", "")
-    plain = F.regexp_replace(plain, r"\d+([.,]\d+)*", "0")
-    plain = F.regexp_replace(plain, r"^[^,]{3,24},\s(?=\p{Ll})", "")
-    return F.lower(F.regexp_replace(plain, r"(?<=[\s'’])\p{Lu}[\p{L}-]*(\s\p{Lu}[\p{L}-]*)*", "P"))
 
+def keys(sentence: str) -> tuple[int, int, int, int]:
+    """What a sentence opens and ends like (four and two words), its very last word, and its number of words.
 
-def _keys(frame: DataFrame) -> DataFrame:
-    """Columns near and wide (opening and ending of the sentence) and word (its very last word)."""
-    words = F.split(_shape(F.col("sentence")), r"\s+")
-    opening = F.array_join(F.slice(words, 1, 3), " ")
-    last = lambda n: F.array_join(F.slice(words, -F.least(F.lit(n), F.size(words)), n), " ")
-    word = F.regexp_extract("sentence", r"([^\s'’]+?)[.]?$", 1)
-    return frame.withColumns({"near": F.xxhash64(opening, last(4)), "wide": F.xxhash64(opening, last(2)), "word": F.xxhash64(F.lower(F.regexp_replace(word, r"\d+([.,]\d+)*", "0"))), "n_words": F.size(words)})
+    Numbers are one word and so are runs of capitalised words; an opening phrase before a comma does not count.
+    """
+    plain = OPENING.sub("", sentence, count=1) if OPENING.match(sentence) else sentence
+    words = plain.split(" ")
+    head = NAMES.sub("P", NUMBER.sub("0", " ".join(words[:7]))).lower().split(" ")[:3]
+    tail = NAMES.sub("P", NUMBER.sub("0", " " + " ".join(words[-8:]).removesuffix("."))).lower().split(" ")[-4:]
+    last = re.split(r"[\s'’]", words[-1])[-1].removesuffix(".").lower()
+    opening = " ".join(head)
+    return _hash("near", opening, " ".join(tail)), _hash("wide", opening, " ".join(tail[-2:])), _hash("word", NUMBER.sub("0", last)), len(words)
+
+
+def _read(value: str, whole: set[int]) -> tuple[str, str | None]:
+    """How a value ends (mark, stop or open) and its unfinished last sentence; keys of its whole sentences go to ``whole``."""
+    text = TAGS.sub(" ", value) if "<" in value or "&" in value else value
+    head, tail = text[:-90], text[-90:]
+    bare = (head + TAIL.sub("", tail)).rstrip()
+    marked = bool(MARK.search(LAST_TAGS.sub("", value[-90:])) or MARK.search(bare[-60:]))
+    stop = bare[-1:] in (".", "!", "?") and not LONE_DIGIT.search(bare[-8:])
+    parts = BREAK.sub("\\1\x01", bare).split("\x01")
+    for part in parts[: None if stop and not marked else -1]:
+        whole.update(keys(part)[:3])
+    return ("mark" if marked else "stop" if stop else "open"), (None if marked or stop else parts[-1])
+
+
+def _scanned(rows: DataFrame) -> DataFrame:
+    """One pass over the texts: a row for each value, and the distinct keys of whole sentences in each batch as rows without ``seq``."""
+
+    def batches(record_batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in record_batches:
+            whole: set[int] = set()
+            out = []
+            for seq, source, field, value in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                ends, open_part = _read(value, whole)
+                row = [seq, source, field, len(value), len(value.encode("utf-8", "replace")), ends, None, None, None, None, None]
+                if open_part is not None:
+                    near, wide, word, n = keys(open_part)
+                    label = LABELLED.match(open_part)
+                    blank = value[-1:].isspace() and value.rstrip()[-1:].isalpha()
+                    sure = True if LINK.search(open_part) else False if blank or n <= 3 else None
+                    row[6:] = [[near, wide, word], sure, label[1].lower() if label else None, " ".join(open_part.split(" ")[-2:]).lower(), None]
+                out.append(row)
+            out += [[None, None, None, None, None, None, None, None, None, None, key] for key in whole]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), SCANNED.values(), strict=True)], list(SCANNED))
+
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean", pa.list_(pa.int64()): "array<long>"}
+    return rows.select("seq", "source", "field", "value").mapInArrow(batches, ", ".join(f"{name} {kinds[kind]}" for name, kind in SCANNED.items()))
 
 
 def limits(rows: DataFrame, least: int = 5, factor: float = 4.0) -> DataFrame:
@@ -61,7 +117,7 @@ def limits(rows: DataFrame, least: int = 5, factor: float = 4.0) -> DataFrame:
     length, so its windows stay small however many values a source has. ``unit`` is chars or bytes. A source without a spike has no row.
     """
     sized = rows.select("source", "field", F.explode(F.array(
-        F.struct(F.lit("chars").alias("unit"), F.length("value").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.octet_length("value").alias("size")),
+        F.struct(F.lit("chars").alias("unit"), F.col("size").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("octets").alias("size")),
     )).alias("x")).select("source", "field", "x.*")
     histogram = sized.groupBy("source", "field", "unit", "size").agg(F.count("*").alias("n"))
     by = W.partitionBy("source", "field", "unit").orderBy("size")
@@ -71,39 +127,27 @@ def limits(rows: DataFrame, least: int = 5, factor: float = 4.0) -> DataFrame:
 
 
 def judged(papers: DataFrame, *columns: str) -> DataFrame:
-    """(seq, source, field, size, how): every text value; ``how`` is limit, mark, broken or null for a whole one.
+    """(seq, source, field, size, octets, how): every text value; ``how`` is limit, mark, broken or null for a whole one.
 
-    Null, empty, placeholder and notice values and lists of facts have no row. Repeated rows keep their own.
+    Null, empty, placeholder and notice values and lists of facts have no row. Repeated rows keep their own. The texts are read
+    once; what is known of them is a few numbers a value, written to the checkpoint folder.
     """
-    rows = values(papers, *(columns or ("abstract", "snippet")))
-    text = rows.withColumn("bare", _bare(F.col("value"))).withColumns(
-        {
-            "mark": F.regexp_replace(F.rtrim("value"), r"(</?[a-zA-Z][^<>\s]{0,40}>|\s)+$", "").rlike(MARK) | F.col("bare").rlike(MARK),
-            "parts": F.split("bare", SENTENCES),
-            "size": F.length("value"),
-            "octets": F.octet_length("value"),
-            "blank_end": F.col("value").rlike(r"\p{L}\s+$"),
-        }
-    )
-    text = text.withColumn("sentence", F.element_at("parts", -1)).withColumn("stop", F.col("bare").rlike(ENDED) & ~F.col("bare").rlike(r"(?<!\p{L}{3,20}\s)\d\.$"))
-    whole = _keys(
-        text.select("size", F.explode(F.when(F.col("mark") | ~F.col("stop"), F.slice("parts", 1, F.size("parts") - 1)).otherwise(F.col("parts"))).alias("sentence"))
-    )
-    near, wide, word = (whole.groupBy(k).agg(F.count("*").alias(f"n_{k}")) for k in ("near", "wide", "word"))
-    unsure = _keys(text.where(~F.col("mark") & ~F.col("stop")).select("seq", "source", "field", "size", "octets", "blank_end", "sentence"))
-    unsure = unsure.withColumns({"label": F.when(F.col("sentence").rlike(LABELLED), F.lower(F.substring_index("sentence", ":", 1))), "end": F.lower(F.substring_index(F.col("sentence"), " ", -2))})
+    scanned = checkpointed(_scanned(values(papers, *(columns or ("abstract", "snippet")))))
+    rows = scanned.where("seq is not null")
+    known = scanned.where("key is not null").select("key").distinct()
+    unsure = rows.where("ends = 'open'").drop("key", "ends").withColumn("row", F.monotonically_increasing_id())
+    asked = unsure.where("sure is null and label is null").select("row", F.posexplode("keys").alias("kind", "key"))
+    seen = asked.join(known, "key").groupBy("row").agg(F.bool_or(F.col("kind") < 2).alias("alike"), F.bool_or(F.col("kind") == 2).alias("ended"))
     lists = unsure.where("label is not null").groupBy("label", "end").agg(F.count("*").alias("n_end"))
     lists = lists.join(lists.groupBy("label").agg(F.sum("n_end").alias("n_label")), "label").where("n_end >= 2 and n_end * 20 >= n_label").select("label", "end", F.lit(True).alias("usual"))
     spikes = limits(rows)
     chars = spikes.where("unit = 'chars'").select("source", "field", F.col("size").alias("limit_chars"))
     octets = spikes.where("unit = 'bytes'").select("source", "field", F.col("size").alias("limit_bytes"))
-    unsure = unsure.join(near, "near", "left").join(wide, "wide", "left").join(word, "word", "left").join(lists, ["label", "end"], "left")
-    unsure = unsure.join(chars, ["source", "field"], "left").join(octets, ["source", "field"], "left")
+    unsure = unsure.join(seen, "row", "left").join(lists, ["label", "end"], "left").join(chars, ["source", "field"], "left").join(octets, ["source", "field"], "left")
     at_limit = F.coalesce(F.col("size") == F.col("limit_chars"), F.lit(False)) | F.coalesce(F.col("octets") == F.col("limit_bytes"), F.lit(False))
-    ended = F.coalesce("n_word", F.lit(0)) > 0
-    finished = F.when(F.col("label").isNotNull(), F.coalesce("usual", F.lit(False))).otherwise(ended & ((F.coalesce("n_near", F.lit(0)) > 0) | (F.coalesce("n_wide", F.lit(0)) > 0)) & (F.col("n_words") > 3)) | F.col("sentence").rlike(LINK)
-    broken = unsure.select("seq", "source", "field", "size", F.when(at_limit, "limit").when(~finished | F.col("blank_end"), "broken").alias("how"))
-    sure = text.where(F.col("mark") | F.col("stop")).select("seq", "source", "field", "size", F.when(F.col("mark"), "mark").alias("how"))
+    finished = F.when(F.col("label").isNotNull(), F.coalesce("usual", F.lit(False))).otherwise(F.coalesce("sure", F.col("alike") & F.col("ended"), F.lit(False)))
+    broken = unsure.select("seq", "source", "field", "size", "octets", F.when(at_limit, "limit").when(~finished, "broken").alias("how"))
+    sure = rows.where("ends <> 'open'").select("seq", "source", "field", "size", "octets", F.when(F.col("ends") == "mark", "mark").alias("how"))
     return sure.unionByName(broken)
 
 
@@ -114,10 +158,11 @@ def cut_values(papers: DataFrame) -> DataFrame:
 
 def cut_report(papers: DataFrame) -> DataFrame:
     """Per source and field: values, cut ones by kind, the percentage of cut ones and the limits found; sources without text have no row."""
-    spikes = limits(values(papers, "abstract", "snippet")).groupBy("source", "field").agg(
+    rows = judged(papers)
+    spikes = limits(rows).groupBy("source", "field").agg(
         F.max(F.when(F.col("unit") == "chars", F.col("size"))).alias("limit_chars"), F.max(F.when(F.col("unit") == "bytes", F.col("size"))).alias("limit_bytes")
     )
-    counts = judged(papers).groupBy("source", "field").agg(
+    counts = rows.groupBy("source", "field").agg(
         F.count("*").alias("n_values"), F.count("how").alias("n_cut"),
         F.count_if(F.col("how") == "mark").alias("n_marked"), F.count_if(F.col("how") == "limit").alias("n_at_limit"), F.count_if(F.col("how") == "broken").alias("n_broken"),
     )
