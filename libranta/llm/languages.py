@@ -114,12 +114,14 @@ class Model:
 
 
 def training_counts(papers: DataFrame, sample_rows: int = 20_000, words: int = 60_000) -> list[tuple[str, str, int]]:
-    """Word counts by label over the first ``sample_rows`` labelled rows in hash order: the bounded training sample.
+    """Word counts by label over the labelled ones among ``sample_rows`` rows chosen by hash: the bounded training sample.
 
     At most ``words`` commonest (word, language) pairs come to the driver.
     """
     labelled = papers.select("seq", F.col("abstract").alias("text"), label_language(F.col("metadata")["language"]).alias("language"))
-    sample = labelled.where(F.col("language").isNotNull() & genuine_text(F.col("text"))).orderBy(F.xxhash64("seq"), "seq").limit(sample_rows)
+    share = min(1.0, sample_rows / max(1, papers.count()))
+    labelled = labelled.where(F.pmod(F.xxhash64("seq"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    sample = labelled.where(F.col("language").isNotNull() & genuine_text(F.col("text")))
     tokens = sample.select("language", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     counts = tokens.groupBy("word", "language").agg(F.count("*").alias("n")).where("n >= 2")
     return [(r["word"], r["language"], r["n"]) for r in counts.orderBy(F.desc("n"), "word", "language").limit(words).collect()]

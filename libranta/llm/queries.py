@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table, utc
-from . import cuts, garbles, languages, leaks, looks, subwords
+from . import cuts, garbles, languages, leaks, looks, scans, spellings, subwords
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,9 @@ def queries() -> dict[str, Query]:
         "p2_report": lambda s, d: cuts.cut_report(t(s, d, "papers", "seq", "source", "abstract", "snippet")),
         "p3_found": lambda s, d: garbles.garbled_values(t(s, d, "scraped_pages", "page_id", "title", "abstract", "authors")),
         "p3_restored": lambda s, d: garbles.mended(t(s, d, "scraped_pages", "page_id", "title", "abstract", "authors")).where("garbled"),
+        "p5_found": lambda s, d: spellings.linked(t(s, d, "papers", "authors", "university")),
+        "p6_found": lambda s, d: scans.noises(t(s, d, "pdf_texts", "file_id", "text"), t(s, d, "markdown_results", "md_id", "markdown")),
+        "p6_repaired": lambda s, d: scans.repaired(t(s, d, "pdf_texts", "file_id", "text"), t(s, d, "markdown_results", "md_id", "markdown")),
         "p7_found": lambda s, d: languages.found(t(s, d, "papers", "seq", "title", "abstract", "metadata")),
         "p7_labels": lambda s, d: languages.relabelled(t(s, d, "papers", "seq", "title", "abstract", "metadata")).select("seq", "label", "main", "title_lang", "title_conf", "langs", "affected"),
         "p8_ids": lambda s, d: subwords.encoded(t(s, d, "documents", "doc_id", "text")),
