@@ -35,12 +35,13 @@ TRANSLATED = {
 TYPE_WORDS = {*TRANSLATED.values(), "pontificia", "escuela"}
 PART = re.compile(r"^(facultad|fac|faculty|escuela|school|dpto|depto|departamento|department|sede|campus|seccion|centro|programa|filial)\b")
 ACRONYM = re.compile(r"^(?:[A-Z]{3,8}|(?:[A-Z]\.){3,8})$")
+MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff]+")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def plain(text: str) -> str:
     """Without accents and case."""
-    return "".join(c for c in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(c))
+    return text.lower() if text.isascii() else MARKS.sub("", unicodedata.normalize("NFKD", text.casefold()))
 
 
 class Trie:
@@ -78,14 +79,21 @@ class Trie:
 
 
 def _edits(a: str, b: str) -> int:
-    """0, 1 or 2 (two or more edits)."""
+    """0, 1 or 2 (two or more edits), by what two words share at either end."""
     if a == b:
         return 0
-    if abs(len(a) - len(b)) > 1:
+    n, m = len(a), len(b)
+    if abs(n - m) > 1:
         return 2
-    trie = Trie()
-    trie.add(a, 1)
-    return 1 if trie.near(b) else 2
+    head = 0
+    while head < min(n, m) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(n, m) - head and a[n - 1 - tail] == b[m - 1 - tail]:
+        tail += 1
+    if head + tail >= max(n, m) - 1:
+        return 1
+    return 1 if n == m == head + tail + 2 and a[head] == b[head + 1] and a[head + 1] == b[head] else 2
 
 
 def names_of(papers: DataFrame) -> DataFrame:
