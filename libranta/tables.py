@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+_written: list[tuple[SparkSession, str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The parquet table ``name`` under ``sf_dir``, with only ``columns`` if any are given."""
@@ -23,13 +28,36 @@ def utc(frame: DataFrame) -> DataFrame:
     return frame
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = os.path.join(tempfile.gettempdir(), f"libranta-{spark.sparkContext.applicationId}")
+        if all(path != folder for _, path in _written):
+            _written.append((spark, folder))
+    return folder
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
-    """``frame`` written once to the folder in spark.checkpoint.dir, so that later stages survive lost executors.
+    """``frame`` written once, compressed, as a table in the shared folder, so that later stages survive lost executors.
 
-    Only where that setting is absent (tests, a single machine) a temporary folder is taken.
+    Tables are removed when the application ends.
     """
-    context = frame.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        where = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "libranta-checkpoints"))
-    return frame.checkpoint()
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/libranta-{uuid4().hex}"
+    frame.write.parquet(path)
+    _written.append((spark, path))
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+@atexit.register
+def _remove() -> None:
+    for spark, path in _written:
+        if "://" not in path and not path.startswith("file:"):
+            shutil.rmtree(path, ignore_errors=True)
+            continue
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the application may be gone
+            return
