@@ -325,7 +325,7 @@ def linked(papers: DataFrame) -> DataFrame:
             for kind, name, n, fixes, known in zip(frame["kind"], frame["name"], frame["n"], frame["right"], frame["given"], strict=True):
                 fix = {x["word"]: x["right"] for x in fixes}
                 if kind == "author":
-                    g, s = taken_apart(name, fix, {*known, *NICKNAMES})
+                    g, s = taken_apart(name, fix, {*known, *NICKNAMES, *NICKNAMES.values()})
                     out.append((kind, name, n, s[0] if s else "", g, s, "", ""))
                 else:
                     type_, place, acronym = parted(name, fix)
