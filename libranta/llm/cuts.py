@@ -36,6 +36,7 @@ LINK = re.compile(r"\shttps?://\S+$")
 LONE_DIGIT = re.compile(rf"(?:^|[^\W\d_]\s|<\s)\d\.$")
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 NAMES = re.compile(rf"(?<=[\s'’])[A-ZÀ-ÖØ-Þ](?:{L}|-)*(?:\s[A-ZÀ-ÖØ-Þ](?:{L}|-)*)*")
+LAST_WORD = re.compile(r"[^\s'’]*$")
 OPENING = re.compile(r"[^,]{3,24},\s(?=[a-zß-ÿ])")
 SCANNED = {
     "seq": pa.int64(), "source": pa.string(), "field": pa.string(), "size": pa.int32(), "octets": pa.int32(), "ends": pa.string(),
@@ -57,18 +58,24 @@ def _hash(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(parts)) - (1 << 63)
 
 
-def keys(sentence: str) -> tuple[int, int, int, int]:
-    """What a sentence opens and ends like (four and two words), its very last word, and its number of words.
+def keys(sentence: str) -> tuple[int, int, int]:
+    """What a sentence opens and ends like (three and two words), its very last word, and its number of words.
 
     Numbers are one word and so are runs of capitalised words; an opening phrase before a comma does not count.
     """
-    plain = OPENING.sub("", sentence, count=1) if OPENING.match(sentence) else sentence
-    words = plain.split(" ")
-    head = NAMES.sub("P", NUMBER.sub("0", " ".join(words[:7]))).lower().split(" ")[:3]
-    tail = NAMES.sub("P", NUMBER.sub("0", " " + " ".join(words[-8:]).removesuffix("."))).lower().split(" ")[-4:]
-    last = re.split(r"[\s'’]", words[-1])[-1].removesuffix(".").lower()
-    opening = " ".join(head)
-    return _hash("near", opening, " ".join(tail)), _hash("wide", opening, " ".join(tail[-2:])), _hash("word", NUMBER.sub("0", last)), len(words)
+    opening = OPENING.match(sentence)
+    words = (sentence[opening.end() :] if opening else sentence).split(" ")
+    head = _shape(" ".join(words[:7])).split(" ", 3)[:3]
+    tail = _shape(" " + " ".join(words[-6:]).removesuffix(".")).split(" ")[-2:]
+    last = LAST_WORD.search(words[-1])[0].removesuffix(".").lower()
+    return _hash(*head, *tail), _hash("word", NUMBER.sub("0", last) if last[-1:].isdigit() else last), len(words)
+
+
+def _shape(part: str) -> str:
+    low = part.lower()
+    if part[1:] != low[1:]:
+        low = NAMES.sub("P", part).lower()
+    return NUMBER.sub("0", low)
 
 
 def _read(value: str, whole: set[int]) -> tuple[str, str | None]:
@@ -80,7 +87,7 @@ def _read(value: str, whole: set[int]) -> tuple[str, str | None]:
     stop = bare[-1:] in (".", "!", "?") and not LONE_DIGIT.search(bare[-8:])
     parts = BREAK.sub("\\1\x01", bare).split("\x01")
     for part in parts[: None if stop and not marked else -1]:
-        whole.update(keys(part)[:3])
+        whole.update(keys(part)[:2])
     return ("mark" if marked else "stop" if stop else "open"), (None if marked or stop else parts[-1])
 
 
@@ -95,11 +102,11 @@ def _scanned(rows: DataFrame) -> DataFrame:
                 ends, open_part = _read(value, whole)
                 row = [seq, source, field, len(value), len(value.encode("utf-8", "replace")), ends, None, None, None, None, None]
                 if open_part is not None:
-                    near, wide, word, n = keys(open_part)
+                    alike, word, n = keys(open_part)
                     label = LABELLED.match(open_part)
                     blank = value[-1:].isspace() and value.rstrip()[-1:].isalpha()
                     sure = True if LINK.search(open_part) else False if blank or n <= 3 else None
-                    row[6:] = [[near, wide, word], sure, label[1].lower() if label else None, " ".join(open_part.split(" ")[-2:]).lower(), None]
+                    row[6:] = [[alike, word], sure, label[1].lower() if label else None, " ".join(open_part.split(" ")[-2:]).lower(), None]
                 out.append(row)
             out += [[None, None, None, None, None, None, None, None, None, None, key] for key in whole]
             if out:
@@ -137,7 +144,7 @@ def judged(papers: DataFrame, *columns: str) -> DataFrame:
     known = scanned.where("key is not null").select("key").distinct()
     unsure = rows.where("ends = 'open'").drop("key", "ends").withColumn("row", F.monotonically_increasing_id())
     asked = unsure.where("sure is null and label is null").select("row", F.posexplode("keys").alias("kind", "key"))
-    seen = asked.join(known, "key").groupBy("row").agg(F.bool_or(F.col("kind") < 2).alias("alike"), F.bool_or(F.col("kind") == 2).alias("ended"))
+    seen = asked.join(known, "key").groupBy("row").agg(F.bool_or(F.col("kind") == 0).alias("alike"), F.bool_or(F.col("kind") == 1).alias("ended"))
     lists = unsure.where("label is not null").groupBy("label", "end").agg(F.count("*").alias("n_end"))
     lists = lists.join(lists.groupBy("label").agg(F.sum("n_end").alias("n_label")), "label").where("n_end >= 2 and n_end * 20 >= n_label").select("label", "end", F.lit(True).alias("usual"))
     spikes = limits(rows)
