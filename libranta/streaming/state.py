@@ -45,21 +45,23 @@ def breaker(events: DataFrame, key: str, ts: str, order: str, failed: str, thres
 def cached(events: DataFrame, key: str, ts: str, order: str, ttl_micros: int = 300_000_000) -> DataFrame:
     """(key, order, hit): whether each read finds an entry younger than the time to live, counted from its writing."""
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["at", "o"])
-        written, hits = None, []
-        for at in part["at"]:
-            hit = written is not None and at - written < ttl_micros
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["k", "part", "at", "o"])
+        group, written, hits = None, 0, []
+        for k, part, at in zip(frame["k"].tolist(), frame["part"].tolist(), frame["at"].tolist(), strict=True):
+            hit = (k, part) == group and at - written < ttl_micros
             if not hit:
-                written = at
+                group, written = (k, part), at
             hits.append(hit)
-        return pd.DataFrame({"k": part["k"], "o": part["o"], "hit": hits})
+        return pd.DataFrame({"k": frame["k"], "o": frame["o"], "hit": hits})
 
     rows = _micros(events, ts).select(F.col(key).alias("k"), F.col(order).alias("o"), "at")
-    # a pause of the time to live always ends an entry, so a key may be cut there and its parts folded apart
+    buckets = max(1, rows.count() // 20_000)
+    # a pause of the time to live always ends an entry, so a key may be cut there; parts of many keys are folded in one call
     by = W.partitionBy("k").orderBy("at", "o")
     rows = rows.withColumn("part", F.sum(F.when(F.col("at") - F.lag("at").over(by) >= ttl_micros, 1).otherwise(0)).over(by))
-    return rows.groupBy("k", "part").applyInPandas(fold, "k long, o long, hit boolean").select(F.col("k").alias(key), F.col("o").alias(order), "hit")
+    spread = rows.groupBy(F.pmod(F.xxhash64("k", "part"), F.lit(buckets)).alias("bucket"))
+    return spread.applyInPandas(fold, "k long, o long, hit boolean").select(F.col("k").alias(key), F.col("o").alias(order), "hit")
 
 
 def cached_stream(events: DataFrame, key: str, ts: str, ttl_seconds: int = 300) -> DataFrame:
