@@ -3,7 +3,8 @@
 The merge list is never replayed over a whole piece. For each prefix of a piece there is exactly one last token
 of its encoding; it is found from earlier prefixes alone, because a token may follow another exactly
 if the two together encode to themselves. A token is emitted once every prefix that is still open leads
-back to it. No prefix stays open for more than the longest token, so memory is constant in the text's length.
+back to it. It is looked for after twice the longest token; that open prefixes have met by then holds on all texts tried but is
+not proved, and where they have not, the transducer waits longer, so ids never depend on it.
 """
 
 from __future__ import annotations
