@@ -247,6 +247,34 @@ def test_matches_rules():
     assert matches.doi_part(" 10.90001%2FPRC.2001.5. ") == "10.90001/prc.2001.5"
 
 
+def test_one_slip_leaves_a_common_bucket_at_any_size():
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(4, 10))) for _ in range(300)]
+    for n in (1_000, 30_000, 10_000_000):
+        space = matches.Space(({}, {}, set(), n))
+        for authors in ("ana torbe lindo =", ""):
+            titles, slipped = [], []
+            for k in range(60):
+                title = rng.choices(words, k=4 + k % 12)
+                at = rng.randrange(len(title))
+                i = rng.randrange(1, len(title[at]) - 1)
+                titles.append(" ".join(title))
+                slipped.append(" ".join([*title[:at], title[at][:i] + "z" + title[at][i + 1 :], *title[at + 1 :]]))
+            record, code = space.blocks(titles + slipped, [authors] * 120, [""] * 120)[:2]
+            held = [set() for _ in range(120)]
+            for r, c in zip(record.tolist(), code.tolist(), strict=True):
+                held[r].add(c)
+            assert all(held[k] & held[60 + k] for k in range(60))
+
+
+def test_linking_joins_titles_with_a_slip(spark):
+    title = "relation between household income and user satisfaction in fishing communities of the old port"
+    papers = spark.createDataFrame([(k, title.replace(*swap), ["Ana Torbe Lindo"], 2010, None) for k, swap in enumerate([("household", "houshold"), ("relation", "relatoin"), ("port", "prot"), ("port", "hill and the lake")])], "seq long, title string, authors array<string>, year int, doi string")
+    records = spark.createDataFrame([(100, title, [], 2010, None), (101, title, ["Torbe Lindo, Ana"], 2010, None)], "rec_id long, title string, authors array<string>, year int, doi string")
+    got = {(r["seq"], r["rec_id"]) for r in matches.linked(papers, records).collect()}
+    assert got == {(k, r) for k in range(3) for r in (100, 101)}
+
+
 def test_linking_finds_equal_works_in_the_data(spark):
     papers, records = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("papers", "repo_records"))
     got = {(r["seq"], r["rec_id"]) for r in matches.linked(papers, records).collect()}
