@@ -275,6 +275,25 @@ def test_linking_joins_titles_with_a_slip(spark):
     assert got == {(k, r) for k in range(3) for r in (100, 101)}
 
 
+def test_translated_titles_of_a_common_place_are_linked(spark):
+    people = [(f"Ana Torbe{chr(97 + k)}", f"Torbe{chr(97 + k)}, Ana") for k in range(12)]
+    here = [("el estudio sobre los jovenes del puerto en simloque", "a study of the youngsters with the harbour in simloque"), ("uma pesquisa das pessoas no cais em simloque", "etude des gens dans le quai de simloque")]
+    shape = "authors array<string>, year int, doi string"
+    rows = [(k, here[k % 2][0], [one], 2010, None) for k, (one, _) in enumerate(people)]
+    rows += [(50 + k, f"el agua de los montes del norte numero w{k}x", ["Eva Quilca"], 2010, None) for k in range(30)]
+    papers = spark.createDataFrame(rows, f"seq long, title string, {shape}")
+    records = spark.createDataFrame([(100 + k, here[k % 2][1], [two], 2010, None) for k, (_, two) in enumerate(people)], f"rec_id long, title string, {shape}")
+    got = {(r["seq"], r["rec_id"]) for r in matches.linked(papers, records).collect()}
+    assert got == {(k, 100 + k) for k in range(12)}
+
+
+def test_places_but_for_a_slip_or_one_more():
+    space = matches.Space(({}, {"san": 0.2, "tirande": 0.005}, set(), 1000, {"san", "tirande"}))
+    assert matches.places_agree(space, ["san", "tirande"], ["tirande"]) == "same"
+    assert matches.places_agree(space, ["tirande"], ["tiramde"]) == matches.places_agree(space, ["tirande"], ["belva", "tirande"]) == "near"
+    assert matches.places_agree(space, ["san", "tirande"], ["belva", "san"]) == matches.places_agree(space, ["san"], []) == matches.places_agree(space, [], []) == ""
+
+
 def test_linking_finds_equal_works_in_the_data(spark):
     papers, records = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("papers", "repo_records"))
     got = {(r["seq"], r["rec_id"]) for r in matches.linked(papers, records).collect()}
