@@ -83,15 +83,21 @@ class Vocabulary:
         self.memo[word] = found
         return found
 
-    def reading(self, before: str, word: str) -> str | None:
-        """The word that stands there if ``word`` is misread, by the word before it, else the commonest."""
+    def reading(self, before: str, word: str, after: str = "") -> str | None:
+        """The word that stands there if ``word`` is misread, by the words before and after it, else the commonest."""
         found = self.candidates(word)
         if not found:
             return None
         pair = lambda w: self.pairs.get(f"{before} {w}", 0)
-        right = max(found, key=lambda f: (-f[0], pair(f[2]), f[1], f[2]))[2]
+        next_pair = lambda w: self.pairs.get(f"{w} {after}", 0)
+        kind, n, right = max(found, key=lambda f: (-f[0], pair(f[2]), next_pair(f[2]), f[1], f[2]))
         if word.isascii() and word.isalpha() or word in self.words and self.words[word] > 3 and word.isalpha():
-            return right if pair(right) > 3 * pair(word) else None  # it might be a word of its own, so its place decides
+            # it might be a word of its own, so its place decides; where that tells nothing, how common either is
+            if pair(right) or pair(word) or kind:
+                return right if pair(right) > 3 * pair(word) else None
+            if next_pair(right) or next_pair(word):
+                return right if next_pair(right) > 3 * next_pair(word) else None
+            return right if n >= 50 * max(1, self.words.get(word, 0)) else None
         return right
 
 
@@ -219,35 +225,42 @@ class Page:
             return True
         return words.get(left, 0) >= 10 and words.get(right, 0) >= 10 and len(left) > 3 and len(right) > 3
 
-    def mended(self, line: str) -> tuple[str, int]:
-        """A line with misread words put right, and their number."""
-        n, before = 0, ""
+    def mended(self, line: str, before: str = "", following: str = "") -> tuple[str, int, str]:
+        """A line with misread words put right, their number, and its last word; ``before`` and ``following`` are the words around it."""
+        n = 0
+        nexts = iter([*(t.lower() for t in TOKEN.findall(line)[1:]), following])
 
         def each(match: re.Match) -> str:
             nonlocal n, before
             token = match[0]
             low = token.lower()
+            after = next(nexts)
             right = None
             if MIXED.match(token) and not re.fullmatch(r"[A-Z]{1,4}\d+", token):
-                right = self.v.reading(before, low)
+                right = self.v.reading(before, low, after)
                 if right is None and re.search(r"[^\W\d_][01|!][^\W\d_]", token):
                     n += 1  # surely misread, but no word of the vocabulary
             elif token.islower() and len(token) > 3 or token.isupper() and len(token) > 5:
-                right = self.v.reading(before, low)
+                right = self.v.reading(before, low, after)
             before = right or low
             if right is None:
                 return token
             n += 1
             return right.upper() if token.isupper() else right.capitalize() if token[0].isupper() else right
 
-        return TOKEN.sub(each, line), n
+        return TOKEN.sub(each, line), n, before
 
     def repaired(self) -> tuple[str, dict[str, int]]:
         """The text in continuous paragraphs, and the number of findings of each kind."""
         lines, broken = self.joined()
-        paragraphs, current, misread = [], [], 0
-        for at, line in enumerate(lines):
-            fixed, n = self.mended(line)
+        paragraphs, current, misread, before = [], [], 0, ""
+        firsts, following = [], ""
+        for line in reversed(lines):
+            firsts.append(following)
+            if found := TOKEN.search(line):
+                following = found[0].lower()
+        for at, (line, following) in enumerate(zip(lines, reversed(firsts), strict=True)):
+            fixed, n, before = self.mended(line, before, following)
             misread += n
             if not line.strip() and current and current[-1][-1:] not in ".!?:;" and next((x.strip()[0].islower() for x in lines[at + 1 : at + 4] if x.strip()), False):
                 continue  # a page ended inside a sentence

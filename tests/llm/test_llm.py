@@ -235,6 +235,15 @@ def test_scans(spark):
 PAPERS = "seq long, id string, source string, title string, authors array<string>, year int, doi string, abstract string, university string, pdf_url string, fetched_at timestamp, sig long"
 
 
+def test_misread_words_at_the_edges_of_context():
+    known = scans.Vocabulary(({"antes": 400, "entre": 400, "del": 900, "antcs": 1, "entrc": 1, "casa": 300, "easa": 9}, {"mucho antes": 40, "entre ellos": 30}))
+    repair = lambda text: scans.Page(text, known).repaired()
+    assert repair("llegaron mucho\nantcs de comer.")[0] == "llegaron mucho antes de comer."  # the word before stands on another line
+    assert repair("entrc ellos hay dos.")[0] == "entre ellos hay dos."  # only the word after tells
+    assert repair("zzz antcs qqq.") == ("zzz antes qqq.", {"hyphenation": 0, "misread": 1, "header": 0, "page_number": 0})  # no word around is known
+    assert repair("zzz easa qqq.")[0] == "zzz easa qqq."  # not rare enough beside the other
+
+
 def test_matches_rules():
     space = matches.Space(({}, {"a": 0.5}, {"ana", "luis", "eva"}, 100))
     one = ("a study of social capital in salma", "", "ana torbe lindo =", 2010, "")
