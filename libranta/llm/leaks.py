@@ -24,6 +24,7 @@ from .once import Sent
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.?!])\s+")
 SEED = 5  # words: shorter matches are scraps
+MOST_KNOWN = 400_000  # words of documents that a worker remembers
 BLOCK = 20_000  # items searched at a time; their words and suffixes are what a task holds of them
 
 
@@ -145,9 +146,9 @@ def _search(documents: DataFrame, sent, key: str, column: str, least: float) ->
             parts, owners = [], []
             for k, text in enumerate(frame["text"]):
                 found = WORD.findall(one_form(text))
+                if len(known) > MOST_KNOWN:
+                    known.clear()  # between documents: the words of this one are looked up below
                 for word in set(found) - known.keys():
-                    if len(known) > 400_000:
-                        known.clear()
                     known[word] = vocabulary.get(plain(word), 0)
                 ids = np.fromiter(map(known.get, found, [0] * len(found)), np.int64, len(found))
                 run = ids > 0

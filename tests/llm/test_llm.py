@@ -99,6 +99,40 @@ def test_leaks_against_brute_force(spark):
     assert leaks.leaked(docs(spark, texts), frame.limit(0)).count() == 0
 
 
+def test_leaks_are_found_when_the_memo_is_cleared(monkeypatch):
+    monkeypatch.setattr(leaks, "MOST_KNOWN", 30, raising=False)
+    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
+    items = leaks.Items([(1, " ".join(words))])
+    others = " ".join(f"x{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400))
+
+    class Sent:
+        def get(self):
+            return items
+
+    class Documents:  # runs the batch function here, in this process
+        def select(self, *_):
+            return self
+
+        where = select
+
+        def mapInPandas(self, batches, _):
+            import pandas as pd
+
+            texts = [" ".join(words), others, " ".join(words) + " more", others + " " + " ".join(words)]
+            return sorted(k for f in batches(iter([pd.DataFrame({"key": range(4), "text": texts})])) for k in f["doc_id"])
+
+    monkeypatch.setattr(leaks.F, "col", lambda _: type("C", (), {"cast": lambda s, _: s, "alias": lambda s, _: s})())
+    monkeypatch.setattr(items, "known", Capped(items.known), raising=False)
+    assert leaks._search(Documents(), Sent(), "doc_id", "text", 1 / 3) == [0, 2, 3]
+
+
+class Capped(dict):
+    """A memo that counts as full as soon as it holds a little, whatever bound the code has."""
+
+    def __len__(self):
+        return 500_000 if super().__len__() > 30 else super().__len__()
+
+
 def test_suffix_array_order_and_longest_matches():
     rng = np.random.default_rng(5)
     flat = rng.integers(0, 4, 300)
