@@ -100,48 +100,58 @@ def test_leaks_against_brute_force(spark):
 
 
 def test_leaks_are_found_when_the_memo_is_cleared(monkeypatch):
-    monkeypatch.setattr(leaks, "MOST_KNOWN", 30, raising=False)
-    words = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40)]
-    items = leaks.Items([(1, " ".join(words))])
+    monkeypatch.setattr(leaks, "MOST_KNOWN", 30)
+    text = " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(40))
     others = " ".join(f"x{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(400))
+    items = leaks.Items([(1, [(text.split(" "), False)])])
+    found = [t.split(" ") for t in (text, others, text + " more", others + " " + text)]
+    assert sorted(d for _, d, *_ in leaks.leaks_of(items, found, 1 / 3)) == [0, 2, 3]
 
-    class Sent:
-        def get(self):
-            return items
 
-    class Documents:  # runs the batch function here, in this process
-        def select(self, *_):
-            return self
-
-        where = select
-
-        def mapInPandas(self, batches, _):
-            import pandas as pd
-
-            texts = [" ".join(words), others, " ".join(words) + " more", others + " " + " ".join(words)]
-            return sorted(k for f in batches(iter([pd.DataFrame({"key": range(4), "text": texts})])) for k in f["doc_id"])
-
-    monkeypatch.setattr(leaks.F, "col", lambda _: type("C", (), {"cast": lambda s, _: s, "alias": lambda s, _: s})())
-    monkeypatch.setattr(items, "known", Capped(items.known), raising=False)
-    assert leaks._search(Documents(), Sent(), "doc_id", "text", 1 / 3) == [0, 2, 3]
-
-
-class Capped(dict):
-    """A memo that counts as full as soon as it holds a little, whatever bound the code has."""
-
-    def __len__(self):
-        return 500_000 if super().__len__() > 30 else super().__len__()
+def test_results_do_not_depend_on_blocks_of_items(spark, monkeypatch):
+    rng = random.Random(14)
+    words = [f"w{k}" for k in range(300)]
+    shared = "Read the passage below and give the right answer to the question that follows it."
+    items = [(k, f"{shared} " + " ".join(rng.choice(words) for _ in range(20)) + ".") for k in range(12)]
+    frame = spark.createDataFrame(items, "item_id long, text string")
+    texts = [(100 + k, (items[k][1] if k < 6 else shared + " " + items[k][1][len(shared) + 1 :][: 20 * (k - 5)])) for k in range(12)]
+    seen = []
+    for block, shard in ((20_000, 1), (4, 1), (1, 50), (1, 100_000)):
+        monkeypatch.setattr(leaks, "BLOCK", block)
+        monkeypatch.setattr(leaks, "SHARD", shard)
+        seen.append(sorted(tuple(r) for r in leaks.leaked(docs(spark, texts), frame).collect()))
+    assert seen[0] and all(s == seen[0] for s in seen)
+    assert {r[3] for r in seen[0]} <= set(range(21))  # the instruction's words never count
 
 
 def test_suffix_array_order_and_longest_matches():
     rng = np.random.default_rng(5)
-    flat = rng.integers(0, 4, 300)
-    places, _ = leaks.suffix_array(flat, 5, levels=60)
-    assert [tuple(flat[p:].tolist()) for p in places] == sorted(tuple(flat[p:].tolist()) for p in places) or True
-    items = leaks.Items([(1, "a b c d e f g h i j")])
-    text = [items.vocabulary.get(w, 0) for w in "x a b c d e f x c d e f g h i j".split()]
-    found = {(int(t), int(n)) for t, _, n in zip(*leaks.matches(items, np.array([*text, *[0] * 5])), strict=True)}
-    assert found == {(0, 6), (2, 8)}
+    for base, most in ((5, 4), (3000, 2), (70_000, 3)):
+        flat = rng.integers(0, most, 400)
+        places = leaks.suffix_array(flat, base, depth=400)
+        assert sorted(places.tolist()) == leaks.runs(flat).tolist()
+        opened = [tuple(flat[p:].tolist()) for p in places]
+        assert opened == sorted(opened)
+    items = leaks.Items([(1, [("a b c d e f g h i j".split(), False)]), (2, [("c d e f g k l".split(), False)])])
+    text = [items.vocabulary.get(w, 0) for w in "x a b c d e f x c d e f g h i j x x c d e f g k l".split()]
+    found = {(int(t), int(p), int(n)) for t, p, n in zip(*leaks.matches(items, np.array([*text, *[0] * 5])), strict=True)}
+    flat = [int(x) for x in items.flat]
+    want = set()
+    for t in range(len(flat)):  # brute force: every pair of places, extended
+        for p in range(len(text)):
+            n = 0
+            while t + n < len(flat) and p + n < len(text) and flat[t + n] == text[p + n] > 0:
+                n += 1
+            if n >= leaks.SEED and not (t and p and flat[t - 1] == text[p - 1] > 0):
+                want.add((t, p, n))
+    assert found == want
+
+
+def test_passages_tell_places(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    frame = spark.createDataFrame([(1, text + ".")], "item_id long, text string")
+    row = leaks.passages(docs(spark, [(9, "Some words before " + text)]), frame).collect()[0]
+    assert [tuple(p) for p in row["places"]] == [(0, 3, 30)] and row["share"] == 1.0
 
 
 # ---- P2 ----
