@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from .graph import components
+from ..tables import checkpointed, dropped
 
 
 def first_of(frame: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -17,39 +16,42 @@ def first_of(frame: DataFrame, keys: list[str], *order) -> DataFrame:
     return frame.groupBy(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys))).agg(rank.alias("_first")).select("_first.*")
 
 
-def search_dedup(papers: DataFrame, group: str = "matched_query", order: str = "seq") -> DataFrame:
+def search_dedup(papers: DataFrame, group: str = "matched_query", order: str = "seq", most: int = 200) -> DataFrame:
     """(group, order) of the rows kept by the greedy rule with two keys, in arrival order within each group.
 
     A row is dropped if its DOI or else its title key was registered by a kept row; only kept rows register; a row with
-    neither key is lost. Rows only bear on one another through common keys, so the fold runs over connected components
-    of equal keys, not over whole groups: a group with a third of all rows is spread over many tasks.
+    neither key is lost. Rows are the edges of a graph of keys, and the greedy rule is its matching in the order of arrival:
+    in each round a row that comes first for both of its keys is kept, and all rows with one of its keys go. Rounds are
+    aggregates and joins, so neither a group nor a key with a third of all rows meets in one task, and the rows left over
+    shrink from round to round; of rows with equal keys only the first can be kept, so the others go before.
+    Raises an error if rows are undecided after ``most`` rounds.
     """
-    rows = papers.select(
+    keyed = papers.select(
         F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.lower("doi"), F.lit("")).alias("k1"), F.coalesce(text.title_key(F.col("title")), F.lit("")).alias("k2"),
         F.coalesce(F.nullif("id", F.lit("")), F.nullif("doi", F.lit("")), "title").alias("uid"),
     ).where("k1 <> '' or k2 <> ''")
-    edges = None
-    for key in ("k1", "k2"):
-        part = rows.where(f"{key} <> ''")
-        star = part.join(part.groupBy("g", key).agg(F.min("o").alias("a"), F.count("*").alias("n")).where("n > 1"), ["g", key]).select("a", F.col("o").alias("b"))
-        edges = star if edges is None else edges.unionByName(star)
-    roots = components(edges)
-    marked = rows.join(roots, rows["o"] == roots["node"], "left")
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        seen1, seen2, keep = set(), set(), []
-        part = part.sort_values("o")
-        for k1, k2 in zip(part["k1"], part["k2"], strict=True):
-            ok = not (k1 and k1 in seen1) and not (k2 and k2 in seen2)
-            keep.append(ok)
-            if ok:
-                seen1.add(k1)
-                seen2.add(k2)
-        return part.loc[keep, ["g", "o", "uid"]]
-
-    alone = marked.where("root is null").select("g", "o", "uid")
-    kept = alone.unionByName(marked.where("root is not null").select("g", "o", "uid", "k1", "k2", "root").groupBy("root").applyInPandas(fold, alone.schema))
-    return first_of(kept, ["g", "uid"], "o").select(F.col("g").alias(group), F.col("o").alias(order))
+    digest = lambda k: F.when(F.col(k) != "", F.unhex(F.md5(F.concat_ws("\u0000", F.coalesce("g", F.lit("\u0001")), k))))
+    rows = keyed.groupBy("g", "k1", "k2").agg(F.min(F.struct("o", "uid")).alias("x")).select(
+        "x.*", "g", digest("k1").alias("h1"), digest("k2").alias("h2"),
+    )
+    rows, kept = checkpointed(rows), None
+    for _ in range(most):
+        first = lambda h: rows.where(f"{h} is not null").groupBy(h).agg(F.min("o").alias(f"o_{h}"))  # noqa: E731, B023
+        marked = rows.join(first("h1"), "h1", "left").join(first("h2"), "h2", "left")
+        marked = checkpointed(marked.withColumn("keep", (F.col("o") <= F.coalesce("o_h1", "o")) & (F.col("o") <= F.coalesce("o_h2", "o"))).select("g", "o", "uid", "h1", "h2", "keep"))
+        taken = marked.where("keep").select("g", "o", "uid", "h1", "h2")
+        kept = taken if kept is None else kept.unionByName(taken)
+        rest = marked.where("not keep").drop("keep")
+        for h in ("h1", "h2"):
+            rest = rest.join(taken.where(f"{h} is not null").select(h), h, "left_anti")
+        rest = checkpointed(rest)
+        dropped(rows)
+        rows = rest
+        if rows.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"rows are undecided after {most} rounds")
+    return first_of(kept.select("g", "o", "uid"), ["g", "uid"], "o").select(F.col("g").alias(group), F.col("o").alias(order))
 
 
 def batch_key() -> Column:

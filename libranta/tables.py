@@ -29,9 +29,11 @@ def utc(frame: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that all executors share, from spark.checkpoint.dir; a temporary one where that is unset and the master is local, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), f"libranta-{spark.sparkContext.applicationId}")
         if all(path != folder for _, path in _written):
             _written.append((spark, folder))
@@ -47,17 +49,32 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/libranta-{uuid4().hex}"
     frame.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(frame.schema).parquet(path)
+    found = spark.read.schema(frame.schema).parquet(path)
+    found._libranta_path = path
+    return found
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Removes tables of ``checkpointed`` that nothing reads any more."""
+    for frame in frames:
+        path = getattr(frame, "_libranta_path", None)
+        if path is not None:
+            _delete(frame.sparkSession, path)
+            _written[:] = [(spark, other) for spark, other in _written if other != path]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if "://" not in path and not path.startswith("file:"):
+        shutil.rmtree(path, ignore_errors=True)
+        return
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:
-        if "://" not in path and not path.startswith("file:"):
-            shutil.rmtree(path, ignore_errors=True)
-            continue
         try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001 - the application may be gone
             return
