@@ -29,13 +29,13 @@ HYPHENS = "-‐‑¬­"
 END = re.compile(rf"([^\W\d_]+)[{HYPHENS}]\s*$")
 START = re.compile(r"\s*([^\W\d_]+)")
 COMPOUND = re.compile(r"[^\W\d_]+(?:[-‐‑][^\W\d_]+)+")
-TOKEN = re.compile(r"[^\W_]+(?:[|!][^\W_]*)*|[|!][^\W_]+")
-SLOT = re.compile(rf"[^\W_{JOINT}](?:[^\W_]|[|!]|{JOINT})*|[|!][^\W_]+")
-MIXED = re.compile(r"(?=.*[^\W\d_])(?:.*[^\W\d_][01568|!]|[01568|!][^\W\d_])")
+TOKEN = re.compile(r"[^\W_]+(?:[|!†$][^\W_]*)*|[|!†][^\W_]+")
+SLOT = re.compile(rf"[^\W_{JOINT}](?:[^\W_]|[|!†$]|{JOINT})*|[|!†][^\W_]+")
+MIXED = re.compile(r"(?=.*[^\W\d_])(?:.*[^\W\d_][01568|!†$]|[01568|!†$][^\W\d_])")
 # What scanners read for what stands there.
-CONFUSED = [("0", "o"), ("1", "l"), ("1", "i"), ("|", "i"), ("|", "l"), ("!", "i"), ("!", "l"), ("5", "s"), ("8", "b"), ("6", "b"), ("ii", "u"), ("rn", "m"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("c", "e"), ("e", "c"), ("m", "rn"), ("h", "li"), ("d", "cl"), ("u", "ii"), ("l", "i"), ("i", "l"), ("n", "ri"), ("f", "t"), ("t", "f")]
+CONFUSED = [("0", "o"), ("1", "l"), ("1", "i"), ("|", "i"), ("|", "l"), ("!", "i"), ("!", "l"), ("5", "s"), ("8", "b"), ("6", "b"), ("†", "t"), ("$", "s"), ("ii", "u"), ("rn", "m"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("c", "e"), ("e", "c"), ("m", "rn"), ("h", "li"), ("d", "cl"), ("u", "ii"), ("l", "i"), ("i", "l"), ("n", "ri"), ("f", "t"), ("t", "f")]
 # The same letter groups written out in one notation: words that differ by confusions only are equal in it.
-WRITTEN_OUT = str.maketrans({"m": "rri", "n": "ri", "d": "ci", "w": "vv", "h": "ii", "u": "ii", "e": "c", "l": "i", "f": "t", "0": "o", "1": "i", "|": "i", "!": "i", "5": "s", "8": "b", "6": "b"})
+WRITTEN_OUT = str.maketrans({"m": "rri", "n": "ri", "d": "ci", "w": "vv", "h": "ii", "u": "ii", "e": "c", "l": "i", "f": "t", "0": "o", "1": "i", "|": "i", "!": "i", "5": "s", "8": "b", "6": "b", "†": "t", "$": "s"})
 EDIT, CONFUSION, MOST = 4, 1, 5  # costs: one edit with one confusion, or up to five confusions
 RARE, SURE = 10, 50  # how many times commoner the right word must be, with and without words around it that call for it
 NUMBERED = re.compile(r"(?i)^[\W_]*(?:(?:p[áa]g(?:ina)?|page|p)\.?\s*)?(\d{1,4})(?:\s*(?:de|of|sur|/)\s*\d{1,4})?[\W_]*$")
@@ -43,6 +43,7 @@ NUMBERED_END = re.compile(r"(?i)(?:p[áa]gina|page|p[áa]g\.)\s(\d{1,4})(?:\s(?:
 BESIDE = re.compile(r"^(?:(\d{1,4})(?:\s+\||\s{2,}|\s+[·—-])\s*(\D{3,})|(\D{3,}?)(?:\s*\||\s{2,}|\s[·—-]\s)\s*(\d{1,4}))$")
 ROW = re.compile(r"^\W*(?:(?:19|20)\d\d)\b[\s|]*(?:\d+[.,]\d+)?[\s|]*$")
 TABLE = re.compile(r"(?i)^\W*(?:tabla|tabela|table|tableau|figura|figure)\s+\d+\W*$|^\s*\|")
+SOURCE = re.compile(r"(?i)^\W*(?:fuente|source|fonte|elaboraci[óo]n)\b")
 MARKUP = re.compile(r"^[#*_>\s]+|[*_\s]+$")
 
 
@@ -167,7 +168,7 @@ def candidates(counted: DataFrame, group_rows: int = 20_000) -> DataFrame:
 
     letters = F.col("word").rlike(r"^\p{L}+$")
     common = counted.where(letters & (F.length("word") > 2) & (F.col("n") >= RARE)).select("word", "n", F.explode(own("word")).alias("shard"))
-    rare = counted.where((letters & (F.length("word") > 3)) | F.col("word").rlike(r"\p{L}.*[01568|!]|[01568|!].*\p{L}")).select("word", "n", F.explode(near("word")).alias("shard"))
+    rare = counted.where((letters & (F.length("word") > 3)) | F.col("word").rlike(r"\p{L}.*[01568|!†$]|[01568|!†$].*\p{L}")).select("word", "n", F.explode(near("word")).alias("shard"))
     rare = rare.join(common.groupBy("shard").agg(F.max("n").alias("top")), "shard").where(F.col("top") >= RARE * F.col("n")).drop("top")
     parts = rare.groupBy("shard").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts"))
     rare = rare.join(parts, "shard").select("shard", F.pmod(F.xxhash64("word"), "parts").cast("int").alias("part"), "word", "n", F.lit(True).alias("asks"))
@@ -255,8 +256,7 @@ class Page:
         numbers = {i for i, _ in sure}
         for i, number in open_:
             follows = any(abs(number - other) == abs(rank) and rank for rank, other in self._ranked(i, open_ + sure))
-            edge = self._edge(i)
-            if follows or (edge and number < 1000):
+            if follows or (self._edge(i) and number < 1000 and not self._in_table(i)):
                 numbers.add(i)
         return numbers, ends, kept
 
@@ -267,15 +267,17 @@ class Page:
         return [(k - me, n) for k, (_, n) in enumerate(clear) if 0 < abs(k - me) <= 2] if not self._in_table(i) or self._edge(i) else []
 
     def _in_table(self, i: int) -> bool:
-        around = [self.bare[j] for j in (i - 1, i - 2) if j >= 0 and self.bare[j]][:1] + [self.bare[j] for j in (i + 1,) if j < len(self.bare) and self.bare[j]]
-        return any(ROW.match(x) or TABLE.match(x) for x in around)
+        """Whether the nearest lines with text are rows or the heading of a table, or the note on its source comes next."""
+        before = next((self.bare[j] for j in range(i - 1, max(-1, i - 5), -1) if self.bare[j]), "")
+        after = next((self.bare[j] for j in range(i + 1, min(len(self.bare), i + 5)) if self.bare[j]), "")
+        return any(ROW.match(x) or TABLE.match(x) for x in (before, after)) or bool(SOURCE.match(after))
 
     def _edge(self, i: int) -> bool:
         beside = {self.lines[j] for j in (i - 1, i + 1) if 0 <= j < len(self.lines)}
         return "\x0c" in beside or i == 0 or i == len(self.lines) - 1
 
     def _headers(self) -> set[int]:
-        title = next((plain(b) for i, b in enumerate(self.bare) if len(b.split()) > 5 and i not in self.numbers and i not in self.ends), "")
+        title = self._title()
         spots: dict[str, list[int]] = {}
         for i, (line, bare) in enumerate(zip(self.lines, self.bare, strict=True)):
             if not bare or i in self.numbers or TABLE.match(line) or ROW.match(line) or bare[-1] in ".:;!?" or not any(c.isalpha() for c in bare) or len(bare) > 90:
@@ -302,6 +304,17 @@ class Page:
                 found |= set(rows)
         return found
 
+    def _title(self) -> str:
+        """The first line of more than five words if it stands by itself: running text goes on in the next line."""
+        for i, bare in enumerate(self.bare):
+            if len(bare.split()) > 5 and i not in self.numbers and i not in self.ends:
+                alone = i + 1 == len(self.lines) or not self.bare[i + 1] or self.lines[i].startswith("#") or i + 1 in self.numbers or len(self.bare[i + 1].split()) <= 5
+                after = self.bare[i + 1] if i + 1 < len(self.bare) else ""
+                if plain(bare)[:15] == plain(after)[:15]:
+                    return plain(after)  # a running header above the title
+                return plain(bare) if alone else ""
+        return ""
+
     def _breaks(self, i: int) -> bool:
         """Whether a line stands between lines of running text or beside other furniture, not between blank lines of its own."""
         before = self.lines[i - 1] if i else "\x0c"
@@ -344,7 +357,7 @@ class Page:
                 continue
             kind = -1
             if MIXED.match(token) and not re.fullmatch(r"[A-Z]{1,4}\d+", token):
-                kind = 2 if re.search(r"[^\W\d_][01|!][^\W\d_]", token) else 1
+                kind = 2 if re.search(r"[^\W\d_][01|!†$][^\W\d_]", token) else 1
             elif token.islower() and len(token) > 3 or token.isupper() and len(token) > 5:
                 kind = 0
             if kind >= 0:

@@ -279,13 +279,58 @@ def test_scans(spark):
 PAPERS = "seq long, id string, source string, title string, authors array<string>, year int, doi string, abstract string, university string, pdf_url string, fetched_at timestamp, sig long"
 
 
-def test_misread_words_at_the_edges_of_context():
-    known = scans.Vocabulary(({"antes": 400, "entre": 400, "del": 900, "antcs": 1, "entrc": 1, "casa": 300, "easa": 9}, {"mucho antes": 40, "entre ellos": 30}))
-    repair = lambda text: scans.Page(text, known).repaired()
-    assert repair("llegaron mucho\nantcs de comer.")[0] == "llegaron mucho antes de comer."  # the word before stands on another line
-    assert repair("entrc ellos hay dos.")[0] == "entre ellos hay dos."  # only the word after tells
-    assert repair("zzz antcs qqq.") == ("zzz antes qqq.", {"hyphenation": 0, "misread": 1, "header": 0, "page_number": 0})  # no word around is known
-    assert repair("zzz easa qqq.")[0] == "zzz easa qqq."  # not rare enough beside the other
+def scanned(spark, texts):
+    pdf = spark.createDataFrame([(i, t, "x") for i, t in texts], "file_id long, text string, tab string")
+    return {r["row_id"]: r for r in scans.repaired(pdf, spark.createDataFrame([], "md_id long, markdown string")).collect()}
+
+
+def test_misread_words_at_the_edges_of_context(spark):
+    rows = [(k, "llegaron mucho antes de comer.\nentre ellos hay dos.\nla casa es grande.") for k in range(110)] + [(150 + k, "la easa es larga.") for k in range(4)]
+    rows += [(200, "llegaron mucho\nantcs de comer."), (201, "entrc ellos hay dos."), (202, "zzz antcs qqq."), (203, "zzz easa qqq.")]
+    got = scanned(spark, rows)
+    assert got[200]["repaired"] == "llegaron mucho antes de comer."  # the word before stands on another line
+    assert got[201]["repaired"] == "entre ellos hay dos."  # only the word after tells
+    assert (got[202]["repaired"], got[202]["misread"]) == ("zzz antes qqq.", 1)  # no word around is known
+    assert got[203]["repaired"] == "zzz easa qqq."  # not rare enough beside the other
+
+
+def test_repair_depends_on_ratios_of_counts_only(spark):
+    base = [f"la regresion lineal del modelo {w} fue estable" for w in ("uno", "dos", "tres") for _ in range(20)]
+    noisy = ["la regrcsion lineal del modelo uno fue estable", "la regresin lineal del modelo dos fue estable", "la regrcssion lineal del modelo tres fue estable", "la regres1on lineal del rnodelo uno fue estable"]
+    seen = []
+    for times in (1, 4):
+        texts = [(k, t) for k, t in enumerate((base + noisy) * times)]
+        got = scanned(spark, texts)
+        seen.append([got[len(base) + k]["repaired"] for k in range(4)])
+        assert all(got[k]["misread"] == 0 for k in range(len(base)))
+    assert seen[0] == seen[1] == [f"la regresion lineal del modelo {w} fue estable" for w in ("uno", "dos", "tres", "uno")]
+
+
+def test_candidates_against_brute_force(spark):
+    rng = random.Random(16)
+    common = sorted({"".join(rng.choice("acdehilmnrtu") for _ in range(rng.randrange(3, 9))) for _ in range(120)})
+    rare = set()
+    for w in common[:60]:
+        i = rng.randrange(len(w))
+        rare.add(w[:i] + rng.choice(["", "z", "zz", w[i] + "z"]) + w[i + 1 :])
+        wrong, right = rng.choice(scans.CONFUSED)
+        rare.add(w.replace(right, wrong, 1))
+    rare -= set(common) | {""}
+    counted = spark.createDataFrame([(w, 100) for w in common] + [(w, 1) for w in sorted(rare)], "word string, n long")
+
+    def cost(word, right):  # the whole table of costs, without a trie
+        table = {(0, 0): 0}
+        for i in range(len(word) + 1):
+            for j in range(len(right) + 1):
+                ways = [table.get((i - 1, j), 99) + scans.EDIT, table.get((i, j - 1), 99) + scans.EDIT, table.get((i - 1, j - 1), 99) + (scans.EDIT if i and j and word[i - 1] != right[j - 1] else 0)]
+                ways += [table[i - len(a), j - len(b)] + scans.CONFUSION for a, b in scans.CONFUSED if i >= len(a) and j >= len(b) and word[i - len(a) : i] == a and right[j - len(b) : j] == b]
+                table[i, j] = min(ways + ([0] if i == j == 0 else []))
+        return table[len(word), len(right)]
+
+    asked = [w for w in rare if (w.isalpha() and len(w) > 3) or (not w.isalpha() and any(c.isalpha() for c in w))]
+    want = {(w, x) for w in asked for x in common if (c := cost(w, x)) <= (scans.MOST if len(w) > 3 else scans.EDIT - 1) and (c < scans.EDIT or len(x) > 3)}
+    for rows in (20_000, 3):
+        assert {(r["word"], r["right"]) for r in scans.candidates(counted, rows).collect()} == want
 
 
 def test_matches_rules():
