@@ -198,6 +198,29 @@ def test_garbles_round_trip(spark):
     assert garbles.garbled_values(pages(spark, [])).count() == 0
 
 
+def test_every_chain_is_tried_and_words_of_letters_are_kept():
+    shown = "é".encode("utf-8").decode("cp437").encode("utf-8").decode("mac_roman")
+    assert "é" in garbles.readings(shown).values()
+    mixed = "é".encode("cp1252").decode("cp437").encode("utf-8").decode("cp1252")  # a pair of pages below a misread UTF-8
+    assert "é" in garbles.readings(mixed).values()
+    assert garbles.candidates("caf&eacute;") .get("café") is True and garbles.candidates("plain") == {}
+    assert garbles.regular("L’État SERVIÇO AbC 12") == "  l’état serviço AbC 00 "
+
+
+def test_margins_lie_between_clean_and_garbled_words(spark):
+    pages_ = spark.read.parquet("/root/testdata/sf0.01/scraped_pages.parquet")
+    rows = garbles.values(pages_)
+    tables, letters, margins = garbles.trained(rows)
+    assert [t.size for t in tables] == list(garbles.SLOTS) and set(margins) == set(garbles.KINDS) and all(m >= 2 for m in margins.values())
+    model = garbles.Model((tables, letters, margins))
+    for text in ("investigación", "être", "SERVIÇO", "20 € à l’élève", "12 °C", "qué? no"):
+        assert model.mend(text) == (text, False)
+    assert model.mend("UMA REVIS�O SISTEM�TICA") == ("UMA REVIS�O SISTEM�TICA", True)
+    for text in ("educación", "relação", "público"):
+        for page in ("cp1252", "mac_roman", "cp850"):
+            assert model.mend(text.encode("utf-8").decode(page)) == (text, True)
+
+
 # ---- P7 ----
 
 
