@@ -1,9 +1,10 @@
 """P2: values that were cut by a field limit or broke off in transfer, and each source's share of them.
 
 Per source and column, histograms of lengths in characters and in bytes are tested for a spike at the
-maximum; values at such a length without terminal punctuation are cut. Marks of omission are cut. What broke off
-elsewhere has no spike, so the endings of all whole sentences of the corpus are counted, and an unfinished
-last sentence counts as whole only if whole sentences that open like it end like it.
+maximum; values at such a length without terminal punctuation are cut. A source that cuts between words has a soft
+limit, a band of lengths as wide as a word. Marks of omission are cut elsewhere too. What broke off in transfer has no
+fixed length, so the endings of all whole sentences of the corpus are counted, and an unfinished last sentence
+counts as whole only if whole sentences that open like it end like it.
 """
 
 from __future__ import annotations
@@ -40,8 +41,10 @@ LAST_WORD = re.compile(r"[^\s'’]*$")
 OPENING = re.compile(r"[^,]{3,24},\s(?=[a-zß-ÿ])")
 SCANNED = {
     "seq": pa.int64(), "source": pa.string(), "field": pa.string(), "size": pa.int32(), "octets": pa.int32(), "ends": pa.string(),
-    "keys": pa.list_(pa.int64()), "sure": pa.bool_(), "label": pa.string(), "end": pa.string(), "key": pa.int64(),
+    "alike": pa.int64(), "ended": pa.int64(), "sure": pa.bool_(), "label": pa.string(), "end": pa.string(), "key": pa.int64(), "digest": pa.int64(),
 }
+LIMITS = ("hard_chars", "hard_bytes", "soft_chars", "soft_bytes")
+BAND = 16  # lengths below a limit at which a cut between words may fall
 FACTS = r"\s\|\s"
 
 
@@ -100,62 +103,83 @@ def _scanned(rows: DataFrame) -> DataFrame:
             out = []
             for seq, source, field, value in zip(*(column.to_pylist() for column in batch.columns), strict=True):
                 ends, open_part = _read(value, whole)
-                row = [seq, source, field, len(value), len(value.encode("utf-8", "replace")), ends, None, None, None, None, None]
+                octets = value.encode("utf-8", "replace")
+                row = [seq, source, field, len(value), len(octets), ends, None, None, None, None, None, None, xxhash.xxh3_64_intdigest(octets) - (1 << 63)]
                 if open_part is not None:
                     alike, word, n = keys(open_part)
                     label = LABELLED.match(open_part)
                     blank = value[-1:].isspace() and value.rstrip()[-1:].isalpha()
                     sure = True if LINK.search(open_part) else False if blank or n <= 3 else None
-                    row[6:] = [[alike, word], sure, label[1].lower() if label else None, " ".join(open_part.split(" ")[-2:]).lower(), None]
+                    row[6:11] = [alike, word, sure, label[1].lower() if label else None, " ".join(open_part.split(" ")[-2:]).lower()]
                 out.append(row)
-            out += [[None, None, None, None, None, None, None, None, None, None, key] for key in whole]
+            out += [[None] * 11 + [key, None] for key in whole]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), SCANNED.values(), strict=True)], list(SCANNED))
 
-    kinds = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean", pa.list_(pa.int64()): "array<long>"}
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean"}
     return rows.select("seq", "source", "field", "value").mapInArrow(batches, ", ".join(f"{name} {kinds[kind]}" for name, kind in SCANNED.items()))
 
 
 def limits(rows: DataFrame, least: int = 5, factor: float = 4.0) -> DataFrame:
-    """(source, field, unit, size, at): each length at which a source's column is cut: a spike.
+    """(source, field, hard_chars, hard_bytes, soft_chars, soft_bytes): the lengths at which a source's column is cut.
 
-    The spike is the commonest length that is held by ``least`` values or more and by ``factor`` times the mean of the
-    20 lengths on either side; texts that went around the limit may be longer. The histogram has at most one row for each
-    length, so its windows stay small however many values a source has. ``unit`` is chars or bytes. A source without a spike has no row.
+    Different texts without terminal punctuation are counted by length. A hard limit is a length held by ``least`` of them or more, and by
+    ``factor`` times the mean of the 20 lengths on either side; a soft limit is the top of BAND lengths that together are so much
+    above the 2 * BAND on either side. The highest spike is taken; where the tests hold at several
+    lengths in a row, the one with most texts. The histogram has at most one row for each length, so its windows stay small however many
+    values a source has. A source without a spike has no row.
     """
-    sized = rows.select("source", "field", F.explode(F.array(
-        F.struct(F.lit("chars").alias("unit"), F.col("size").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("octets").alias("size")),
-    )).alias("x")).select("source", "field", "x.*")
+    texts = rows.where("ends <> 'stop'").select("source", "field", "size", "octets", "digest").distinct()
+    sized = texts.select("source", "field", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("size").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("octets").alias("size")))).alias("x")).select("source", "field", "x.*")
     histogram = sized.groupBy("source", "field", "unit", "size").agg(F.count("*").alias("n"))
     by = W.partitionBy("source", "field", "unit").orderBy("size")
-    near = histogram.withColumns({"below": F.coalesce(F.sum("n").over(by.rangeBetween(-20, -1)), F.lit(0)), "above": F.coalesce(F.sum("n").over(by.rangeBetween(1, 20)), F.lit(0))})
-    spikes = near.where((F.col("n") >= least) & (F.col("n") * 20 > factor * F.greatest("below", "above")))
-    return spikes.groupBy("source", "field", "unit").agg(F.max(F.struct("n", "size")).alias("x")).select("source", "field", "unit", "x.size", F.col("x.n").alias("at"))
+    around = lambda low, high: F.coalesce(F.sum("n").over(by.rangeBetween(low, high)), F.lit(0))
+    tests = {"hard": (around(0, 0), around(-20, -1), around(1, 20), 20), "soft": (around(1 - BAND, 0), around(1 - 3 * BAND, -BAND), around(1, 2 * BAND), 2)}
+    found = None
+    for kind, (inside, below, above, times) in tests.items():
+        part = histogram.select("source", "field", "unit", "size", inside.alias("inside"), below.alias("below"), above.alias("above"))
+        part = part.where((F.col("inside") >= (least if kind == "hard" else 2 * least)) & (F.col("inside") * times > factor * F.greatest("below", "above")))
+        new = F.when(F.col("size") - F.lag("size").over(by) > BAND, 1).otherwise(0)  # lengths in a row are one spike
+        part = part.withColumn("spike", new).withColumn("spike", F.sum("spike").over(by))
+        top = part.groupBy("source", "field", "unit", "spike").agg(F.max(F.struct("inside", (-F.col("size")).alias("size"))).alias("x"))
+        top = top.groupBy("source", "field", "unit").agg(F.max(F.struct("spike", (-F.col("x.size")).alias("size"))).alias("x")).select("source", "field", F.concat(F.lit(kind + "_"), "unit").alias("limit"), "x.size")
+        found = top if found is None else found.unionByName(top)
+    return found.groupBy("source", "field").agg(*(F.max(F.when(F.col("limit") == c, F.col("size"))).alias(c) for c in LIMITS))
+
+
+def _scan(papers: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return checkpointed(_scanned(values(papers, *(columns or ("abstract", "snippet")))))
 
 
 def judged(papers: DataFrame, *columns: str) -> DataFrame:
     """(seq, source, field, size, octets, how): every text value; ``how`` is limit, mark, broken or null for a whole one.
 
-    Null, empty, placeholder and notice values and lists of facts have no row. Repeated rows keep their own. The texts are read
-    once; what is known of them is a few numbers a value, written to the checkpoint folder.
+    The length tests come first: a value at a hard limit that does not end a sentence is cut by it, and so is one in the band of
+    a soft limit that has a mark or an unfinished sentence. Null, empty, placeholder and notice values and lists of facts have no row. Repeated rows
+    keep their own. The texts are read once; what is known of them is a few numbers a value, written to the checkpoint folder.
     """
-    scanned = checkpointed(_scanned(values(papers, *(columns or ("abstract", "snippet")))))
-    rows = scanned.where("seq is not null")
+    return _judged(_scan(papers, columns))
+
+
+def _judged(scanned: DataFrame) -> DataFrame:
+    rows = scanned.where("seq is not null").drop("key")
     known = scanned.where("key is not null").select("key").distinct()
-    unsure = rows.where("ends = 'open'").drop("key", "ends").withColumn("row", F.monotonically_increasing_id())
-    asked = unsure.where("sure is null and label is null").select("row", F.posexplode("keys").alias("kind", "key"))
-    seen = asked.join(known, "key").groupBy("row").agg(F.bool_or(F.col("kind") == 0).alias("alike"), F.bool_or(F.col("kind") == 1).alias("ended"))
+    hold = lambda name: known.select(F.col("key").alias(name), F.lit(True).alias(f"has_{name}"))
+    unsure = rows.where("ends = 'open'").withColumns({k: F.coalesce(k, "digest") for k in ("alike", "ended")})
+    unsure = unsure.join(hold("alike"), "alike", "left").join(hold("ended"), "ended", "left")
     lists = unsure.where("label is not null").groupBy("label", "end").agg(F.count("*").alias("n_end"))
     lists = lists.join(lists.groupBy("label").agg(F.sum("n_end").alias("n_label")), "label").where("n_end >= 2 and n_end * 20 >= n_label").select("label", "end", F.lit(True).alias("usual"))
-    spikes = limits(rows)
-    chars = spikes.where("unit = 'chars'").select("source", "field", F.col("size").alias("limit_chars"))
-    octets = spikes.where("unit = 'bytes'").select("source", "field", F.col("size").alias("limit_bytes"))
-    unsure = unsure.join(seen, "row", "left").join(lists, ["label", "end"], "left").join(chars, ["source", "field"], "left").join(octets, ["source", "field"], "left")
-    at_limit = F.coalesce(F.col("size") == F.col("limit_chars"), F.lit(False)) | F.coalesce(F.col("octets") == F.col("limit_bytes"), F.lit(False))
-    finished = F.when(F.col("label").isNotNull(), F.coalesce("usual", F.lit(False))).otherwise(F.coalesce("sure", F.col("alike") & F.col("ended"), F.lit(False)))
-    broken = unsure.select("seq", "source", "field", "size", "octets", F.when(at_limit, "limit").when(~finished, "broken").alias("how"))
-    sure = rows.where("ends <> 'open'").select("seq", "source", "field", "size", "octets", F.when(F.col("ends") == "mark", "mark").alias("how"))
-    return sure.unionByName(broken)
+    unsure = unsure.join(lists, ["label", "end"], "left")
+    seen = F.col("has_alike").isNotNull() & F.col("has_ended").isNotNull()
+    finished = F.when(F.col("label").isNotNull(), F.coalesce("usual", F.lit(False))).otherwise(F.coalesce("sure", seen))
+    fields = ("seq", "source", "field", "size", "octets", "ends")
+    ended = rows.where("ends = 'mark'").select(*fields, F.lit(False).alias("finished")).unionByName(unsure.select(*fields, finished.alias("finished"))).join(limits(rows), ["source", "field"], "left")
+    at = lambda c, kind: F.coalesce(F.col(c).between(F.col(f"{kind}") - (0 if kind.startswith("hard") else BAND - 1), F.col(kind)), F.lit(False))
+    hard = at("size", "hard_chars") | at("octets", "hard_bytes")
+    soft = at("size", "soft_chars") | at("octets", "soft_bytes")
+    how = F.when(hard | (soft & ~F.col("finished")), "limit").when(F.col("ends") == "mark", "mark").when(~F.col("finished"), "broken")
+    whole = rows.where("ends = 'stop'").select(*fields[:-1], F.lit(None).cast("string").alias("how"))
+    return whole.unionByName(ended.select(*fields[:-1], how.alias("how")))
 
 
 def cut_values(papers: DataFrame) -> DataFrame:
@@ -165,12 +189,10 @@ def cut_values(papers: DataFrame) -> DataFrame:
 
 def cut_report(papers: DataFrame) -> DataFrame:
     """Per source and field: values, cut ones by kind, the percentage of cut ones and the limits found; sources without text have no row."""
-    rows = judged(papers)
-    spikes = limits(rows).groupBy("source", "field").agg(
-        F.max(F.when(F.col("unit") == "chars", F.col("size"))).alias("limit_chars"), F.max(F.when(F.col("unit") == "bytes", F.col("size"))).alias("limit_bytes")
-    )
+    scanned = _scan(papers, ())
+    rows = _judged(scanned)
     counts = rows.groupBy("source", "field").agg(
         F.count("*").alias("n_values"), F.count("how").alias("n_cut"),
-        F.count_if(F.col("how") == "mark").alias("n_marked"), F.count_if(F.col("how") == "limit").alias("n_at_limit"), F.count_if(F.col("how") == "broken").alias("n_broken"),
+        F.count_if(F.col("how") == "limit").alias("n_at_limit"), F.count_if(F.col("how") == "mark").alias("n_marked"), F.count_if(F.col("how") == "broken").alias("n_broken"),
     )
-    return counts.withColumn("percent_cut", F.round(100 * F.col("n_cut") / F.col("n_values"), 2)).join(spikes, ["source", "field"], "left")
+    return counts.withColumn("percent_cut", F.round(100 * F.col("n_cut") / F.col("n_values"), 2)).join(limits(scanned.where("seq is not null")), ["source", "field"], "left")

@@ -163,7 +163,7 @@ def test_cuts(spark):
     rows = [(i, "s", f"{whole} {other}", None) for i in range(6)]
     rows += [(10, "s", f"{whole} The plan of the town was meas", None), (11, "s", f"{whole} {other[:-1]}", None), (12, "s", f"{whole} The plan of the town...", None), (13, "s", f"{whole} {other[:-1]}, etc...", None)]
     rows += [(14, "s", "N/A", ""), (15, "s", None, "Review | 2020 | Report"), (16, None, "<p>" + whole + "</p>", whole)]
-    rows += [(100 + i, "limited", ("word " * 40)[:60], None) for i in range(8)] + [(200, "limited", whole, None)]
+    rows += [(100 + i, "limited", (f"{'abcdefgh'[i]}word " * 40)[:60], None) for i in range(8)] + [(200, "limited", whole, None)]
     frame = spark.createDataFrame(rows, "seq long, source string, abstract string, snippet string")
     got = {(r["seq"], r["field"]): r["how"] for r in cuts.judged(frame).collect()}
     assert got[10, "abstract"] == "broken" and got[12, "abstract"] == "mark"
@@ -171,10 +171,23 @@ def test_cuts(spark):
     assert (14, "abstract") not in got and (15, "snippet") not in got
     assert all(got[100 + i, "abstract"] == "limit" for i in range(8)) and got[200, "abstract"] is None
     report = {r["source"]: r for r in cuts.cut_report(frame).where("field = 'abstract'").collect()}
-    assert report["limited"]["limit_chars"] == 60 and report["limited"]["n_cut"] == 8
+    assert report["limited"]["hard_chars"] == 60 and report["limited"]["n_cut"] == 8
     assert cuts.cut_values(frame.limit(0)).count() == 0
 
 
+def test_a_cut_between_words_has_a_soft_limit(spark):
+    rng = random.Random(15)
+    whole = [" ".join(rng.choice(["river", "of", "the", "measure", "town", "in", "a", "valley"]) for _ in range(60)).capitalize() + "." for _ in range(60)]
+    rows = [(i, "soft", t if i < 30 else t[: t.rindex(" ", 0, 201)], None) for i, t in enumerate(whole)]
+    rows += [(100 + i, "none", t if i < 30 else t[: 40 + 3 * i], None) for i, t in enumerate(whole)]
+    frame = spark.createDataFrame(rows, "seq long, source string, abstract string, snippet string")
+    got = {r["seq"]: r["how"] for r in cuts.judged(frame).collect()}
+    assert all(got[k] is None for k in (*range(30), *range(100, 130))) and all(got[k] == "limit" for k in range(30, 60))
+    assert {got[k] for k in range(130, 160)} == {"broken"}
+    copies = spark.createDataFrame([(i, "s", "The plan of the tow", None) for i in range(40)], "seq long, source string, abstract string, snippet string")
+    assert {r["how"] for r in cuts.judged(copies).collect()} == {"broken"}  # copies of one text are no spike
+
+
 # ---- P3 ----
 
 
