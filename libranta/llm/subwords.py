@@ -2,9 +2,8 @@
 
 The merge list is never replayed over a whole piece. For each prefix of a piece there is exactly one last token
 of its encoding; it is found from earlier prefixes alone, because a token may follow another exactly
-if the two together encode to themselves. A token is emitted once every prefix that is still open leads
-back to it. It is looked for after twice the longest token; that open prefixes have met by then holds on all texts tried but is
-not proved, and where they have not, the transducer waits longer, so ids never depend on it.
+if the two together encode to themselves. How many bytes to the right can bear on a boundary is computed from the
+merge list (``lookahead``); tokens further back are stable and leave the transducer, so its memory is constant.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ import codecs
 import json
 import os
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import chain
 
 import pandas as pd
@@ -79,10 +78,39 @@ class Vocabulary:
             known = self.fits[left, right] = self.replay(left + right) == [left, right]
         return known
 
-    @property
+    @cached_property
     def lookahead(self) -> int:
-        """Bytes after which an open prefix cannot matter any more: a token that covers a position ends within the longest token."""
-        return self.longest
+        """Bytes to the right of a boundary that can bear on whether it stays: the longest chain of the merge list.
+
+        A boundary goes if a merge (u, v) crosses it. Whether v stands there depends on the v bytes and on whether its own right
+        boundary is crossed before that merge's turn, that is by an earlier merge whose left part stands at the right edge of v:
+        v itself or a part that v is made of. The same holds for that merge in turn, and turns only get earlier, so
+        chains are finite and the longest is found in one pass over the merges in their order.
+        """
+        parts: dict[bytes, tuple[bytes, bytes]] = {}
+        reach: dict[bytes, int] = {}  # by left part, the most bytes that a merge seen so far depends on
+        most = 0
+        for word, rank in sorted(self.ranks.items(), key=lambda x: x[1]):
+            if len(word) == 1 or (made := self._last_merge(word, rank)) is None:
+                continue
+            left, right = parts[word] = made
+            further, edge = reach.get(right, 0), right
+            while edge in parts:
+                edge = parts[edge][1]
+                further = max(further, reach.get(edge, 0))
+            reach[left] = max(reach.get(left, 0), len(right) + further)
+            most = max(most, len(right) + further)
+        return most
+
+    def _last_merge(self, word: bytes, rank: int) -> tuple[bytes, bytes] | None:
+        """The two tokens that a token is merged from, or None if the merge list never makes it."""
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while len(parts) > 2:
+            best, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+            if best >= rank:
+                return None
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts[0], parts[1]
 
 
 class Transducer:
@@ -100,10 +128,15 @@ class Transducer:
             self.tail += portion[k : k + 1]
             end = len(self.tail)
             self.last.append(self._length(end))
-            if end >= 2 * self.v.lookahead:
+            if end >= self.room:
                 out += self._settle()
         return out
 
+    @property
+    def room(self) -> int:
+        """Bytes held at most: a portion to emit, the longest token and the lookahead, which is only computed for pieces beyond a kilobyte."""
+        return 1024 if len(self.tail) < 1024 else max(1024, self.v.lookahead + self.v.longest + 256)
+
     def _length(self, end: int) -> int:
         tail, last = self.tail, self.last
         for start in range(max(0, end - self.v.longest), end):
@@ -122,18 +155,9 @@ class Transducer:
         return ends[::-1]
 
     def _settle(self) -> list[int]:
-        end = len(self.tail)
-        open_ends = [e for e in range(max(1, end - self.v.longest + 1), end + 1) if self.last[e] > 0]
-        shared = self._chain(open_ends[0])
-        for other in open_ends[1:]:
-            path = self._chain(other)
-            keep = 0
-            while keep < min(len(shared), len(path)) and shared[keep] == path[keep]:
-                keep += 1
-            shared = shared[:keep]
-            if not shared:
-                return []
-        return self._emit(shared)
+        """Emits the tokens that end further back than the lookahead."""
+        stable = len(self.tail) - self.v.lookahead
+        return self._emit([end for end in self._chain(len(self.tail)) if end <= stable])
 
     def _emit(self, ends: list[int]) -> list[int]:
         out, start = [], 0

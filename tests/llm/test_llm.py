@@ -46,6 +46,29 @@ def test_any_portions_give_the_same_ids(encoder):
     assert len(machine.tail) == 0
 
 
+def test_the_computed_lookahead_suffices_and_memory_is_constant(encoder):
+    v, rng = encoder.v, random.Random(12)
+    assert v.longest < v.lookahead < 2000
+    words = [w for w in v.ranks if w.isalpha() and len(w) > 2]
+    for kind in range(6):
+        data = b"".join(rng.choice(words) if kind < 4 else rng.choice([b"=", b"==", b"===", b"-"]) for _ in range(900 + 300 * kind))[:9000]
+        machine, out, most = subwords.Transducer(v), [], 0
+        for k in range(0, len(data), 11):
+            out += machine.feed(data[k : k + 11])
+            most = max(most, len(machine.tail))
+        out += machine.close()
+        assert b"".join(v.bytes[i] for i in out) == data and most <= v.lookahead + v.longest + 300
+        whole = subwords.Transducer(v)
+        whole.__class__ = type("Patient", (subwords.Transducer,), {"room": 1 << 30})  # emits nothing before the end
+        assert whole.feed(data) + whole.close() == out
+
+
+def test_lookahead_of_a_small_merge_list():
+    small = object.__new__(subwords.Vocabulary)
+    small.ranks = {bytes([c]): i for i, c in enumerate(b"abcd")} | {b"cd": 4, b"bc": 5, b"ab": 6}
+    assert small.lookahead == 3  # ab waits for bc, which waits for cd
+
+
 def test_ids_of_empty_null_and_round_trip(spark, encoder):
     frame = docs(spark, [(1, ""), (2, None), (3, "año 数 👩‍🔬\r\n"), (3, "año")])
     got = sorted((r["doc_id"], list(r["ids"])) for r in subwords.encoded(frame).collect())
