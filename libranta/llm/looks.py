@@ -16,9 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import checkpointed
+
 # Letters of other scripts that are drawn like Latin ones (after Unicode's list of confusables).
 CYRILLIC = dict(zip("аеіорсухѕјԁһԛԝАВЕЅІЈКМНОРСТХУԚԜ", "aeiopcyxsjdhqwABESIJKMHOPCTXYQW", strict=True))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναϲϳ", "ABEZHIKMNOPTYXovacj", strict=True))
+ARMENIAN = dict(zip("օսոհցՕՍԼ", "ounhgOUL", strict=True))
+OTHERS = dict(zip("ѵѴүҮӏӀɡɑ", "vVyYlIga", strict=True))
 HYPHENS = dict.fromkeys("\u2010\u2011", "-")
 # Characters that show nothing.
 INVISIBLE = "\u00ad\u034f\u061c\u180e\u200b\u200c\u200d\u200e\u200f\u2060\u2061\u2062\u2063\u2064\ufeff"
@@ -38,7 +42,7 @@ def _singles() -> dict[str, str]:
             table[char] = unicodedata.normalize("NFKC", char)
         elif kind and not kind.startswith("<") and (same := unicodedata.normalize("NFC", char)) != char:
             table[char] = same
-    table |= CYRILLIC | GREEK | HYPHENS | {"µ": "μ"}
+    table |= CYRILLIC | GREEK | ARMENIAN | OTHERS | HYPHENS | {"µ": "μ"}
     for code in [*range(0x386, 0x3D0), *range(0x400, 0x530)]:  # an accent on a look-alike
         parts = unicodedata.normalize("NFD", chr(code))
         if len(parts) == 2 and parts[0] in table and len(same := unicodedata.normalize("NFC", table[parts[0]] + parts[1])) == 1:
@@ -129,7 +133,7 @@ def look_alikes(frame: DataFrame, key: str = "doc_id", column: str = "text", gro
             )
 
     rows = frame.select(F.col(key).cast("long").alias("key"), F.col(column).alias("text")).where("key is not null and length(text) > 0")
-    marked = rows.mapInPandas(digests, "key long, form binary, exact binary")
+    marked = checkpointed(rows.mapInPandas(digests, "key long, form binary, exact binary"))  # read twice below; the texts only once
     mixed = (
         marked.groupBy("form")
         .agg(F.min("exact").alias("low"), F.max("exact").alias("high"), F.count("*").alias("n"))
