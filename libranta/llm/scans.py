@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..tables import checkpointed
 from .once import Sent
+from .spellings import in_shards
 
 JOINT = "\x01"  # where a broken word was joined
 HYPHENS = "-‐‑¬­"
@@ -170,9 +171,6 @@ def candidates(counted: DataFrame, group_rows: int = 20_000) -> DataFrame:
     common = counted.where(letters & (F.length("word") > 2) & (F.col("n") >= RARE)).select("word", "n", F.explode(own("word")).alias("shard"))
     rare = counted.where((letters & (F.length("word") > 3)) | F.col("word").rlike(r"\p{L}.*[01568|!†$]|[01568|!†$].*\p{L}")).select("word", "n", F.explode(near("word")).alias("shard"))
     rare = rare.join(common.groupBy("shard").agg(F.max("n").alias("top")), "shard").where(F.col("top") >= RARE * F.col("n")).drop("top")
-    parts = rare.groupBy("shard").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts"))
-    rare = rare.join(parts, "shard").select("shard", F.pmod(F.xxhash64("word"), "parts").cast("int").alias("part"), "word", "n", F.lit(True).alias("asks"))
-    common = common.join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "word", "n", F.lit(False).alias("asks"))
 
     def walk(shard: pd.DataFrame) -> pd.DataFrame:
         asks = shard["asks"].to_numpy(bool)
@@ -185,7 +183,7 @@ def candidates(counted: DataFrame, group_rows: int = 20_000) -> DataFrame:
         ]
         return pd.DataFrame(out, columns=["word", "n", "right", "m", "cost"])
 
-    return rare.unionByName(common).groupBy("shard", "part").applyInPandas(walk, "word string, n long, right string, m long, cost int").groupBy("word", "n", "right", "m").agg(F.min("cost").alias("cost"))
+    return in_shards(rare, common, walk, "word string, n long, right string, m long, cost int", group_rows).groupBy("word", "n", "right", "m").agg(F.min("cost").alias("cost"))
 
 
 class Filter:

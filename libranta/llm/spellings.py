@@ -1,9 +1,11 @@
 """P5: spellings of one person or institution, linked by tries walked with Levenshtein automata.
 
-The words of all names are sharded into tries by their first and last letters; each rare word walks the tries with a
-Levenshtein automaton (one edit, neighbouring letters swapped counting as one) to the far commoner word that it misspells. Names
-whose words are mended so are then taken apart whatever their order, and spellings that agree part by part, with
-initials, nicknames and left-out parts, are linked if they can mean one entity only.
+Both words and whole names are sharded into tries, which are walked with a Levenshtein automaton (one edit, neighbouring
+letters swapped counting as one). The words of all names are sharded by length and first or last letters; each rare word
+walks to the far commoner word that it misspells. Names are taken apart whatever the order of their words, and each is sharded by
+all of its parts but one: in a shard the parts left out are the trie, so names that differ in one part meet wherever it stands, and
+names of the same parts in another order meet in the shard of all their parts. Shortened names are linked
+by keys of what they still tell, if only one person has that key. All steps are joins and aggregates on keys.
 """
 
 from __future__ import annotations
@@ -11,8 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -109,33 +110,68 @@ def _words(kind: str, name: str) -> list[str]:
     return LETTERS.findall(plain(name))
 
 
-def misspelt(names: DataFrame, ratio: int = 10, shortest: int = 3) -> DataFrame:
-    """(kind, word, right): words that are one edit from a word at least ``ratio`` times as common, the commonest if several.
+def word_shards(word: str, spread: int) -> list[str]:
+    """Shards in which a word of four letters or more meets all words of one edit: an edit leaves half of a word as it is.
 
-    One edit leaves the first or the last two letters of a word of ``shortest`` letters as they are, so words
-    meet in the shard of either; a shard holds part of the vocabulary, never of the rows.
+    Words that others may stand for have ``spread`` 0, words that ask have 1: the other is one letter longer or shorter.
+    Of words of three letters those with two letters swapped are left out.
     """
+    found = set()
+    for size in range(len(word) - spread, len(word) + spread + 1):
+        k = max(2, min(4, (size - 2) // 2))
+        found |= {f"<{size} {word[:k]}", f">{size} {word[-k:]}"} | ({f"^{size} {word[:1]}{word[-1:]}"} if size <= 4 else set())
+    return sorted(found)
+
+
+def in_shards(asking: DataFrame, known: DataFrame, walk: Callable[[pd.DataFrame], pd.DataFrame], schema: str, group_rows: int = 20_000) -> DataFrame:
+    """``walk`` over each shard: rows of both frames (equal columns, with ``shard``), marked by ``asks``; small shards go several to a call.
+
+    A shard with many asking rows is split into parts of about ``group_rows``, each with all known rows of the shard.
+    """
+    parts = asking.groupBy("shard").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts"))
+    ask = asking.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64(*(c for c in asking.columns if c != "shard")), "parts").cast("int")).withColumn("asks", F.lit(True)).drop("parts")
+    have = known.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", F.lit(False)).drop("parts")
+    rows = ask.unionByName(have).withColumn("bucket", F.when(F.col("part") > 0, F.xxhash64("shard", "part")).otherwise(F.pmod(F.xxhash64("shard"), F.lit(4096))))
+
+    def each(bucket: pd.DataFrame) -> pd.DataFrame:
+        out = [walk(shard) for _, shard in bucket.groupby(["shard", "part"], sort=False) if shard["asks"].any()]
+        return pd.concat(out) if out else pd.DataFrame(columns=[c.split(" ")[0] for c in schema.split(", ")])
+
+    return rows.groupBy("bucket").applyInPandas(each, schema)
+
+
+def misspelt(names: DataFrame, ratio: int = 10, only: int = 4, shortest: int = 3) -> DataFrame:
+    """(kind, word, right): words that are one edit from a word at least ``ratio`` times as common, the commonest if several, or ``only``
+    times if a word of five letters or more has no other neighbour."""
 
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: LETTERS.findall(plain(t)))
 
-    words = names.select("kind", "n", F.explode(split("name")).alias("word")).where(f"length(word) >= {shortest}").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-    shards = words.select("*", F.explode(F.array(F.concat(F.lit("<"), F.substring("word", 1, 2)), F.concat(F.lit(">"), F.substring("word", -2, 2)))).alias("shard"))
+    @F.pandas_udf("array<string>")
+    def own(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: word_shards(w, 0))
 
-    def walk(shard: pd.DataFrame) -> pd.DataFrame:
-        trie, out = Trie(), []
-        for word, n in zip(shard["word"], shard["n"], strict=True):
-            if n >= ratio:
-                trie.add(word, n)
-        for kind, word, n in zip(shard["kind"], shard["word"], shard["n"], strict=True):
-            near = [(m, other) for other, m in trie.near(word) if m >= ratio * n]
-            if near:
-                out.append((kind, word, max(near)[1], max(near)[0]))
-        return pd.DataFrame(out, columns=["kind", "word", "right", "m"])
+    @F.pandas_udf("array<string>")
+    def near(words: pd.Series) -> pd.Series:
+        return words.map(lambda w: word_shards(w, 1))
+
+    words = checkpointed(names.select("kind", "n", F.explode(split("name")).alias("word")).where(f"length(word) >= {shortest}").groupBy("kind", "word").agg(F.sum("n").alias("n")))
+    shard = lambda parts: words.select("kind", "word", "n", F.explode(parts).alias("part")).select("kind", "word", "n", F.concat("kind", F.lit(" "), "part").alias("shard"))
+    known = shard(own("word")).where(F.col("n") >= only)
+    top = known.groupBy("shard").agg(F.max("n").alias("top"))
+    asking = shard(near("word")).join(top, "shard").where(F.col("top") >= only * F.col("n")).drop("top")
 
-    found = shards.groupBy("kind", "shard").applyInPandas(walk, "kind string, word string, right string, m long")
-    return found.groupBy("kind", "word").agg(F.max(F.struct("m", "right"))["right"].alias("right"))
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        trie, asks = Trie(), rows["asks"].to_numpy(bool)
+        for word, n in zip(rows["word"][~asks], rows["n"][~asks], strict=True):
+            trie.add(word, n)
+        out = [(kind, word, n, right, m) for kind, word, n in zip(rows["kind"][asks], rows["word"][asks], rows["n"][asks], strict=True) for right, m in trie.near(word) if m >= only * n]
+        return pd.DataFrame(out, columns=["kind", "word", "n", "right", "m"])
+
+    found = in_shards(asking, known, walk, "kind string, word string, n long, right string, m long").distinct()
+    best = found.groupBy("kind", "word", "n").agg(F.max(F.struct("m", "right")).alias("x"), F.count("*").alias("others"))
+    return best.where((F.col("x.m") >= ratio * F.col("n")) | ((F.col("others") == 1) & (F.length("word") > 4))).select("kind", "word", F.col("x.right").alias("right"))
 
 
 def given_words(names: DataFrame, least: float = 0.67) -> DataFrame:
@@ -179,62 +215,107 @@ def taken_apart(name: str, right: dict[str, str], given: set[str]) -> tuple[list
 def _same_given(a: str, b: str) -> bool:
     if len(a) == 1 or len(b) == 1:
         return a[:1] == b[:1]
-    return a == b or (min(len(a), len(b)) >= 3 and (a.startswith(b) or b.startswith(a))) or (len(a) > 4 and len(b) > 4 and _edits(a, b) == 1 and a[-1] == b[-1])
-
-
-def persons(shard: pd.DataFrame) -> list[list[str]]:
-    """Groups of spellings of one person, among names with one first surname."""
-    people: list[dict] = []
-    rows = [(n, name, tuple(g), tuple(s)) for name, n, g, s in zip(shard["name"], shard["n"], shard["given"], shard["surnames"], strict=True)]
-    full = [r for r in rows if r[2] and len(r[2][0]) > 1 and len(r[3]) > 1 and len(r[3][1]) > 1]
-    by: dict[tuple, dict] = {}
-    for n, name, g, s in sorted(full, key=lambda r: (-r[0], r[1])):
-        spot = by.setdefault((g[0], s[1]), {"n": 0, "second": defaultdict(list)})
-        spot["n"] += n
-        spot["second"][g[1] if len(g) > 1 else ""].append(name)
-    kept: list[tuple[tuple, dict]] = []
-    for key, spot in sorted(by.items(), key=lambda x: (-x[1]["n"], x[0])):
-        for other, large in kept:
-            if large["n"] >= 3 * spot["n"] and ((key[0] == other[0] and _edits(key[1], other[1]) == 1) or (key[1] == other[1] and key[0] != other[0] and _same_given(key[0], other[0]))):
-                for second, group in spot["second"].items():
-                    large["second"][second] += group
-                large["n"] += spot["n"]
-                break
+    return a == b or (min(len(a), len(b)) >= 3 and (a.startswith(b) or b.startswith(a))) or (min(len(a), len(b)) >= 4 and (a.endswith(b) or b.endswith(a))) or (len(a) > 4 and len(b) > 4 and _edits(a, b) == 1 and a[-1] == b[-1])
+
+
+def merged_keys(keys: DataFrame, ratio: int = 3) -> DataFrame:
+    """(s1, s2, g1, t1, t2, h1): full names (two surnames, a given name) that misspell another one, with that one.
+
+    A trie join: the shard of a name is all of its parts but one, whatever their order; the trie holds the parts left out. Parts within one edit, and
+    given names of which one is short for the other, are neighbours; so are the same parts in another order. The other name has ``ratio`` times as many rows.
+    """
+
+    def entries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for s1, s2, g1, n in zip(frame["s1"], frame["s2"], frame["g1"], frame["n"], strict=True):
+                for role, rest, word in (("s1", (s2, g1), s1), ("s2", (s1, g1), s2), ("g1", (s1, s2), g1), ("order", tuple(sorted((s1, s2, g1))), "")):
+                    out.append((f"{role} {' '.join(rest)}", word, s1, s2, g1, n))
+            yield pd.DataFrame(out, columns=["shard", "word", "s1", "s2", "g1", "n"])
+
+    schema = "shard string, word string, s1 string, s2 string, g1 string, n long"
+    rows = checkpointed(keys.mapInPandas(entries, schema))
+    shared = rows.groupBy("shard").agg(F.max("n").alias("top"), F.min("n").alias("low"), F.count("*").alias("m")).where(F.col("m") > 1).where(F.col("top") >= ratio * F.col("low"))
+    rows = rows.join(shared.select("shard", "top"), "shard")
+    asking = rows.where(F.col("top") >= ratio * F.col("n")).drop("top")
+
+    def walk(shard: pd.DataFrame) -> pd.DataFrame:
+        asks, role = shard["asks"].to_numpy(bool), shard["shard"].iloc[0].split(" ", 1)[0]
+        known: dict[str, list[tuple]] = defaultdict(list)
+        trie = Trie()
+        for word, n, *key in zip(*(shard[c][~asks] for c in ("word", "n", "s1", "s2", "g1")), strict=True):
+            known[word].append((n, *key))
+            trie.add(word, n)
+        out = []
+        for word, n, *key in zip(*(shard[c][asks] for c in ("word", "n", "s1", "s2", "g1")), strict=True):
+            near = [word] if role == "order" else [w for w, _ in trie.near(word)] if len(word) > 3 else []
+            if role == "g1":
+                near = [w for w in known if w != word and _same_given(w, word)]
+            best = max((x for w in near for x in known[w] if x[1:] != tuple(key) and x[0] >= ratio * n), default=None)
+            if best:
+                out.append((*key, *best))
+        return pd.DataFrame(out, columns=["s1", "s2", "g1", "m", "t1", "t2", "h1"])
+
+    found = in_shards(asking, rows.drop("top"), walk, "s1 string, s2 string, g1 string, m long, t1 string, t2 string, h1 string")
+    best = checkpointed(found.groupBy("s1", "s2", "g1").agg(F.max(F.struct("m", "t1", "t2", "h1")).alias("x")).select("s1", "s2", "g1", "x.t1", "x.t2", "x.h1"))
+    again = best.select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("g1").alias("h1"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.col("h1").alias("i1"))
+    return best.join(again, ["t1", "t2", "h1"], "left").select("s1", "s2", "g1", F.coalesce("u1", "t1").alias("t1"), F.coalesce("u2", "t2").alias("t2"), F.coalesce("i1", "h1").alias("h1"))
+
+
+def second_names(seconds: list[str]) -> dict[str, str]:
+    """For each second given name of one first name and surnames the one it stands for; initials go to the only name that they fit, none to the only name."""
+    chosen: dict[str, str] = {}
+    full: list[str] = []
+    for second in sorted({x for x in seconds if x}, key=lambda x: (-len(x), x)):
+        like = [m for m in full if _same_given(m, second)]
+        if len(like) == 1:
+            chosen[second] = like[0]
         else:
-            kept.append((key, spot))
-    for (first, surname), spot in kept:
-        seconds = sorted(spot["second"], key=lambda x: (-len(x), x))
-        merged: dict[str, list[str]] = {}
-        for second in seconds:
-            like = [m for m in merged if second and m and _same_given(m, second)]
-            if len(like) == 1:
-                merged[like[0]] += spot["second"][second]
-            elif second:
-                merged[second] = list(spot["second"][second])
-        bare = spot["second"].get("", [])
-        if len(merged) == 1:
-            next(iter(merged.values())).extend(bare)
-        elif bare:
-            merged[""] = list(bare)
-        people += [{"first": first, "second": second, "surname": surname, "names": group} for second, group in merged.items()]
-    loose: dict[tuple, list[str]] = defaultdict(list)
-    for _, name, g, s in (r for r in rows if r not in set(full)):
-        fits = []
-        for person in people:
-            if g and not _same_given(g[0], person["first"]):
-                continue
-            if len(g) > 1 and person["second"] and not _same_given(g[1], person["second"]):
-                continue
-            if len(s) > 1 and not (s[1] == person["surname"] or (len(s[1]) == 1 and person["surname"].startswith(s[1])) or (len(s[1]) > 4 and _edits(s[1], person["surname"]) == 1)):
-                continue
-            fits.append(person)
-        if len(g) > 1 and len(fits) > 1:
-            fits = [p for p in fits if p["second"]] or fits
-        if len(fits) == 1:
-            fits[0]["names"].append(name)
-        elif not fits:
-            loose[g[0][:1] if g else "", s[1] if len(s) > 1 else ""].append(name)
-    return [p["names"] for p in people] + list(loose.values())
+            full.append(second)
+            chosen[second] = second
+    return {**chosen, "": full[0] if len(full) == 1 else ""}
+
+
+def signatures(s1: str, s2: str, g1: str, g2: str) -> list[str]:
+    """What shortened spellings of a full name may still tell: the first surname, with the other parts whole, shortened or left out."""
+    first = {g1, g1[:1], *(g1[:k] for k in range(3, min(len(g1), 7))), *(g1[-k:] for k in (4, 5) if len(g1) > k)}
+    second = {"", g2, g2[:1]} if g2 else {"", "*"}
+    surname = {"", s2, s2[:1]}
+    return sorted({f"{s1}|{a}|{b}|{c}" for a in first for b in second for c in surname} | {f"{s1}|||{c}" for c in surname})
+
+
+def person_clusters(parsed: DataFrame) -> DataFrame:
+    """(name, cluster) of the names that can mean one person only, and of shortened ones that fit no full name (by what they tell)."""
+    rows = parsed.where("kind = 'author' and shard <> ''").select("name", "n", F.col("shard").alias("s1"), *(F.coalesce(F.get(c, F.lit(k)), F.lit("")).alias(x) for x, c, k in (("s2", "surnames", 1), ("g1", "given", 0), ("g2", "given", 1))))
+    whole = (F.length("g1") > 1) & (F.length("s2") > 1)
+    full = rows.where(whole)
+    keys = checkpointed(full.groupBy("s1", "s2", "g1").agg(F.sum("n").alias("n")))
+    moved = merged_keys(keys)
+    now = [F.coalesce(t, s).alias(s) for s, t in (("s1", "t1"), ("s2", "t2"), ("g1", "h1"))]
+    full = checkpointed(full.join(moved, ["s1", "s2", "g1"], "left").select("name", *now, "g2"))
+
+    @F.pandas_udf("array<struct<g2:string,canon:string>>")
+    def told(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: [{"g2": a, "canon": b} for a, b in second_names(list(x)).items()])
+
+    seconds = full.groupBy("s1", "s2", "g1").agg(F.collect_set("g2").alias("all")).select("s1", "s2", "g1", F.explode(told("all")).alias("x")).select("s1", "s2", "g1", "x.g2", "x.canon")
+    full = full.join(seconds, ["s1", "s2", "g1", "g2"]).select("name", "s1", "s2", "g1", F.col("canon").alias("g2"))
+    full = checkpointed(full.withColumn("cluster", F.concat_ws("|", "s1", "s2", "g1", "g2")))
+
+    def keys_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = [(key, who) for s1, s2, g1, g2, who in zip(*(frame[c] for c in ("s1", "s2", "g1", "g2", "cluster")), strict=True) for key in signatures(s1, s2, g1, g2)]
+            yield pd.DataFrame(out, columns=["key", "who"])
+
+    persons = full.select("s1", "s2", "g1", "g2", "cluster").distinct().mapInPandas(keys_of, "key string, who string")
+    unique = persons.groupBy("key").agg(F.min("who").alias("who"), F.max("who").alias("last"))
+    loose = rows.where(~whole).withColumn("key", F.concat_ws("|", "s1", "g1", "g2", "s2")).withColumn("bare", F.when(F.col("g2") != "", F.concat_ws("|", "s1", "g1", F.lit("*"), "s2")).otherwise(F.col("key")))
+    one = unique.select("key", F.col("who").alias("a"), F.col("last").alias("z"))
+    two = unique.select(F.col("key").alias("bare"), F.col("who").alias("ba"), F.col("last").alias("bz"))
+    found = loose.join(one, "key", "left").join(two, "bare", "left").withColumns({"a": F.coalesce("a", "ba"), "z": F.coalesce("z", "bz")})
+    alone = F.concat_ws("|", F.lit("~"), "s1", F.substring("g1", 1, 1), "s2")
+    found = found.where("a is null or a = z").select("name", F.coalesce("a", alone).alias("cluster"))
+    return full.select("name", "cluster").unionByName(found)
 
 
 def parted(name: str, right: dict[str, str]) -> tuple[str, str, str]:
@@ -278,32 +359,34 @@ def _short_of(short: list[str], full: list[str]) -> bool:
     return len(short) == len(full) and all(f.startswith(s) or (i == 0 and len(s) == 1) for i, (s, f) in enumerate(zip(short, full, strict=True)))
 
 
-def institutions(shard: pd.DataFrame) -> list[list[str]]:
-    """Groups of spellings of one institution, among names with one place."""
-    groups: dict[str, list[str]] = defaultdict(list)
-    short = []
-    for name, kind in zip(shard["name"], shard["type"], strict=True):
-        words = kind.split(" ")
-        if all(w in TYPE_WORDS for w in words):
-            groups[" ".join(words)].append(name)
-        else:
-            short.append((name, words))
-    for name, words in short:
-        fits = [k for k in groups if _short_of(words, k.split(" "))]
-        exact = [k for k in fits if k.split(" ")[0].startswith(words[0])]
-        fits = exact or fits
-        if len(fits) == 1:
-            groups[fits[0]].append(name)
-        elif not fits:
-            groups["?" + " ".join(words)].append(name)
-    return list(groups.values())
+def type_of(words: str, types: list[str]) -> str | None:
+    """The type of one place's institutions that shortened words stand for; None if several fit, a mark of its own if none does."""
+    short = words.split(" ")
+    fits = [t for t in types if _short_of(short, t.split(" "))]
+    fits = [t for t in fits if t.split(" ")[0].startswith(short[0])] or fits
+    return fits[0] if len(fits) == 1 else "?" + words if not fits else None
+
+
+def institution_clusters(ready: DataFrame) -> DataFrame:
+    """(name, cluster): spellings of one institution by place and type."""
+    rows = ready.where("kind = 'university'").select("name", F.col("shard").alias("place"), "type")
+    whole = F.forall(F.split("type", " "), lambda w: w.isin(sorted(TYPE_WORDS)))
+    full = rows.where(whole)
+    types = full.groupBy("place").agg(F.collect_set("type").alias("types"))
+
+    @F.pandas_udf("string")
+    def told(words: pd.Series, lists: pd.Series) -> pd.Series:
+        return pd.Series([type_of(w, sorted(x) if x is not None else []) for w, x in zip(words, lists, strict=True)], dtype=object)
+
+    short = rows.where(~whole).join(types, "place", "left").select("name", "place", told("type", "types").alias("type")).where("type is not null")
+    return full.unionByName(short.select(*full.columns)).select("name", F.concat_ws("|", "place", "type").alias("cluster"))
 
 
 def linked(papers: DataFrame) -> DataFrame:
     """(kind, name_a, name_b): all pairs of distinct spellings of one person or institution, name_a < name_b by code point.
 
-    Null, empty and placeholder names have none. Only distinct spellings are compared, however many rows have them, and only
-    within one first surname or one place; an abbreviation that fits several entities is linked to none.
+    Null, empty and placeholder names have none. Only distinct spellings are compared, however many rows have them; an
+    abbreviation that fits several entities is linked to none.
     """
     names = checkpointed(names_of(papers))
     right = misspelt(names)
@@ -338,11 +421,14 @@ def linked(papers: DataFrame) -> DataFrame:
     bare = parsed.where("kind = 'university' and shard = '' and acronym <> ''").join(spelled, F.col("acronym") == F.col("a"))
     bare = bare.select("kind", "name", "n", F.col("p").alias("shard"), "given", "surnames", F.col("t").alias("type"), "acronym")
     ready = parsed.where("shard <> ''").unionByName(bare)
+    clusters = person_clusters(parsed).select(F.lit("author").alias("kind"), "name", "cluster").unionByName(institution_clusters(ready).select(F.lit("university").alias("kind"), "name", "cluster"))
+    return pairs_of(checkpointed(clusters.distinct()))
 
-    def pairs(shard: pd.DataFrame) -> pd.DataFrame:
-        kind = shard["kind"].iloc[0]
-        groups = (persons if kind == "author" else institutions)(shard)
-        out = [(kind, a, b) for group in groups for a, b in combinations(sorted(set(group)), 2)]
-        return pd.DataFrame(out, columns=["kind", "name_a", "name_b"])
 
-    return ready.groupBy("kind", "shard").applyInPandas(pairs, "kind string, name_a string, name_b string").distinct()
+def pairs_of(clusters: DataFrame, group_rows: int = 200) -> DataFrame:
+    """(kind, name_a, name_b): all pairs within clusters; a cluster of many spellings is split into blocks on one side."""
+    sizes = clusters.groupBy("kind", "cluster").agg(F.count("*").alias("m")).where("m > 1").select("kind", "cluster", F.ceil(F.col("m") / group_rows).cast("int").alias("blocks"))
+    rows = clusters.join(sizes, ["kind", "cluster"])
+    left = rows.select("kind", "cluster", F.col("name").alias("name_a"), F.pmod(F.xxhash64("name"), "blocks").cast("int").alias("block"))
+    right = rows.select("kind", "cluster", F.col("name").alias("name_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return left.join(right, ["kind", "cluster", "block"]).where("name_a < name_b").select("kind", "name_a", "name_b").distinct()

@@ -314,6 +314,48 @@ def test_names(spark):
     assert spellings.linked(frame.limit(0)).count() == 0
 
 
+def test_words_of_one_edit_share_a_shard():
+    rng = random.Random(17)
+    for _ in range(3000):
+        word = "".join(rng.choice("abcd") for _ in range(rng.randrange(4, 13)))
+        i = rng.randrange(len(word))
+        other = rng.choice([word[:i] + word[i + 1 :], word[:i] + "x" + word[i:], word[:i] + "x" + word[i + 1 :], word[:i] + word[i + 1 : i + 2] + word[i : i + 1] + word[i + 2 :]])
+        if len(other) >= 4 and other != word:
+            assert set(spellings.word_shards(word, 0)) & set(spellings.word_shards(other, 1)), (word, other)
+
+
+def test_shards_give_the_same_links_however_they_are_split(spark):
+    rows = [("a", f"w{k}", 1) for k in range(40)] + [("b", f"w{k}", 1) for k in range(7)]
+    asking, known = (spark.createDataFrame(x, "shard string, word string, n long") for x in (rows, [("a", "wx", 9), ("b", "wy", 9)]))
+
+    def walk(shard):
+        asks = shard["asks"].to_numpy(bool)
+        import pandas as pd
+
+        return pd.DataFrame([(w, k) for w in shard["word"][asks] for k in shard["word"][~asks]], columns=["word", "right"])
+
+    want = {(w, "wx" if s == "a" else "wy") for s, w, _ in rows}
+    for group in (20_000, 3):
+        assert {tuple(r) for r in spellings.in_shards(asking, known, walk, "word string, right string", group).collect()} == want
+
+
+def test_names_with_a_slip_in_the_first_surname_and_shortened_ones(spark):
+    names = ["Sofía Laura Bofatal Datacano"] * 6 + ["Bfatal Datacano, Sofía Laura", "Moxiría Bajalles, Tavo", *["Moxiría Bajalles, Gustavo"] * 4, "S. Bofatal Datacano", "Moxiría Bajalles, G.", "Sofía Laura Bofatal", "Pedro Luis Guaro Linte", "Pedro Iván Guaro Linte", "P. Guaro Linte"]
+    frame = spark.createDataFrame([(i, [n], None) for i, n in enumerate(names + [f"Otro Nombre{chr(97 + k)}, {g}" for k, g in enumerate(["Sofía", "Gustavo", "Pedro", "Laura", "Luis", "Iván"] * 3)])], "seq long, authors array<string>, university string")
+    pairs = {frozenset((r["name_a"], r["name_b"])) for r in spellings.linked(frame).collect()}
+    linked = lambda a, b: frozenset((a, b)) in pairs
+    assert linked("Sofía Laura Bofatal Datacano", "Bfatal Datacano, Sofía Laura") and linked("Moxiría Bajalles, Tavo", "Moxiría Bajalles, Gustavo")
+    assert linked("S. Bofatal Datacano", "Sofía Laura Bofatal Datacano") and linked("Sofía Laura Bofatal", "Sofía Laura Bofatal Datacano") and linked("Moxiría Bajalles, G.", "Moxiría Bajalles, Gustavo")
+    assert not any("P. Guaro Linte" in p for p in pairs)  # fits two persons
+    assert not linked("Pedro Luis Guaro Linte", "Pedro Iván Guaro Linte")
+
+
+def test_pairs_of_a_cluster_in_blocks(spark):
+    frame = spark.createDataFrame([("author", f"n{k:03}", "c") for k in range(50)] + [("author", "alone", "d")], "kind string, name string, cluster string")
+    for rows in (200, 7):
+        assert spellings.pairs_of(frame, rows).count() == 50 * 49 // 2
+
+
 # ---- P6 ----
 
 
