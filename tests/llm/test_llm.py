@@ -480,7 +480,7 @@ def test_walks_bring_two_languages_together_and_links_need_them():
     # candidates with the same four authors shortened to one: the title has to tell, and only trained vectors see that it is the same in another language
     rows, weights = [row(k, 0) for k in range(200)], np.array([5.0, 10.0, -5.0, -2.5, -3.5])
     frame = pd.DataFrame({"title_a": [es for es, _, _ in rows], "title_b": [en for _, en, _ in rows], "other_a": "", "other_b": "", "year_a": 2010, "year_b": 2010})
-    frame = frame.assign(authors_a=[f"ana torbe{k} = |bruno {x}z{k} = |clara {x[:4]}dos = |dario {x[3:]}tres =" for k, (_, _, x) in enumerate(rows)], authors_b=[f"ana torbe{k} =" for k in range(200)])
+    frame = frame.assign(authors_a=[f"ana torbe{k} =|bruno {x}z{k} =|clara {x[:4]}dos =|dario {x[3:]}tres =" for k, (_, _, x) in enumerate(rows)], authors_b=[f"ana torbe{k} =" for k in range(200)])
     taken = {}
     for name, vectors in (("trained", trained), ("dropped", {})):
         x = matches.features(matches.Space((vectors, {}, {"ana", "bruno", "clara", "dario"}, 1000)), frame)
