@@ -527,7 +527,8 @@ def test_linking_joins_titles_with_a_slip(spark):
 
 
 def test_translated_titles_of_a_common_place_are_linked(spark):
-    people = [(f"Ana Torbe{chr(97 + k)}", f"Torbe{chr(97 + k)}, Ana") for k in range(12)]
+    surnames = ["Zamata", "Quirbe", "Lomposo", "Vexisco", "Urnada", "Gaquella", "Tipirro", "Bofatal", "Cenduno", "Hivaga", "Nidolma", "Sarpeco"]
+    people = [(f"Ana {x}", f"{x}, Ana") for x in surnames]
     here = [("el estudio sobre los jovenes del puerto en simloque", "a study of the youngsters with the harbour in simloque"), ("uma pesquisa das pessoas no cais em simloque", "etude des gens dans le quai de simloque")]
     shape = "authors array<string>, year int, doi string"
     rows = [(k, here[k % 2][0], [one], 2010, None) for k, (one, _) in enumerate(people)]
