@@ -488,13 +488,13 @@ def test_walks_bring_two_languages_together_and_links_need_them():
     assert taken["trained"] > taken["dropped"] + 20
 
 
-def test_hot_buckets_in_blocks_give_the_same_pairs(spark, monkeypatch):
+def test_hot_buckets_in_blocks_give_the_same_pairs(spark):
     rows = [(k, 7, 0, 0, 2010, 0, 1 + k % 2) for k in range(60)] + [(100 + k, 8, 0, 0, 2010, 0, 3) for k in range(5)]
     buckets = spark.createDataFrame(rows, "sig long, code long, sketch long, names long, year int, marker long, side int")
     seen = []
-    for hot in (200, 7):
-        monkeypatch.setattr(matches, "HOT", hot)
-        seen.append([{tuple(r) for r in matches.candidates(buckets, two).collect()} for two in (True, False)])
+    for hot in ([], [(7, 9)]):
+        codes = spark.createDataFrame(hot, "code long, blocks int")
+        seen.append([{tuple(r) for r in matches.candidates(buckets, two, codes).collect()} for two in (True, False)])
     assert seen[0] == seen[1] and len(seen[0][1]) == 60 * 59 // 2 + 10
 
 
