@@ -17,8 +17,12 @@ def _points(*rules: tuple[Column, int]) -> Column:
     return total
 
 
-def completeness() -> Column:
-    """0 to 100: how much of a record is filled in."""
+def completeness(sentinels: bool = True) -> Column:
+    """0 to 100: how much of a record is filled in; without ``sentinels`` placeholders count as values."""
+    if not sentinels:
+        return _points(
+            (F.length("title") > 10, 15), (F.length("abstract") > 100, 25), (~no_number(F.col("year")), 10), (~missing(F.col("doi")), 15), (~missing(F.col("pdf_url")), 15), (F.size("authors") > 0, 10), (~missing(F.col("university")), 10),
+        )
     author = F.coalesce(F.try_element_at("authors", F.lit(1)), F.lit(""))
     return _points(
         (F.length("title") > 10, 15), (F.length("abstract") > 100, 25), (~no_number(F.col("year")), 10), (~missing(F.col("doi")), 15), (~missing(F.col("pdf_url")), 15),
@@ -34,8 +38,9 @@ def quality() -> Column:
 
 
 def needs_enhancement() -> Column:
-    tail = F.trim("abstract").rlike(r"(\.\.\.|…|\[\.\.\.\])$")
-    return F.col("abstract").isNull() | (F.length("abstract") < 80) | tail | missing(F.col("pdf_url")) | missing(F.col("university")) | (F.col("university") == NO_UNIVERSITY)
+    tail = F.trim("abstract").rlike(r"(?iu)(\.\.\.|…|\[\.\.\.\]|\.\.\.\s*descripci[oó]n\s+completa)$")
+    author = F.coalesce(F.try_element_at("authors", F.lit(1)) == NO_AUTHOR, F.lit(False))
+    return author | F.col("abstract").isNull() | (F.length("abstract") < 80) | tail | missing(F.col("pdf_url")) | missing(F.col("university")) | (F.col("university") == NO_UNIVERSITY)
 
 
 def file_score(name: Column, octets: Column) -> Column:

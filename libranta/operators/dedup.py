@@ -63,16 +63,17 @@ def batch_key() -> Column:
     return F.coalesce(F.when(~text.missing(doi), F.concat(F.lit("doi:"), doi)), by_title, F.when(~text.missing(F.col("id")), F.concat(F.lit("id:"), F.col("id"))))
 
 
-def batch_dedup(papers: DataFrame, order: str = "seq") -> DataFrame:
-    """(key, winner, quality, first, queries): one row for each key: the best row, ties to the first, and all matched queries in order.
+def batch_dedup(papers: DataFrame, order: str = "seq", *carried: str) -> DataFrame:
+    """(key, winner, quality, first, queries, carried): one row for each key: the best row, ties to the first, and all matched queries in order.
 
-    Rows without a key are dropped. Two aggregates with partial steps; the queries of a key are made distinct before they are collected.
+    Rows without a key are dropped. Two aggregates with partial steps; ``carried`` columns of the winner travel in its struct, and the queries of a key are made
+    distinct before they are collected.
     """
-    rows = papers.select(batch_key().alias("key"), F.col(order).alias("o"), scores.quality().alias("q"), F.col("matched_query").alias("query")).where("key is not null")
-    best = rows.groupBy("key").agg(F.max(F.struct("q", (-F.col("o")).alias("o"))).alias("x"), F.min("o").alias("first"))
+    rows = papers.select(batch_key().alias("key"), F.col(order).alias("o"), scores.quality().alias("q"), F.col("matched_query").alias("query"), *carried).where("key is not null")
+    best = rows.groupBy("key").agg(F.max(F.struct("q", (-F.col("o")).alias("o"), *carried)).alias("x"), F.min("o").alias("first"))
     asked = rows.where("query is not null").groupBy("key", "query").agg(F.min("o").alias("o")).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("o", "query"))).alias("z"))
     joined = F.coalesce(F.array_join(F.transform("z", lambda s: s["query"]), "|"), F.lit(""))
-    return best.join(asked, "key", "left").select("key", (-F.col("x.o")).alias("winner"), F.col("x.q").alias("quality"), "first", joined.alias("queries"))
+    return best.join(asked, "key", "left").select("key", (-F.col("x.o")).alias("winner"), F.col("x.q").alias("quality"), "first", joined.alias("queries"), *(f"x.{c}" for c in carried))
 
 
 def smart_dedup(papers: DataFrame, order: str = "seq") -> DataFrame:

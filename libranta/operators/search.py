@@ -79,10 +79,37 @@ def any_term(query: str, *columns: str, nothing: bool = True) -> Column:
 
 def batch_search(papers: DataFrame, query: str, start: int | None = None, end: int | None = None, most: int = 120) -> DataFrame:
     """(seq, id, title, year, quality, queries): filter, keep the best of each work, filter by year, take the first ``most`` by arrival."""
-    hits = papers.where(any_term(query, "title", "abstract"))
-    best = dedup.batch_dedup(hits)
-    rows = best.join(hits.select(F.col("seq").alias("winner"), "id", "title", "year"), "winner").where(in_years(F.col("year"), start, end))
-    return rows.orderBy("first").limit(most).select(F.col("winner").alias("seq"), "id", "title", "year", "quality", "queries")
+    best = dedup.batch_dedup(papers.where(any_term(query, "title", "abstract")), "seq", "id", "title", "year").where(in_years(F.col("year"), start, end))
+    return best.orderBy("first").limit(most).select(F.col("winner").alias("seq"), "id", "title", "year", "quality", "queries")
+
+
+def budget(most: Column | int, queries: Column | int) -> Column:
+    """How many rows each of several queries may ask for: its share of at most 120, and ten more, between 20 and 60."""
+    most, queries = (x if isinstance(x, Column) else F.lit(x) for x in (most, queries))
+    return F.least(F.lit(60), F.greatest(F.lit(20), F.ceil(F.least(most, F.lit(120)) / queries) + 10)).cast("int")
+
+
+def merged_stats(stats: DataFrame) -> DataFrame:
+    """(source, found, time, errors): the statistics of several queries put together; errors are not carried over."""
+    return stats.groupBy("source").agg(F.sum("found").alias("found"), F.sum("time").alias("time"), F.lit(0).alias("errors"))
+
+
+def seeded_sample(frame: DataFrame, key: str, most: int = 30, seed: int = 42) -> DataFrame:
+    """``most`` rows that a seed picks, the same ones at each call: those of the smallest hashes of key and seed."""
+    return frame.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(most)
+
+
+def formats(name: Column) -> Column:
+    """The kind of document that a file's extension names."""
+    # Extensions and kinds.
+    kinds = {".pdf": "pdf", ".docx": "docx", ".doc": "docx", ".pptx": "pptx", ".ppt": "pptx", ".xlsx": "xlsx", ".xls": "xlsx", ".png": "image", ".jpg": "image", ".jpeg": "image", ".html": "html"}
+    extension = F.regexp_extract(F.lower(name), r"(\.[^./\\]+)$", 1)
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)), extension), F.lit("unknown"))
+
+
+def backoff_seconds(attempt: Column, base: int = 2, factor: int = 2) -> Column:
+    """How long to wait before an attempt is made again: ``factor`` times ``base`` to the power of the attempt."""
+    return (F.pow(F.lit(base), attempt) * factor).cast("int")
 
 
 def ladder(papers: DataFrame, queries: DataFrame, levels: int = 3) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators.docs import ARTICLE, ENGLISH, PRIORITY, SECTIONS, SPANISH, STATISTICS, THESIS
 from ..operators.search import GROUPS
+from . import payloads, works_sql
 
 
 def q(x: str) -> str:
@@ -53,6 +53,19 @@ ANY = f"(contains({HAY}, 'gestión') or contains({HAY}, 'agua') or contains({HAY
 HTML = "('<html><head><title>' || coalesce(title, '') || ' | Repositorio</title><meta name=\"citation_title\" content=\"' || replace(coalesce(title, ''), '\"', '') || '\"><meta content=\"' || coalesce(cast(pub_year as varchar), '') || '-03-01\" name=\"citation_date\"></head></html>')"
 
 
+def META(x: str) -> str:  # noqa: N802
+    """A tag's content as it is read back: without double quotes, references resolved, blanks collapsed."""
+    y = f"trim(replace(replace({x}, '\"', ''), '&#', '#'))"
+    for a, b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''")):
+        y = f"replace({y}, '{a}', '{b}')"
+    y = f"regexp_replace({y}, '\\.{{2,3}}\\s*descripci[oó]n completa\\s*$', '', 'i')"
+    return f"nullif({collapse(y)}, '')"
+
+
+_AUTHORS = "list_filter(list_transform(authors, lambda a: trim(replace(replace(a, '\"', ''), '&#', '#'))), lambda a: length(a) > 2 and not contains(a, '@'))"
+DISTINCT_AUTHORS = "list_transform(list_filter(" + _AUTHORS + ", lambda a, i: list_position(" + _AUTHORS + ", a) = i), lambda a: " + META("a") + ")"
+
+
 def batch(source: str) -> str:
     return (
         f"r as (select {KEY} as key, seq, {QUALITY} as quality, matched_query from {source}), k as (select * from r where key is not null),"
@@ -61,25 +74,8 @@ def batch(source: str) -> str:
     )
 
 
-def sections() -> str:
-    label = lambda n: "case " + " ".join(f"when regexp_matches(line, {q(chr(92) + 'b(?:' + s[2] + ')' + chr(92) + 'b')}, 'i') then {q(s[n])}" for s in SECTIONS) + " end"
-    return (
-        "l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents where text is not null),"
-        " s as (select *, sum(length(line) + 1) over (partition by doc_id order by pos) - length(line) - 1 as start from l), a as (select *, max(start + length(line)) over (partition by doc_id) as total from s),"
-        f" h as (select *, {label(0)} as name, {label(1)} as category from a where length(trim(line)) between 1 and 79),"
-        " sec as (select doc_id, cast(pos as int) as pos, name, category, cast(least(3000, greatest(0, coalesce(lead(start) over (partition by doc_id order by pos), total + 1) - start - length(line) - 1)) as int) as length from h where name is not null)"
-    )
-
-
-def any_of(patterns: list[str], x: str) -> str:
-    return " + ".join(f"case when regexp_matches({x}, {q(p)}, 'i') then 1 else 0 end" for p in patterns)
-
-
 def oracle_sql() -> dict[str, str]:
-    rank = "case category " + " ".join(f"when {q(c)} then {i + 1}" for i, c in enumerate(PRIORITY)) + " else 99 end"
     groups = ", ".join(f"({q(g)}, {q(m)})" for g, members in GROUPS.items() for m in members.split())
-    head = "substr(text, 1, 10000)"
-    count = lambda words: f"len(regexp_extract_all(lower(substr(text, 1, 5000)), {q(chr(92) + 'b(?:' + words + ')' + chr(92) + 'b')}))"
     terms = "list_filter(regexp_split_to_array(regexp_replace(lower(matched_query), '[^A-Za-z0-9_\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 3 and not list_contains(['de','la','el','los','las','un','una','y','o','en','para','con','del','al','como','que','por','sobre','se','su','es','son','ser','si','the','and','of','to','in','on','with','for','at','by','from'], w))"
     distinct = f"list_filter({terms}, lambda w, i: list_position({terms}, w) = i)[1:5]"
     search_dedup = f"with recursive o as (select matched_query, seq, coalesce(lower(doi), '') as k1, coalesce({title_key('title')}, '') as k2, coalesce(nullif(id, ''), nullif(doi, ''), title) as uid, row_number() over (partition by matched_query order by seq) as rn from papers), s as (select matched_query, seq, uid, rn, (k1 <> '' or k2 <> '') as keep, case when k1 <> '' then [k1] else [] end as s1, case when k2 <> '' then [k2] else [] end as s2 from o where rn = 1 union all select o.matched_query, o.seq, o.uid, o.rn, x.keep, case when x.keep and k1 <> '' then list_append(s1, k1) else s1 end, case when x.keep and k2 <> '' then list_append(s2, k2) else s2 end from s join o on o.matched_query is not distinct from s.matched_query and o.rn = s.rn + 1, lateral (select (k1 <> '' or k2 <> '') and not (k1 <> '' and list_contains(s1, k1)) and not (k2 <> '' and list_contains(s2, k2)) as keep) x) select matched_query, min(seq) as seq from s where keep group by matched_query, uid"
@@ -89,7 +85,6 @@ def oracle_sql() -> dict[str, str]:
         "q_year_filter": "select seq, year from papers where year is null or year = 0 or year between 2010 and 2020",
         "q_has_abstract": "select source, count(*) as n from papers where length(abstract) > 0 group by 1",
         "q_accent_search": f"select seq from papers where contains({fold("coalesce(university, '') || ' ' || coalesce(title, '') || ' ' || coalesce(abstract, '')")}, 'gestion del agua')",
-        "q_needs_enhancement": "select seq from papers where abstract is null or length(abstract) < 80 or regexp_matches(trim(abstract), '(\\.\\.\\.|…|\\[\\.\\.\\.\\])$') or pdf_url is null or pdf_url = '' or university is null or university in ('', 'Universidad Peruana')",
         "q_completeness": f"select seq, {SCORE} as score from papers",
         "q_quality": f"select seq, {QUALITY} as score from papers",
         "q_low_scores": f"select source, score, count(*) as n from (select source, {SCORE} as score from papers) where score < 70 group by 1, 2",
@@ -119,31 +114,23 @@ def oracle_sql() -> dict[str, str]:
         "q_doi_extraction": f"select seq, {found_doi('doi')} as found_doi from papers",
         "q_first_year": "select rec_id, cast(nullif(regexp_extract(date_issued, '(\\d{4})', 1), '') as int) as first_year from repo_records",
         "q_clean_abstract": f"select seq, substr({collapse("replace(regexp_replace(abstract, '<[^>]*>', '', 'g'), '&nbsp;', ' ')")}, 1, 500) as clean from papers",
-        "q_unescape": f"select seq, {collapse("'<b> ' || replace(replace(replace(replace(replace(replace(title, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' ') || ' \"x\"'")} as plain from papers where title is not null",
         "q_word_count": "select doc_id, cast(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: length(w) > 1)) as int) as n_words from documents where text is not null",
-        "q_inverted_index": "select doc_id, trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), ' +', ' ', 'g')) as round_trip from documents where trim(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g')) <> ''",
         "q_page_ranges": "select * from (values ('1-5', '0,1,2,3,4'), ('1,3,7', '0,2,6'), ('last3', '7,8,9'), ('first5', '0,1,2,3,4'), ('last', '7,8,9'), ('0', ''), ('8-20', '7,8,9'), ('x', ''), ('3,1,3', '0,2')) t(spec, pages)",
         "q_tags": "select seq, concat_ws(' | ', source, type, cast(year as varchar)) as tags from papers",
         "q_source_expand": f"with recursive e(grp, member) as (values {groups}), x as (select grp, member from e union select x.grp, e.member from x join e on e.grp = x.member) select distinct grp, member from x where member not in (select grp from e)",
         "q_source_alias": "select cast(row_number() over () as int) as pos, source from (select unnest(['alicia', 'renati', 'lareferencia', 'conacyt', 'unam', 'anid', 'oasisbr', 'bdtd', 'snrd', 'minciencias', 'rraae', 'costarica', 'uruguay', 'elsalvador', 'scielo', 'redalyc', 'espana', 'semantic', 'laref_peru', 'mystery']) as source)",
         "q_relaxation_ladder": "with a(query_id, w) as (values (0, ['gestion','del','agua','riego']), (1, ['machine','learning','for','social','capital']), (2, ['energia','solar','fotovoltaica','capital','social']), (3, ['childhood','anaemia','zzzz']), (4, ['turismo','rural','comunitario'])), s as (select query_id, 0 as level, w as need from a union all select query_id, 1, w[1:3] from a union all select query_id, 2, w[1:2] from a), p as (select seq, regexp_split_to_array(strip_accents(lower(title)), '[^a-z0-9]+') as words from papers), h as (select query_id, level, count(*) as n from s join p on list_has_all(p.words, s.need) group by 1, 2) select query_id, min(level) as level, arg_min(n, level) as n from h group by 1",
-        "q_enrich": f"with r as (select {bare('doi')} as k, arg_min(coalesce(university, chr(1)), rec_id) as nu, arg_min(coalesce(year, -1), rec_id) as ny from repo_records where {bare('doi')} <> '' group by 1), p as (select *, {SCORE} as score, {bare('doi')} as k from papers), j as (select p.*, nullif(r.nu, chr(1)) as nu, nullif(r.ny, -1) as ny, (university is null or university in ('', 'Universidad Peruana')) and nullif(r.nu, chr(1)) is not null and r.nu <> '' as tu, (year is null or year = 0) and nullif(r.ny, -1) is not null and r.ny <> 0 as ty from p left join r on p.k = r.k where score < 70) select seq, score, case when tu then nu else university end as university, case when ty then ny else year end as year, concat_ws('|', case when tu then 'university' end, case when ty then 'year' end) as fields from j",
-        "q_title_theta_join": "select seq, min(rec_id) as rec_id from (select seq, lower(substr(title, 1, 20)) as part from papers where length(title) >= 12) p join repo_records r on contains(lower(r.title), p.part) group by 1",
         "q_repo_classify": "with k as (select distinct lower(repository) as repository from repo_records), p as (select seq, coalesce(nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), ''), url) as host from papers where url is not null) select seq, host, coalesce(repository, case when regexp_matches(host, '^(dspace|repositorio)') then 'unknown repository' end) as repository from p left join k on host = repository",
         "q_prefix_conflicts": "select split_part(handle, '/', 1) as prefix, count(distinct repository) as repositories from repo_records where split_part(handle, '/', 1) <> '' group by 1 having count(distinct repository) > 1",
-        "q_full_text": f"select seq, coalesce(a, b, c, d) as location, case when a is not null then 'pdf_url' when b is not null then 'url' when c is not null then 'handle' when d is not null then 'doi' else 'none' end as step from (select seq, case when regexp_matches(pdf_url, '^https?://', 'i') then pdf_url end as a, case when regexp_matches(url, '^https?://', 'i') then url end as b, case when regexp_matches(handle_url, '^https?://', 'i') then handle_url end as c, case when doi is not null and doi <> '' then 'https://doi.org/' || {bare('doi')} end as d from papers)",
         "q_host": "select coalesce(nullif(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)', 1)), ''), url) as host, count(*) as n from papers where url is not null group by 1",
         "q_file_score": "with s as (select university, seq, case when regexp_matches(pdf_url, 'licen|autorizacion|declaracion|formulario|similitud|turnitin', 'i') then -100 else 0 end + case when regexp_matches(pdf_url, 'resumen|abstract|portada|indice|anexo|apendice', 'i') then -50 else 0 end + case when regexp_matches(pdf_url, 'tesis|trabajo_de_grado|proyecto|investigacion|completo|main', 'i') then 50 else 0 end + case when coalesce(citation_count, 0) * 20000 / 1048576.0 > 1 then 10 else 0 end + case when coalesce(citation_count, 0) * 20000 / 1048576.0 > 5 then 20 else 0 end as score from papers where pdf_url is not null and university is not null) select university, seq, score from s qualify row_number() over (partition by university order by score desc, seq) = 1",
-        "q_language_id": f"select doc_id, case when 2 * es > 3 * en then 'es' when 2 * en > 3 * es then 'en' else 'mixed' end as detected from (select doc_id, {count(SPANISH)} as es, {count(ENGLISH)} as en from documents where text is not null)",
-        "q_doc_type": f"select doc_id, case when t >= 2 then 'thesis' when a >= 2 then 'article' when t > a then 'thesis' when a > t then 'article' else 'unknown' end as kind from (select doc_id, {any_of(THESIS, head)} as t, {any_of(ARTICLE, head)} + case when regexp_matches({head}, '\\babstract\\b.*\\bintroduction\\b', 'is') then 1 else 0 end as a from documents where text is not null)",
-        "q_sections": f"with {sections()} select * from sec",
-        "q_section_totals": f"with {sections()} select category, count(*) as n, cast(sum(length) as bigint) as characters, count(distinct doc_id) as documents from sec group by 1",
-        "q_statistics": "select doc_id, family, n from (" + " union all ".join(f"select doc_id, {q(name)} as family, cast(len(regexp_extract_all(text, {q(p)}, 0, 'i')) as int) as n from documents where text is not null" for name, p in STATISTICS) + ") where n > 0",
-        "q_citations": "with r as (select doc_id, regexp_extract(text, '\\b((?:references|bibliography|works\\s+cited)\\b.*)$', 1, 'is') as refs from documents where text is not null), x as (select doc_id, unnest(regexp_extract_all(refs, '\\[(\\d+)\\]\\s*([^\\[]{10,500})', 1)) as i, unnest(regexp_extract_all(refs, '\\[(\\d+)\\]\\s*([^\\[]{10,500})', 2)) as t from r), e as (select doc_id, cast(i as int) as \"index\", trim(regexp_replace(trim(t), '\\s+', ' ', 'g')) as entry from x) select doc_id, \"index\", substr(entry, 1, 300) as entry, trim(regexp_extract(entry, '^([^,.]+)', 1)) as authors, nullif(regexp_extract(entry, '\\b((?:19|20)\\d{2})\\b', 1), '') as year from e",
-        "q_summary_budget": f"with {sections()}, b as (select *, {rank} as rank, least(length, floor(4000 / least(count(*) over (partition by doc_id), 6))) as take from sec), u as (select *, coalesce(sum(take) over (partition by doc_id order by rank, pos rows between unbounded preceding and 1 preceding), 0) as used from b) select doc_id, pos, name, cast(used as bigint) as used_before, cast(least(take, 4000 - used) as bigint) as preview from u where used < 4000",
         "q_preview": "select file_id, substr(text, 1, 500) as preview, cast(length(text) as int) as n_chars from pdf_texts where text is not null",
-        "q_payload_parsers": "select source, count(*) as n, cast(sum(seq) as bigint) as ids, cast(sum(coalesce(year, 0)) as bigint) as years from papers p, (values ('crossref'), ('semantic'), ('openalex'), ('dspace'), ('vufind'), ('dblp'), ('zenodo'), ('doaj'), ('pubmed')) s(source) where p.title is not null and p.doi is not null and p.doi <> '' group by 1".replace("select source", "select s.source").replace("group by 1", "group by s.source"),
-        "q_challenge_pages": f"select page_id from scraped_pages where regexp_matches({HTML} || coalesce(abstract, '') || coalesce(university, '') || coalesce(pdf_url, ''), 'captcha|cloudflare|checking your browser|access denied|verify you are human|anubis|proof-of-work|challenge-platform|just a moment|ddos protection', 'i')",
+        "q_payload_parsers": payloads.parsed_sql(),
+        "q_needs_enhancement": "select seq from papers where coalesce(authors[1] = 'Autor Desconocido', false) or abstract is null or length(abstract) < 80 or regexp_matches(trim(abstract), '(\\.\\.\\.|…|\\[\\.\\.\\.\\]|\\.\\.\\.\\s*descripci[oó]n\\s+completa)$', 'i') or pdf_url is null or pdf_url = '' or university is null or university in ('', 'Universidad Peruana')",
+        "q_title_theta_join": "select seq, min(rec_id) as rec_id from (select seq, lower(substr(title, 1, 20)) as part from papers where length(title) >= 1) p join repo_records r on contains(lower(r.title), p.part) group by 1",
+        "q_inverted_index": "select doc_id, trim(regexp_replace(regexp_replace(text, '[\\n\\t\\r]', ' ', 'g'), ' +', ' ', 'g')) as round_trip from documents where trim(regexp_replace(text, '[\\n\\t\\r]', ' ', 'g')) <> ''",
+        "q_unescape": f"select seq, {collapse("'<b> éé ' || replace(replace(replace(replace(replace(replace(title, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', '''') || ' \"x\"'")} as plain from papers where title is not null",
+        "q_meta_extract": f"select page_id, {META('title')} as title, coalesce(array_to_string(list_filter({DISTINCT_AUTHORS}, lambda a: a <> ''), '|'), '') as authors, pub_year as year, nullif(trim(pdf_url), '') as pdf_url, {META('university')} as university, case when length(trim(replace(abstract, '\"', ''))) > 50 then {META('abstract')} end as abstract from scraped_pages",
+        **works_sql.oracle_sql(),
         "q_tables": "select md_id, cast(len(regexp_extract_all(markdown, '(<table.*?</table>)', 1, 'is')) + len(regexp_extract_all(markdown, '(?m)((?:^\\|[^\\n]*\\|[ ]*\\n?)+)', 1)) as int) as n_tables from markdown_results where markdown is not null",
-        "q_meta_extract": "select page_id, trim(regexp_replace(case when replace(coalesce(title, ''), '\"', '') <> '' then TITLE end, '\\s+', ' ', 'g')) as title, pub_year as year, nullif(trim(pdf_url), '') as pdf_url, nullif(trim(split_part(university, '''', 1)), '') as university from scraped_pages".replace("TITLE", "replace(replace(replace(replace(replace(replace(trim(split_part(replace(title, '\"', ''), '''', 1)), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' ')"),
     }

@@ -16,7 +16,7 @@ PAYLOADS = {
     "scielo": "to_json(named_struct('message', named_struct('items', array(named_struct('DOI', doi, 'title', array(title), 'author', transform(authors, a -> named_struct('family', a)), 'published', named_struct('date-parts', array(array(year))), 'abstract', abstract)))))",
     "openalex": "to_json(named_struct('results', array(named_struct('id', id, 'title', title, 'doi', 'https://doi.org/' || doi, 'publication_year', year, 'authorships', transform(authors, a -> named_struct('author', named_struct('display_name', a))), 'abstract_inverted_index', map('one', array(0, 2), 'two', array(1))))))",
     "semantic": "'noise ' || to_json(named_struct('data', array(named_struct('paperId', id, 'title', title, 'authors', " + _NAMED + ", 'year', year, 'abstract', abstract, 'externalIds', named_struct('DOI', doi))))) || ' tail'",
-    "scopus": "to_json(named_struct('search-results', named_struct('entry', array(named_struct('dc:identifier', id, 'dc:title', title, 'dc:creator', authors[0], 'prism:coverDate', " + _DAY + ", 'dc:description', abstract, 'prism:doi', doi)))))",
+    "scopus": "to_json(named_struct('search-results', named_struct('entry', array(named_struct('dc:identifier', id, 'dc:title', title, 'dc:creator', get(authors, 0), 'prism:coverDate', " + _DAY + ", 'dc:description', abstract, 'prism:doi', doi)))))",
     "zenodo": "to_json(named_struct('hits', named_struct('hits', array(named_struct('id', id, 'metadata', named_struct('title', title, 'creators', " + _NAMED + ", 'publication_date', " + _DAY + ", 'description', abstract, 'doi', doi))))))",
     "openaire": "to_json(named_struct('response', named_struct('results', named_struct('result', array(named_struct('header', named_struct('dri:objIdentifier', named_struct('$', 'a:' || id)), 'metadata', named_struct('oaf:entity', named_struct('oaf:result', named_struct('title', named_struct('$', title), 'creator', transform(authors, a -> named_struct('$', a)), 'pid', array(named_struct('@classid', 'other', '$', 'x'), named_struct('@classid', 'doi', '$', doi)), 'dateofacceptance', named_struct('$', " + _DAY + "), 'description', named_struct('$', abstract))))))))))",
     "doaj": "to_json(named_struct('results', array(named_struct('id', id, 'bibjson', named_struct('title', title, 'author', " + _NAMED + ", 'year', cast(year as string), 'abstract', abstract, 'identifier', array(named_struct('type', 'issn', 'id', 'x'), named_struct('type', 'doi', 'id', doi)))))))",
@@ -27,8 +27,8 @@ PAYLOADS = {
     "paperswithcode": "to_json(named_struct('results', array(named_struct('id', id, 'title', title, 'abstract', abstract, 'authors', authors, 'published', " + _DAY + "))))",
     "huggingface": "to_json(array(named_struct('title', 'outer', 'paper', named_struct('id', id, 'title', title, 'authors', " + _NAMED + ", 'summary', abstract, 'publishedAt', " + _DAY + "))))",
     "openreview": "to_json(named_struct('notes', array(named_struct('id', id, 'content', named_struct('title', named_struct('value', title), 'abstract', named_struct('value', abstract), 'authors', named_struct('value', authors), 'venue', named_struct('value', 'V ' || lpad(cast(year as string), 4, '0')))))))",
-    "dspace": "to_json(named_struct('items', array(named_struct('uuid', id, 'metadata', array(named_struct('key', 'dc.title', 'value', title), named_struct('key', 'dc.contributor.author', 'value', authors[0]), named_struct('key', 'dc.contributor.author', 'value', 'second'), named_struct('key', 'dc.date.issued', 'value', " + _DAY + "), named_struct('key', 'dc.identifier.doi', 'value', doi), named_struct('key', 'dc.description.abstract', 'value', abstract))))))",
-    "solr": "to_json(named_struct('response', named_struct('docs', array(named_struct('id', id, 'title', title, 'author', authors[0], 'date', " + _DAY + ", 'description', abstract)))))",
+    "dspace": "to_json(named_struct('items', array(named_struct('uuid', id, 'metadata', array(named_struct('key', 'dc.title', 'value', title), named_struct('key', 'dc.contributor.author', 'value', get(authors, 0)), named_struct('key', 'dc.contributor.author', 'value', 'second'), named_struct('key', 'dc.date.issued', 'value', " + _DAY + "), named_struct('key', 'dc.identifier.doi', 'value', doi), named_struct('key', 'dc.description.abstract', 'value', abstract))))))",
+    "solr": "to_json(named_struct('response', named_struct('docs', array(named_struct('id', id, 'title', title, 'author', get(authors, 0), 'date', " + _DAY + ", 'description', abstract)))))",
     "vufind": "to_json(named_struct('records', array(named_struct('id', id, 'title', title, 'authors', authors, 'publicationDates', array(" + _DAY + "), 'summary', array(abstract), 'doi', doi))))",
     "pubmed": "to_json(named_struct('result', map_from_arrays(array(id), array(named_struct('title', title, 'authors', " + _NAMED + ", 'pubdate', lpad(cast(year as string), 4, '0') || ' Mar', 'elocationid', 'doi: ' || doi)))))",
     "arxiv": "'<feed><entry><id>' || id || '</id><title>' || coalesce(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '') || '</title><summary>' || coalesce(replace(replace(abstract, '&', '&amp;'), '<', '&lt;'), '') || '</summary><published>' || coalesce(" + _DAY + ", '') || '</published></entry></feed>'",

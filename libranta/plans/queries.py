@@ -9,16 +9,19 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from ..operators import dedup, docs, enrich, pages, search
-from ..sources import parsers
 from ..streaming import state
 from ..tables import table, utc
+from . import payloads, works
 
 Query = Callable[[SparkSession, str], DataFrame]
 WORDS, START, END = "gestión agua estrés", 2010, 2020
 ASKED = ["gestión del agua de riego", "machine learning for social capital", "energía solar fotovoltaica y capital social", "childhood anaemia zzzz", "turismo rural comunitario"]
 EXPANDED = ["iberoamerica", "España", "semantic_scholar", "peru", "mystery"]
 SPECS = ["1-5", "1,3,7", "last3", "first5", "last", "0", "8-20", "x", "3,1,3"]
-HEAD = "'<html><head><title>' || coalesce(title, '') || ' | Repositorio</title><meta name=\"citation_title\" content=\"' || replace(coalesce(title, ''), '\"', '') || '\"><meta content=\"' || coalesce(cast(pub_year as string), '') || '-03-01\" name=\"citation_date\"><meta name=\"citation_pdf_url\" content=\"' || coalesce(pdf_url, '') || '\"><meta name=\"dc.publisher\" content=\"' || coalesce(university, '') || '\"><meta name=\"description\" content=\"' || replace(coalesce(abstract, ''), '\"', '') || '\"></head></html>'"
+HEAD = (
+    "'<html><head><title>' || coalesce(title, '') || ' | Repositorio</title><meta name=\"citation_title\" content=\"' || replace(replace(coalesce(title, ''), '\"', ''), '&#', '#') || '\">' || coalesce(array_join(transform(authors, a -> '<meta content=\"' || replace(replace(a, '\"', ''), '&#', '#') || '\" name=\"DC.creator\">'), ''), '')"
+    " || '<meta content=\"' || coalesce(cast(pub_year as string), '') || '-03-01\" name=\"citation_date\"><meta name=\"citation_pdf_url\" content=\"' || coalesce(pdf_url, '') || '\"><meta property=\"dc.publisher\" content=\"' || replace(replace(coalesce(university, ''), '\"', ''), '&#', '#') || '\"><meta name=\"description\" content=\"' || replace(replace(coalesce(abstract, ''), '\"', ''), '&#', '#') || '\"></head></html>'"
+)
 
 
 def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,33 +33,12 @@ def _papers(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "papers")
 
 
-def payloads(s: SparkSession, d: str) -> DataFrame:
-    """Ten payload notations written from papers and read back by their parsers: a synthetic derivation."""
-    p = _papers(s, d).where("title is not null and doi is not null and doi <> ''").select(F.col("seq").cast("string").alias("id"), "title", F.coalesce("year", F.lit(0)).alias("year"), text.bare_doi(F.col("doi")).alias("doi"))
-    raw = {
-        "crossref": F.to_json(F.struct(F.struct(F.array(F.struct(F.col("id").alias("DOI"), F.array("title").alias("title"), F.struct(F.array(F.array("year")).alias("date-parts")).alias("published"))).alias("items")).alias("message"))),
-        "semantic": F.concat(F.lit("garbage "), F.to_json(F.struct(F.array(F.struct(F.col("id").alias("paperId"), "title", "year")).alias("data"))), F.lit(" tail")),
-        "openalex": F.to_json(F.struct(F.array(F.struct("id", "title", F.col("year").alias("publication_year"))).alias("results"))),
-        "dspace": F.to_json(F.struct(F.array(F.struct(F.col("id").alias("uuid"), F.array(F.struct(F.lit("dc.title").alias("key"), F.col("title").alias("value")), F.struct(F.lit("dc.date.issued").alias("key"), F.lpad(F.col("year").cast("string"), 4, "0").alias("value"))).alias("metadata"))).alias("items"))),
-        "vufind": F.to_json(F.struct(F.array(F.struct("id", "title", F.array(F.lpad(F.col("year").cast("string"), 4, "0")).alias("publicationDates"))).alias("records"))),
-        "dblp": F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.struct(F.col("id").alias("key"), "title", F.col("year").cast("string").alias("year")).alias("info"))).alias("hit")).alias("hits")).alias("result"))),
-        "zenodo": F.to_json(F.struct(F.struct(F.array(F.struct("id", F.struct("title", F.lpad(F.col("year").cast("string"), 4, "0").alias("publication_date")).alias("metadata"))).alias("hits")).alias("hits"))),
-        "doaj": F.to_json(F.struct(F.array(F.struct("id", F.struct("title", F.col("year").cast("string").alias("year")).alias("bibjson"))).alias("results"))),
-        "pubmed": F.to_json(F.struct(F.map_from_arrays(F.array("id"), F.array(F.struct("title", F.lpad(F.col("year").cast("string"), 4, "0").alias("pubdate")))).alias("result"))),
-    }
-    out = None
-    for name, column in raw.items():
-        part = parsers.PARSERS[name](p.select(column.alias("raw"))).select(F.lit(name).alias("source"), "id", "year")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("id").cast("long")).alias("ids"), F.sum("year").alias("years"))
-
-
 def inverted_round_trip(s: SparkSession, d: str) -> DataFrame:
-    """Every text as an inverted index and back."""
-    words = F.split(F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z0-9 ]", ""), " +", " ")), " ")
-    rows = table(s, d, "documents").where("text is not null").select("doc_id", F.posexplode(words).alias("p", "w")).where("w <> ''")
-    index = rows.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
-    return index.select("doc_id", text.inverted_text(F.col("index")).alias("round_trip"))
+    """Every text as an inverted index and back; the index is built inside the row."""
+    words = F.split(F.trim(F.regexp_replace(F.translate("text", "\n\t\r", "   "), " +", " ")), " ")
+    rows = table(s, d, "documents").where("text is not null").select("doc_id", words.alias("w")).where("array_join(w, '') <> ''")
+    index = F.map_from_arrays(F.array_distinct("w"), F.transform(F.array_distinct("w"), lambda k: F.filter(F.transform("w", lambda x, i: F.when(x == k, i)), lambda i: i.isNotNull())))
+    return rows.select("doc_id", text.inverted_text(index).alias("round_trip"))
 
 
 def queries() -> dict[str, Query]:
@@ -94,40 +76,39 @@ def queries() -> dict[str, Query]:
         "q_dedup_key": lambda s, d: _papers(s, d).select("seq", dedup.batch_key().alias("dedup_key")),
         "q_boolean_query": lambda s, d: _papers(s, d).select("seq", text.boolean_query(F.col("matched_query")).alias("boolean_query")),
         "q_simplify": lambda s, d: _papers(s, d).select("seq", text.simple_query(F.col("title")).alias("short_query")),
-        "q_sanitize": lambda s, d: _papers(s, d).select("seq", text.sanitised(F.concat(F.lit("claro, \\textbf{"), "matched_query", F.lit("} `x` (y)"))).alias("clean_query")),
+        "q_sanitize": lambda s, d: _papers(s, d).select("seq", text.sanitised(F.concat(F.lit("Claro, la consulta: \\textbf{"), "matched_query", F.lit("} `x` (y)"))).alias("clean_query")),
         "q_record_id": lambda s, d: _papers(s, d).where("url is not null and title is not null").select("seq", text.record_id(text.folded(F.col("url")), F.regexp_replace(text.folded(F.col("title")), r"[^\x00-\x7f]", "")).alias("record_id")),
         "q_doi_extraction": lambda s, d: _papers(s, d).select("seq", text.found_doi(F.col("doi")).alias("found_doi")),
         "q_first_year": lambda s, d: t(s, d, "repo_records").select("rec_id", text.first_year(F.col("date_issued")).alias("first_year")),
         "q_clean_abstract": lambda s, d: _papers(s, d).select("seq", text.stripped_abstract(F.col("abstract")).alias("clean")),
-        "q_unescape": lambda s, d: _papers(s, d).where("title is not null").select("seq", text.unescaped(F.concat(F.lit("&amp;lt;b&gt; "), "title", F.lit("&nbsp;&quot;x&quot;"))).alias("plain")),
+        "q_unescape": lambda s, d: _papers(s, d).where("title is not null").select("seq", text.unescaped(F.concat(F.lit("&amp;lt;b&gt; &#233;&#xe9; "), "title", F.lit("&nbsp;&quot;x&quot;"))).alias("plain")),
         "q_word_count": lambda s, d: t(s, d, "documents").where("text is not null").select("doc_id", text.word_count(F.col("text")).alias("n_words")),
         "q_inverted_index": inverted_round_trip,
         "q_page_ranges": lambda s, d: s.createDataFrame([(x,) for x in SPECS], "spec string").select("spec", F.array_join(text.page_list(F.col("spec"), F.lit(10)), ",").alias("pages")),
-        "q_smart_truncate": lambda s, d: t(s, d, "markdown_results").where("markdown is not null").select("md_id", F.length(text.cut_smartly(F.col("markdown"), 1000)).alias("kept")),
+        "q_smart_truncate": lambda s, d: t(s, d, "markdown_results").where("markdown is not null").select("md_id", text.cut_smartly(F.col("markdown"), 1000).alias("kept")),
         "q_tags": lambda s, d: _papers(s, d).select("seq", F.concat_ws(" | ", "source", "type", F.col("year").cast("string")).alias("tags")),
         "q_source_expand": lambda s, d: search.group_members(s),
         "q_source_alias": lambda s, d: s.createDataFrame([(i + 1, x) for i, x in enumerate(search.expanded(EXPANDED))], "pos int, source string"),
         "q_relaxation_ladder": lambda s, d: search.ladder(_papers(s, d), s.createDataFrame(list(enumerate(ASKED)), "query_id int, query string")),
-        "q_enrich": lambda s, d: enrich.enriched(_papers(s, d), t(s, d, "repo_records")),
         "q_title_theta_join": lambda s, d: enrich.title_matches(_papers(s, d), t(s, d, "repo_records")),
         "q_repo_classify": lambda s, d: enrich.classified(_papers(s, d), t(s, d, "repo_records")),
         "q_prefix_conflicts": lambda s, d: enrich.prefix_conflicts(t(s, d, "repo_records")),
-        "q_full_text": lambda s, d: enrich.full_text_locations(_papers(s, d)),
         "q_host": lambda s, d: _papers(s, d).where("url is not null").groupBy(pages.host(F.col("url")).alias("host")).agg(F.count("*").alias("n")),
         "q_file_score": lambda s, d: _papers(s, d).where("pdf_url is not null and university is not null").select("university", "seq", scores.file_score(F.col("pdf_url"), F.coalesce("citation_count", F.lit(0)) * 20000).alias("score")).groupBy("university").agg(F.max(F.struct("score", (-F.col("seq")).alias("o"))).alias("x")).select("university", (-F.col("x.o")).alias("seq"), F.col("x.score").alias("score")),
-        "q_meta_extract": lambda s, d: pages.metadata(html_pages(s, d), "page_id", "html").select("page_id", "title", "year", "pdf_url", "university"),
-        "q_challenge_pages": lambda s, d: html_pages(s, d).where(pages.is_challenge(F.col("html"))).select("page_id"),
+        "q_meta_extract": lambda s, d: pages.metadata(html_pages(s, d), "page_id", "html").select("page_id", "title", "authors", "year", "pdf_url", "university", "abstract"),
+        "q_challenge_pages": lambda s, d: works.shells(s, d).where(pages.is_challenge(F.col("html"))).select("page_id"),
         "q_tables": lambda s, d: t(s, d, "markdown_results").where("markdown is not null").select("md_id", F.size(pages.tables(F.col("markdown"))).alias("n_tables")),
         "q_formulas": lambda s, d: t(s, d, "markdown_results").where("markdown is not null").select("md_id", F.array_join(pages.formulas(F.concat(F.lit("$$a+b$$ x \\(c\\) $$ a+b $$ "), "markdown")), "|").alias("found")),
         "q_language_id": lambda s, d: t(s, d, "documents").where("text is not null").select("doc_id", docs.language(F.col("text")).alias("detected")),
         "q_doc_type": lambda s, d: t(s, d, "documents").where("text is not null").select("doc_id", docs.document_type(F.col("text")).alias("kind")),
         "q_sections": lambda s, d: docs.sections(t(s, d, "documents"), "doc_id", "text"),
-        "q_section_totals": lambda s, d: docs.sections(t(s, d, "documents"), "doc_id", "text").groupBy("category").agg(F.count("*").alias("n"), F.sum("length").alias("characters"), F.count_distinct("doc_id").alias("documents")),
-        "q_statistics": lambda s, d: docs.statistics(t(s, d, "documents"), "doc_id", "text"),
+        "q_section_totals": lambda s, d: docs.sections(t(s, d, "documents"), "doc_id", "text").groupBy("category").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("characters"), F.count_distinct("doc_id").alias("documents")),
+        "q_statistics": lambda s, d: docs.statistics(t(s, d, "documents"), "doc_id", "text").withColumn("matches", F.array_join("matches", "|")),
         "q_citations": lambda s, d: docs.citations(t(s, d, "documents"), "doc_id", "text"),
-        "q_summary_budget": lambda s, d: docs.budget(docs.sections(t(s, d, "documents"), "doc_id", "text"), "doc_id"),
+        "q_summary_budget": lambda s, d: docs.summary(t(s, d, "documents"), "doc_id", "text", 4000),
         "q_preview": lambda s, d: t(s, d, "pdf_texts").where("text is not null").select("file_id", F.substring("text", 1, 500).alias("preview"), F.length("text").alias("n_chars")),
-        "q_payload_parsers": payloads,
+        **works.queries(),
+        "q_payload_parsers": payloads.parsed,
     }
 
 

@@ -21,6 +21,10 @@ from ..tables import utc
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _like(pattern: str):
+    return lambda x: x.rlike(pattern)
+
+
 def by_doi(s: SparkSession, d: str, columns: str, test: str) -> DataFrame:
     """(key, columns): for each bare DOI the first paper for which ``test`` holds."""
     rows = t(s, d, "papers").where(test)
@@ -63,7 +67,7 @@ def queries() -> dict[str, Query]:
     scraped = lambda s, d: enrich.first_by(t(s, d, "papers").where("length(abstract) > 200 and handle_url is not null"), F.col("handle_url"), "seq", "abstract", "university", "authors", "pdf_url")
     full = lambda s, d: enrich.enriched(t(s, d, "papers"), works(s, d), found(s, d), access(s, d), scraped(s, d))
     repositories = lambda s, d: t(s, d, "repo_records").where("handle like '%/%'").groupBy(F.substring_index("handle", "/", 1).alias("pattern")).agg(F.min("rec_id").alias("ord"), F.min(F.concat(F.lit("https://"), F.col("repository"))).alias("base"), F.min("repository").alias("name"))
-    papers_by_query = lambda s, d, test: t(s, d, "papers").where(test).select(F.pmod(F.crc32("matched_query"), F.lit(97)).cast("int").alias("query_id"), "seq")
+    papers_by_query = lambda s, d, test: t(s, d, "papers").where(test).select((F.length("matched_query") % 97).cast("int").alias("query_id"), "seq")
     doc = lambda s, d: t(s, d, "documents")
     return {
         "q_analysis_sections": lambda s, d: docs.analysed_sections(doc(s, d), "doc_id", "text").withColumn("statistics", F.array_join(F.transform("statistics", lambda x: F.concat(x["family"], F.lit(":"), x["n"].cast("string"))), "|")),
@@ -94,7 +98,7 @@ def queries() -> dict[str, Query]:
         "q_merged_fallback": lambda s, d: enrich.merged_fallback(papers_by_query(s, d, "source = 'renata'").withColumn("id", F.col("seq") % 50).drop("seq"), papers_by_query(s, d, "source = 'alixia'").withColumn("id", F.col("seq") % 50).drop("seq")),
         "q_via": lambda s, d: parsers.via(t(s, d, "papers").select("seq"), "Redalyc", "OpenAlex"),
         "q_page_abstract": lambda s, d: t(s, d, "scraped_pages").select("page_id", pages.page_abstract(F.expr(BODY)).alias("abstract")),
-        "q_record_page": lambda s, d: pages.record_page(t(s, d, "scraped_pages").select("page_id", F.expr("'<title>' || regexp_replace(coalesce(title, ''), '[<>|]', '') || '</title><h3>Descripción del Artículo</h3> <p>' || regexp_replace(coalesce(abstract, ''), '[<>]', '') || '</p></div><a href=\"https://hdl.handle.net/1/' || page_id || '\">h</a><a href=\"/bitstream/' || page_id || '/x.pdf\">f</a>'").alias("html")), "page_id", "html").select("page_id", "abstract", "handle", "pdf_url"),
+        "q_record_page": lambda s, d: pages.record_page(t(s, d, "scraped_pages").select("page_id", F.expr("'<title>' || regexp_replace(coalesce(title, ''), '[<>|]', '') || '</title><h3>Descripción del Artículo</h3> <p>' || replace(regexp_replace(coalesce(abstract, ''), '[<>]', ''), '&#', '#') || '</p></div><a href=\"https://hdl.handle.net/1/' || page_id || '\">h</a><a href=\"/bitstream/' || page_id || '/x.pdf\">f</a>'").alias("html")), "page_id", "html").select("page_id", "abstract", "handle", "pdf_url"),
         "q_bitstreams": lambda s, d: links_page(s, d).select("page_id", F.array_join(pages.bitstreams(F.col("html"), F.col("url")), " ").alias("links")),
         "q_best_file": lambda s, d: t(s, d, "papers").where("pdf_url <> ''").groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "pdf_url", "citation_count"))), lambda x: F.struct(F.concat(F.substring_index(x["pdf_url"], "/", -1), F.lit(".pdf")).alias("name"), (F.coalesce(x["citation_count"], F.lit(0)) * 20000).alias("octets"), x["pdf_url"].alias("url"))).alias("files")).select("source", pages.best_bitstream(F.array(F.struct(F.lit("LICENSE").alias("name"), F.col("files")), F.struct(F.lit("ORIGINAL").alias("name"), F.col("files"))), scores.file_score).alias("best")),
         "q_shell_pages": lambda s, d: shells(s, d).where(pages.is_shell(F.col("html"))).select("page_id"),
@@ -109,7 +113,7 @@ def queries() -> dict[str, Query]:
         "q_merged_stats": lambda s, d: search.merged_stats(t(s, d, "papers").groupBy("matched_query", "source").agg(F.count("*").alias("found"), F.sum(F.length("title")).alias("time"))),
         "q_seeded_sample": lambda s, d: search.seeded_sample(doc(s, d).select("doc_id"), "doc_id"),
         "q_low_first": lambda s, d: t(s, d, "papers").select("seq", scores.completeness().alias("score")).where("score < 70").orderBy("score", "seq").limit(50),
-        "q_block_counts": lambda s, d: t(s, d, "markdown_results").where("markdown is not null").select("md_id", F.split("markdown", "\n").alias("l")).select("md_id", *(F.nullif(F.size(F.filter("l", lambda x, p=p: x.rlike(p))), F.lit(0)).alias(n) for n, p in (("headings", r"^#+\s"), ("rows", r"^\s*\|"), ("texts", r"^\p{L}")))),
+        "q_block_counts": lambda s, d: t(s, d, "markdown_results").where("markdown is not null").select("md_id", F.split("markdown", "\n").alias("l")).select("md_id", *(F.nullif(F.size(F.filter("l", _like(p))), F.lit(0)).alias(n) for n, p in (("headings", r"^#+\s"), ("rows", r"^\s*\|"), ("texts", r"^\p{L}")))),
         "q_cache_age": lambda s, d: state.cache_report(utc(t(s, d, "events")), "ts"),
         "q_serial_queue": lambda s, d: state.serial_queue(utc(t(s, d, "events")), "ts", "event_id"),
         "q_backoff": lambda s, d: s.range(6).select(F.col("id").alias("attempt"), search.backoff_seconds(F.col("id")).alias("seconds"), search.backoff_seconds(F.col("id"), 3, 3).alias("slow")),

@@ -134,6 +134,12 @@ DISTINCT_GOT = "array_to_string(list_filter(got, lambda x, i: list_position(got,
 CLEAN = "regexp_replace({}, '[<>]', '', 'g')"
 
 
+def _entities(x: str) -> str:
+    for a, b in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
 def oracle_sql() -> dict[str, str]:
     seg, rank = segments("summary"), "case category " + " ".join(f"when '{c}' then {i + 1}" for i, c in enumerate(ORDER)) + " else 99 end"
     head = "substr(text, 1, 10000)"
@@ -151,7 +157,7 @@ def oracle_sql() -> dict[str, str]:
     year = "nullif(regexp_extract(entry, '\\b((?:19|20)\\d{2})\\b', 1), '')"
     link_kind = "case when not regexp_matches(x, '^https?://') and (contains(x, '/mnt/user-data/') or contains(x, '/mnt/user/') or contains(x, '/tmp/') or contains(x, '/uploads/') or contains(x, '/var/data/')) then 'local' when regexp_matches(lower(x), '\\.pdf(?:[?#]|$)') then 'pdf' when regexp_matches(x, '(?:^|[/.])pmc\\.ncbi|/pmc/|^PMC\\d+$', 'i') then 'pmc' when regexp_matches(x, '^10\\.\\d{4,9}/') or regexp_matches(x, 'doi\\.org/10\\.', 'i') then 'doi' when contains(x, '/handle/') then 'handle' when regexp_matches(x, '^https?://') then 'page' end"
     dim = "dim as (select split_part(handle, '/', 1) as pattern, min(rec_id) as ord, min('https://' || repository) as base, min(repository) as name from repo_records where handle like '%/%' group by 1)"
-    byq = lambda test: f"(select cast(abs(crc(matched_query)) as int) as query_id, seq from papers where {test})"
+    byq = lambda test: f"select cast(length(matched_query) % 97 as int) as query_id, seq from papers where {test}"
     last = "regexp_replace(regexp_extract(strip_accents(lower(authors[1])), '([^ ]*)$', 1), '[^a-z]', '', 'g')"
     page_text = "regexp_replace(coalesce(abstract, ''), '[<>\"'']', '', 'g')"
     details = (
@@ -161,7 +167,13 @@ def oracle_sql() -> dict[str, str]:
     )
     need = "(coalesce(p.authors[1] = 'Autor Desconocido', false) or p.abstract is null or length(p.abstract) < 80 or regexp_matches(trim(p.abstract), '(\\.\\.\\.|…|\\[\\.\\.\\.\\]|\\.\\.\\.\\s*descripci[oó]n\\s+completa)$', 'i') or p.pdf_url is null or p.pdf_url = '' or p.university is null or p.university in ('', 'Universidad Peruana'))"
     has = lambda c: f"coalesce({c} <> '', false)"
-    pt = [("análisis", "análise"), ("calidad", "qualidade")]
+    # Spanish words and their Portuguese forms, in the order in which they are put.
+    pt = [
+        ("investigación", "pesquisa"), ("investigacion", "pesquisa"), ("estudio", "estudo"), ("análisis", "análise"), ("analisis", "analise"), ("desarrollo", "desenvolvimento"), ("evaluación", "avaliação"), ("evaluacion", "avaliacao"),
+        ("optimización", "otimização"), ("optimizacion", "otimizacao"), ("mejora", "melhoria"), ("proceso", "processo"), ("producción", "produção"), ("produccion", "producao"), ("calidad", "qualidade"), ("efecto", "efeito"),
+        ("aplicación", "aplicação"), ("aplicacion", "aplicacao"), ("universidad", "universidade"), ("tesis", "tese"), ("maestría", "mestrado"), ("maestria", "mestrado"), ("doctorado", "doutorado"), ("suelo", "solo"), ("agua", "água"),
+        ("rendimiento", "rendimento"), ("crecimiento", "crescimento"), ("diseño", "design"), ("construcción", "construção"), ("construccion", "construcao"), ("estructura", "estrutura"), ("salud", "saúde"), ("enfermedad", "doença"), ("tratamiento", "tratamento"),
+    ]
     return {
         "q_sections": f"with {segments('detect')} select doc_id, pos, name, category, start, substr(content, 1, 3000) as content from sec",
         "q_section_totals": f"with {segments('detect')} select category, count(*) as n, cast(sum(length(substr(content, 1, 3000))) as bigint) as characters, count(distinct doc_id) as documents from sec group by 1",
@@ -203,6 +215,14 @@ def oracle_sql() -> dict[str, str]:
         "q_pdf_bytes": "select file_id, file_id % 2 = 0 and octet_length(encode('%PDF-' || text)) > 1500 as pdf from pdf_texts where text is not null",
         "q_dspace7": "select cast(rec_id as varchar) as id, nullif(title, '') as title, array_to_string(list_append(coalesce(authors, []), 'Z'), '|') as authors, cast(nullif(regexp_extract(date_issued, '(\\d{4})', 1), '') as int) as year, 'Here' as university from repo_records",
         "q_portuguese": "select seq, trim(replace(" + "x" + ", chr(1), '')) as query from (select seq, " + "regexp_replace(" * len(pt) + "lower(concat_ws(' ', matched_query, 'análisis de la calidad'))" + "".join(f", '\\b{a}\\b', '{b}', 'g')" for a, b in pt) + " as x from papers)",
+        "q_fallback": f"with a as ({byq("source = 'alixia'")}), b as ({byq("source = 'renata'")}), c as ({byq("source = 'indexa'")}), x as (select *, 0 as level, 'Main' as source from a union all select *, 1, 'Main (via openalex)' from b union all select *, 2, 'Main (via scielo)' from c) select query_id, seq, source, level > 0 as is_fallback from (select *, min(level) over (partition by query_id) as first from x where query_id is not null) where level = first",
+        "q_merged_fallback": f"with a as (select query_id, seq % 50 as id from ({byq("source = 'renata'")})), b as (select query_id, seq % 50 as id from ({byq("source = 'alixia'")})), n as (select query_id, count(*) as n from a group by 1) select * from a union all select b.query_id, b.id from b left join n using (query_id) where coalesce(n, 0) < 5 and not exists (select 1 from a where a.query_id = b.query_id and a.id = b.id)",
+        "q_record_page": f"with p as (select page_id, trim(regexp_replace(replace(regexp_replace(coalesce(abstract, ''), '[<>]', '', 'g'), '&#', '#'), '\\s+', ' ', 'g')) as a from scraped_pages) select page_id, case when length(a) > 50 and not contains(a, 'Repositorio Institucional') then trim(regexp_replace(regexp_replace({_entities('a')}, '\\.{{2,3}}\\s*descripci[oó]n completa\\s*$', '', 'i'), '\\s+', ' ', 'g')) end as abstract, 'https://hdl.handle.net/1/' || page_id as handle, '/bitstream/' || page_id || '/x.pdf' as pdf_url from p",
+        "q_record_id": f"select seq, 'rec_' || lower(to_base(abs(h), 36)) as record_id from (select seq, list_reduce(list_prepend(0::bigint, list_transform(string_split(x, ''), lambda c: ascii(c)::bigint)), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648) as h from (select seq, strip_accents(lower(url)) || '|' || regexp_replace(strip_accents(lower(title)), '[^\\x00-\\x7f]', '', 'g') as x from papers where url is not null and title is not null))",
+        "q_recover": f"with r0 as (select p.seq, p.title as t0, {bare('p.doi')} as d from papers p where p.doi <> ''), r1 as (select r0.*, a.key is not null as ga, coalesce(nullif(a.title, ''), t0) as title, case when len(a.authors) > 0 then a.authors else [] end as authors, case when a.year <> 0 then a.year end as year, coalesce(nullif(a.abstract, ''), '') as abstract, nullif(a.university, '') as university, nullif(a.pdf_url, '') as pdf_url, list_filter([case when a.title <> '' then 'title' end, case when a.abstract <> '' then 'abstract' end, case when a.year <> 0 then 'year' end, case when len(a.authors) > 0 then 'authors' end, case when a.university <> '' then 'university' end, case when a.pdf_url <> '' then 'pdf_url' end], lambda x: x is not null) as got from r0 left join {first_by_doi('title,authors,year,abstract,university,pdf_url', "source = 'indexa'")} a on a.key = d),"
+        f" r2 as (select r1.seq, r1.d, r1.title, r1.authors, r1.university, r1.pdf_url, case when length(r1.abstract) < 100 and length(c.abstract) > length(r1.abstract) then c.abstract else r1.abstract end as abstract, case when length(case when length(r1.abstract) < 100 and length(c.abstract) > length(r1.abstract) then c.abstract else r1.abstract end) is not null and length(r1.abstract) < 100 and (r1.year is null or r1.year = 0) and c.year <> 0 then c.year else r1.year end as year, got || case when length(r1.abstract) < 100 and coalesce(length(c.abstract) > length(r1.abstract), false) then ['abstract'] else [] end || case when length(r1.abstract) < 100 and (r1.year is null or r1.year = 0) and coalesce(c.year <> 0, false) then ['year'] else [] end as got from r1 left join {first_by_doi('abstract,year', 'length(abstract) > 0')} c on c.key = d),"
+        f" r3 as (select r2.seq, r2.d as doi, r2.title, case when len(r2.authors) = 0 and len(o.authors) > 0 then o.authors else r2.authors end as authors, r2.university, case when r2.pdf_url is null and o.pdf_url <> '' then o.pdf_url else r2.pdf_url end as pdf_url, case when o.abstract <> '' and length(r2.abstract) < 50 then o.abstract else r2.abstract end as abstract, r2.year, got || case when len(r2.authors) = 0 and coalesce(len(o.authors) > 0, false) then ['authors'] else [] end || case when coalesce(o.abstract <> '', false) and length(r2.abstract) < 50 then ['abstract'] else [] end || case when r2.pdf_url is null and coalesce(o.pdf_url <> '', false) then ['pdf_url'] else [] end as got from r2 left join {first_by_doi('authors,abstract,pdf_url', "pdf_url like '%.pdf'")} o on o.key = d)"
+        f" select seq, title, array_to_string(list_filter(authors, lambda a: a is not null), '|') as authors, year, abstract, pdf_url, {DISTINCT_GOT} as fields, case when length(title) > 10 then 15 else 0 end + case when length(abstract) > 100 then 25 else 0 end + case when year <> 0 then 10 else 0 end + case when doi <> '' then 15 else 0 end + case when pdf_url <> '' then 15 else 0 end + case when len(authors) > 0 then 10 else 0 end + case when university <> '' then 10 else 0 end as score from r3",
         "q_plain_query": "select seq, trim(regexp_replace(regexp_replace(lower(title), '[^A-Za-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as query from papers",
         "q_cache_key": "select seq, 'search:{' || concat_ws(',', '\"source\":\"' || source || '\"', '\"year\":' || year) || '}' as cache_key from papers",
         "q_query_budget": "select asked, cast(least(60, greatest(20, ceil(least(asked, 120) / (asked % 6 + 1)) + 10)) as int) as budget from range(1, 201) t(asked)",

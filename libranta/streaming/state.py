@@ -42,7 +42,7 @@ def breaker(events: DataFrame, key: str, ts: str, order: str, failed: str, thres
     return rows.withColumn("failures", failures.cast("int")).select(key, order, "failures", (F.col("failures") >= threshold).alias("open"))
 
 
-def cached(events: DataFrame, key: str, ts: str, order: str, ttl_micros: int = 300_000_000) -> DataFrame:
+def cached(events: DataFrame, key: str, ts: str, order: str, ttl_micros: int = 300_000_000, buckets: int = 512) -> DataFrame:
     """(key, order, hit): whether each read finds an entry younger than the time to live, counted from its writing."""
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
@@ -56,7 +56,6 @@ def cached(events: DataFrame, key: str, ts: str, order: str, ttl_micros: int = 3
         return pd.DataFrame({"k": frame["k"], "o": frame["o"], "hit": hits})
 
     rows = _micros(events, ts).select(F.col(key).alias("k"), F.col(order).alias("o"), "at")
-    buckets = max(1, rows.count() // 20_000)
     # a pause of the time to live always ends an entry, so a key may be cut there; parts of many keys are folded in one call
     by = W.partitionBy("k").orderBy("at", "o")
     rows = rows.withColumn("part", F.sum(F.when(F.col("at") - F.lag("at").over(by) >= ttl_micros, 1).otherwise(0)).over(by))
@@ -64,6 +63,47 @@ def cached(events: DataFrame, key: str, ts: str, order: str, ttl_micros: int = 3
     return spread.applyInPandas(fold, "k long, o long, hit boolean").select(F.col("k").alias(key), F.col("o").alias(order), "hit")
 
 
+def bounded_cache(reads: list[tuple[int, str]], ttl: int = 300_000, most: int = 500, share: float = 0.25) -> list[bool]:
+    """Hits of one cache with a capacity, in order of (time, key): at ``most`` entries expired ones go, then the oldest quarter by first insertion.
+
+    An entry written again keeps its place in that order. The cache is one process's, so this is no distributed operator; see ``cached`` for keyed ones.
+    """
+    kept: dict[str, int] = {}
+    hits = []
+    for at, key in reads:
+        hit = key in kept and at < kept[key]
+        if key in kept and not hit:
+            del kept[key]
+        if not hit:
+            if key not in kept and len(kept) >= most:
+                kept = {k: until for k, until in kept.items() if at < until}
+                if len(kept) >= most:
+                    for k in list(kept)[: int(most * share)]:
+                        del kept[k]
+            kept[key] = at + ttl
+        hits.append(hit)
+    return hits
+
+
+def serial_queue(calls: DataFrame, ts: str, order: str, gap_micros: int = 2_000_000) -> DataFrame:
+    """(order, start): when each call of one queue starts if calls keep a gap: the rate limiter with a single key."""
+    one = rate_limited(calls.withColumn("_one", F.lit(1)), "_one", ts, order, gap_micros)
+    return one.select(order, "start")
+
+
+def framed(chunks: DataFrame, key: str, order: str, column: str) -> DataFrame:
+    """(key, pos, line): the lines of a stream that comes in chunks which cut lines anywhere; an unfinished last line waits and blank lines go."""
+    whole = chunks.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, column))), lambda c: c[column]), "").alias("_all"))
+    lines = F.filter(F.slice(F.split("_all", "\n"), F.lit(1), F.size(F.split("_all", "\n")) - 1), lambda x: F.trim(x) != "")
+    return whole.select(key, F.posexplode(lines).alias("pos", "line")).select(key, (F.col("pos") + 1).alias("pos"), "line")
+
+
+def cache_report(events: DataFrame, ts: str) -> DataFrame:
+    """(entries, oldest_micros): how many entries there are and the age of the oldest beside the newest."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    return events.agg(F.count("*").alias("entries"), (F.max(at) - F.min(at)).alias("oldest_micros"))
+
+
 def cached_stream(events: DataFrame, key: str, ts: str, ttl_seconds: int = 300) -> DataFrame:
     """The same cache over a stream with a watermark: (key, hits, misses) after each trigger; state ends with the time to live."""
 

