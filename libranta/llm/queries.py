@@ -32,6 +32,7 @@ def queries() -> dict[str, Query]:
         "p8_ids": lambda s, d: subwords.encoded(t(s, d, "documents", "doc_id", "text")),
         "p8_round_trip": lambda s, d: subwords.decoded(subwords.encoded(t(s, d, "documents", "doc_id", "text"))),
         "p9_found": lambda s, d: leaks.leaked(t(s, d, "documents", "doc_id", "text"), t(s, d, "eval_items", "item_id", "text")).select("item_id", "doc_id"),
+        "p9_passages": lambda s, d: leaks.passages(t(s, d, "documents", "doc_id", "text"), t(s, d, "eval_items", "item_id", "text")),
         "p9_clean": lambda s, d: leaks.without_leaks(t(s, d, "documents"), t(s, d, "eval_items", "item_id", "text")).select("doc_id", "source", "n_chars"),
         "p10_found": lambda s, d: looks.look_alikes(t(s, d, "documents", "doc_id", "text")),
         "p10_texts": lambda s, d: looks.normalised(t(s, d, "documents", "doc_id", "text")),
