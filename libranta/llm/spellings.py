@@ -137,7 +137,8 @@ def in_shards(asking: DataFrame, known: DataFrame, walk: Callable[[pd.DataFrame]
         out = [walk(shard) for _, shard in bucket.groupby(["shard", "part"], sort=False) if shard["asks"].any()]
         return pd.concat(out) if out else pd.DataFrame(columns=[c.split(" ")[0] for c in schema.split(", ")])
 
-    return rows.groupBy("bucket").applyInPandas(each, schema)
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism  # a walk takes long for its bytes, so partitions are not put together by size
+    return rows.repartition(tasks, "bucket").groupBy("bucket").applyInPandas(each, schema)
 
 
 def misspelt(names: DataFrame, ratio: int = 10, only: int = 4, shortest: int = 3) -> DataFrame:
