@@ -18,10 +18,11 @@ def rate_limited(events: DataFrame, key: str, ts: str, order: str, gap_micros: i
     """(key, order, start): when each request may start if requests of a key keep a gap: the prefix maximum in closed form.
 
     Keys are cut into days; counts and maxima of earlier days come from a small aggregate, so a hot key is spread over many tasks.
+    Row numbers are long: times a gap they soon pass what an integer holds.
     """
     rows = _micros(events, ts).withColumn("day", F.floor(F.col("at") / F.lit(86_400_000_000)))
     day = W.partitionBy(key, "day").orderBy("at", order)
-    rows = rows.withColumn("n", F.row_number().over(day)).withColumn("v", F.col("at") - F.col("n") * gap_micros)
+    rows = rows.withColumn("n", F.row_number().over(day).cast("long")).withColumn("v", F.col("at") - F.col("n") * gap_micros)
     days = rows.groupBy(key, "day").agg(F.count("*").alias("count"), F.max("v").alias("top"))
     earlier = W.partitionBy(key).orderBy("day").rowsBetween(W.unboundedPreceding, -1)
     days = days.withColumn("offset", F.coalesce(F.sum("count").over(earlier), F.lit(0)))

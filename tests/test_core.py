@@ -240,6 +240,11 @@ def test_state_machines(spark):
     assert [s // minute for s in starts] == [0, 2, 4, 6, 20, 0]
 
 
+def test_a_queue_of_many_calls_on_one_day(spark):
+    got = state.serial_queue(spark.range(3000).select("id", F.timestamp_micros(F.col("id")).alias("ts")), "ts", "id")
+    assert [r["start"] for r in got.orderBy("id").collect()] == [2_000_000 * k for k in range(3000)]
+
+
 def test_cache_stream(spark, tmp_path):
     rows = [(1, i, 0) for i in range(3)]
     frame = spark.createDataFrame([(1, m) for _, m, _ in rows], "k long, m long").withColumn("ts", F.timestamp_seconds((F.col("m") + 1000) * 60))
