@@ -97,6 +97,11 @@ def _edits(a: str, b: str) -> int:
     return 1 if n == m == head + tail + 2 and a[head] == b[head + 1] and a[head + 1] == b[head] else 2
 
 
+def by_key(frame: DataFrame) -> DataFrame:
+    """``frame`` for a join in which both sides are sorted by key, however small Spark takes it for: what grows with the names is never held by the driver."""
+    return frame.hint("merge")
+
+
 def names_of(papers: DataFrame) -> DataFrame:
     """(kind, name, n): each distinct spelling with its number of rows; placeholders are no names."""
     authors = papers.select(F.lit("author").alias("kind"), F.explode("authors").alias("name"))
@@ -129,8 +134,8 @@ def in_shards(asking: DataFrame, known: DataFrame, walk: Callable[[pd.DataFrame]
     A shard with many asking rows is split into parts of about ``group_rows``, each with all known rows of the shard.
     """
     parts = asking.groupBy("shard").agg(F.ceil(F.count("*") / group_rows).cast("int").alias("parts"))
-    ask = asking.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64(*(c for c in asking.columns if c != "shard")), "parts").cast("int")).withColumn("asks", F.lit(True)).drop("parts")
-    have = known.join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", F.lit(False)).drop("parts")
+    ask = asking.join(by_key(parts), "shard").withColumn("part", F.pmod(F.xxhash64(*(c for c in asking.columns if c != "shard")), "parts").cast("int")).withColumn("asks", F.lit(True)).drop("parts")
+    have = known.join(by_key(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("asks", F.lit(False)).drop("parts")
     rows = ask.unionByName(have).withColumn("bucket", F.when(F.col("part") > 0, F.xxhash64("shard", "part")).otherwise(F.pmod(F.xxhash64("shard"), F.lit(4096))))
 
     def each(bucket: pd.DataFrame) -> pd.DataFrame:
@@ -161,7 +166,7 @@ def misspelt(names: DataFrame, ratio: int = 10, only: int = 4, shortest: int = 3
     shard = lambda parts: words.select("kind", "word", "n", F.explode(parts).alias("part")).select("kind", "word", "n", F.concat("kind", F.lit(" "), "part").alias("shard"))
     known = shard(own("word")).where(F.col("n") >= only)
     top = known.groupBy("shard").agg(F.max("n").alias("top"))
-    asking = shard(near("word")).join(top, "shard").where(F.col("top") >= only * F.col("n")).drop("top")
+    asking = shard(near("word")).join(by_key(top), "shard").where(F.col("top") >= only * F.col("n")).drop("top")
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
         trie, asks = Trie(), rows["asks"].to_numpy(bool)
@@ -237,7 +242,7 @@ def merged_keys(keys: DataFrame, ratio: int = 3) -> DataFrame:
     schema = "shard string, word string, s1 string, s2 string, g1 string, n long"
     rows = checkpointed(keys.mapInPandas(entries, schema))
     shared = rows.groupBy("shard").agg(F.max("n").alias("top"), F.min("n").alias("low"), F.count("*").alias("m")).where(F.col("m") > 1).where(F.col("top") >= ratio * F.col("low"))
-    rows = rows.join(shared.select("shard", "top"), "shard")
+    rows = rows.join(by_key(shared.select("shard", "top")), "shard")
     asking = rows.where(F.col("top") >= ratio * F.col("n")).drop("top")
 
     def walk(shard: pd.DataFrame) -> pd.DataFrame:
@@ -260,7 +265,7 @@ def merged_keys(keys: DataFrame, ratio: int = 3) -> DataFrame:
     found = in_shards(asking, rows.drop("top"), walk, "s1 string, s2 string, g1 string, m long, t1 string, t2 string, h1 string")
     best = checkpointed(found.groupBy("s1", "s2", "g1").agg(F.max(F.struct("m", "t1", "t2", "h1")).alias("x")).select("s1", "s2", "g1", "x.t1", "x.t2", "x.h1"))
     again = best.select(F.col("s1").alias("t1"), F.col("s2").alias("t2"), F.col("g1").alias("h1"), F.col("t1").alias("u1"), F.col("t2").alias("u2"), F.col("h1").alias("i1"))
-    return best.join(again, ["t1", "t2", "h1"], "left").select("s1", "s2", "g1", F.coalesce("u1", "t1").alias("t1"), F.coalesce("u2", "t2").alias("t2"), F.coalesce("i1", "h1").alias("h1"))
+    return best.join(by_key(again), ["t1", "t2", "h1"], "left").select("s1", "s2", "g1", F.coalesce("u1", "t1").alias("t1"), F.coalesce("u2", "t2").alias("t2"), F.coalesce("i1", "h1").alias("h1"))
 
 
 def second_names(seconds: list[str]) -> dict[str, str]:
@@ -293,14 +298,14 @@ def person_clusters(parsed: DataFrame) -> DataFrame:
     keys = checkpointed(full.groupBy("s1", "s2", "g1").agg(F.sum("n").alias("n")))
     moved = merged_keys(keys)
     now = [F.coalesce(t, s).alias(s) for s, t in (("s1", "t1"), ("s2", "t2"), ("g1", "h1"))]
-    full = checkpointed(full.join(moved, ["s1", "s2", "g1"], "left").select("name", *now, "g2"))
+    full = checkpointed(full.join(by_key(moved), ["s1", "s2", "g1"], "left").select("name", *now, "g2"))
 
     @F.pandas_udf("array<struct<g2:string,canon:string>>")
     def told(lists: pd.Series) -> pd.Series:
         return lists.map(lambda x: [{"g2": a, "canon": b} for a, b in second_names(list(x)).items()])
 
     seconds = full.groupBy("s1", "s2", "g1").agg(F.collect_set("g2").alias("all")).select("s1", "s2", "g1", F.explode(told("all")).alias("x")).select("s1", "s2", "g1", "x.g2", "x.canon")
-    full = full.join(seconds, ["s1", "s2", "g1", "g2"]).select("name", "s1", "s2", "g1", F.col("canon").alias("g2"))
+    full = full.join(by_key(seconds), ["s1", "s2", "g1", "g2"]).select("name", "s1", "s2", "g1", F.col("canon").alias("g2"))
     full = checkpointed(full.withColumn("cluster", F.concat_ws("|", "s1", "s2", "g1", "g2")))
 
     def keys_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -313,7 +318,7 @@ def person_clusters(parsed: DataFrame) -> DataFrame:
     loose = rows.where(~whole).withColumn("key", F.concat_ws("|", "s1", "g1", "g2", "s2")).withColumn("bare", F.when(F.col("g2") != "", F.concat_ws("|", "s1", "g1", F.lit("*"), "s2")).otherwise(F.col("key")))
     one = unique.select("key", F.col("who").alias("a"), F.col("last").alias("z"))
     two = unique.select(F.col("key").alias("bare"), F.col("who").alias("ba"), F.col("last").alias("bz"))
-    found = loose.join(one, "key", "left").join(two, "bare", "left").withColumns({"a": F.coalesce("a", "ba"), "z": F.coalesce("z", "bz")})
+    found = loose.join(by_key(one), "key", "left").join(by_key(two), "bare", "left").withColumns({"a": F.coalesce("a", "ba"), "z": F.coalesce("z", "bz")})
     alone = F.concat_ws("|", F.lit("~"), "s1", F.substring("g1", 1, 1), "s2")
     found = found.where("a is null or a = z").select("name", F.coalesce("a", alone).alias("cluster"))
     return full.select("name", "cluster").unionByName(found)
@@ -379,7 +384,7 @@ def institution_clusters(ready: DataFrame) -> DataFrame:
     def told(words: pd.Series, lists: pd.Series) -> pd.Series:
         return pd.Series([type_of(w, sorted(x) if x is not None else []) for w, x in zip(words, lists, strict=True)], dtype=object)
 
-    short = rows.where(~whole).join(types, "place", "left").select("name", "place", told("type", "types").alias("type")).where("type is not null")
+    short = rows.where(~whole).join(by_key(types), "place", "left").select("name", "place", told("type", "types").alias("type")).where("type is not null")
     return full.unionByName(short.select(*full.columns)).select("name", F.concat_ws("|", "place", "type").alias("cluster"))
 
 
@@ -397,8 +402,8 @@ def linked(papers: DataFrame) -> DataFrame:
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: LETTERS.findall(plain(t)))
 
-    words = names.select("kind", "name", "n", F.explode(split("name")).alias("word")).join(right, ["kind", "word"], "left")
-    words = words.withColumn("now", F.coalesce("right", "word")).join(given.withColumnRenamed("word", "now"), "now", "left")
+    words = names.select("kind", "name", "n", F.explode(split("name")).alias("word")).join(by_key(right), ["kind", "word"], "left")
+    words = words.withColumn("now", F.coalesce("right", "word")).join(by_key(given.withColumnRenamed("word", "now")), "now", "left")
     rows = words.groupBy("kind", "name", "n").agg(
         F.array_distinct(F.collect_list(F.when(F.col("right").isNotNull(), F.struct("word", "right")))).alias("right"), F.array_distinct(F.collect_list(F.when(F.col("is_given"), F.col("now")))).alias("given")
     )
@@ -419,7 +424,7 @@ def linked(papers: DataFrame) -> DataFrame:
     parsed = checkpointed(rows.mapInPandas(parse, "kind string, name string, n long, shard string, given array<string>, surnames array<string>, type string, acronym string"))
     spelled = parsed.where("kind = 'university' and acronym <> '' and shard <> ''").groupBy("acronym").agg(F.min(F.struct("type", "shard")).alias("x"), F.count_distinct("type", "shard").alias("m"))
     spelled = spelled.where("m = 1").select(F.col("acronym").alias("a"), F.col("x.type").alias("t"), F.col("x.shard").alias("p"))
-    bare = parsed.where("kind = 'university' and shard = '' and acronym <> ''").join(spelled, F.col("acronym") == F.col("a"))
+    bare = parsed.where("kind = 'university' and shard = '' and acronym <> ''").join(by_key(spelled), F.col("acronym") == F.col("a"))
     bare = bare.select("kind", "name", "n", F.col("p").alias("shard"), "given", "surnames", F.col("t").alias("type"), "acronym")
     ready = parsed.where("shard <> ''").unionByName(bare)
     clusters = person_clusters(parsed).select(F.lit("author").alias("kind"), "name", "cluster").unionByName(institution_clusters(ready).select(F.lit("university").alias("kind"), "name", "cluster"))
@@ -429,7 +434,7 @@ def linked(papers: DataFrame) -> DataFrame:
 def pairs_of(clusters: DataFrame, group_rows: int = 200) -> DataFrame:
     """(kind, name_a, name_b): all pairs within clusters; a cluster of many spellings is split into blocks on one side."""
     sizes = clusters.groupBy("kind", "cluster").agg(F.count("*").alias("m")).where("m > 1").select("kind", "cluster", F.ceil(F.col("m") / group_rows).cast("int").alias("blocks"))
-    rows = clusters.join(sizes, ["kind", "cluster"])
+    rows = clusters.join(by_key(sizes), ["kind", "cluster"])
     left = rows.select("kind", "cluster", F.col("name").alias("name_a"), F.pmod(F.xxhash64("name"), "blocks").cast("int").alias("block"))
     right = rows.select("kind", "cluster", F.col("name").alias("name_b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return left.join(right, ["kind", "cluster", "block"]).where("name_a < name_b").select("kind", "name_a", "name_b").distinct()
+    return left.join(by_key(right), ["kind", "cluster", "block"]).where("name_a < name_b").select("kind", "name_a", "name_b").distinct()

@@ -350,6 +350,13 @@ def test_names_with_a_slip_in_the_first_surname_and_shortened_ones(spark):
     assert not linked("Pedro Luis Guaro Linte", "Pedro Iván Guaro Linte")
 
 
+def test_no_table_of_names_is_sent_to_all(spark, capsys):
+    papers = spark.createDataFrame([(["Perez Rojas, Ana"], "Universidad de Salpe"), (["Ana Perez Rojas"], "Univ. de Salpe"), (["Peres Rojas, Ana"], "UNS")], "authors array<string>, university string")
+    spellings.linked(papers).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_pairs_of_a_cluster_in_blocks(spark):
     frame = spark.createDataFrame([("author", f"n{k:03}", "c") for k in range(50)] + [("author", "alone", "d")], "kind string, name string, cluster string")
     for rows in (200, 7):
