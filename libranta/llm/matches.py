@@ -1,7 +1,7 @@
 """P1: records of the same work in sources without a common key, each link with a confidence.
 
-A bounded sample of records gives a graph of records, attributes (authors, year, DOI) and tokens; skip-gram vectors trained
-on random walks over it bring together tokens of one meaning (two languages, say), and letters of a token give it a base
+All records give a graph of records, attributes (authors, year, DOI) and tokens; skip-gram vectors trained
+on random walks over it, shard by shard, bring together tokens of one meaning (two languages, say), and letters of a token give it a base
 vector of its own, so no token is unknown. Sums of token vectors stand for a title, for its parts, and for a surname with the
 places or the first words of its record; tables of hyperplanes, of which there are more as codes get longer, hash
 them, and only records in one bucket are looked at. Cosines of titles and authors are then computed exactly, and a
@@ -31,6 +31,7 @@ from .spellings import NICKNAMES, _edits, plain
 DIMENSIONS, MOST_BITS, SKETCH, FIRM = 48, 32, 64, 48
 NEAR_DEGREES, FOUND = 12.0, 0.8  # the title tables are so many that titles at this angle meet in one of them with this chance
 HOT = 2000  # rows of a bucket on either side of a comparison in one task
+SHARD = 5000  # records, about, that one walk can reach
 TRAINED_WEIGHT = 700  # length of a trained vector beside 1000 of a token's own
 PARTS = 4  # of a title: buckets of the others make up for a slip in one, however many records there are
 NO_TITLES = {plain(x) for x in f"{NO_TITLE}|{PLACEHOLDERS}".split("|")}
@@ -140,19 +141,35 @@ def tables_for(bits: int) -> int:
     return int(np.ceil(np.log(1 - FOUND) / np.log(1 - (1 - NEAR_DEGREES / 180) ** bits)))
 
 
-def walk_vectors(records: list[list[str]], two: list[bool] | None = None, seed: int = 7, walks: int = 1, more: int = 20, most: float = 0.05, length: int = 2, window: int = 3, epochs: int = 2, rate: float = 0.2) -> dict[str, np.ndarray]:
-    """Skip-gram vectors with negative samples, trained on random walks record, node, record, node ... over the sample's graph.
+def walk_vectors(records: list[list[str]], two: list[bool] | None = None) -> dict[str, np.ndarray]:
+    """Vectors of the nodes of ``records``, trained at once."""
+    names, inner, _ = skip_grams(records, two)
+    return finished(names, inner)
+
+
+def finished(names: list[str], inner: np.ndarray) -> dict[str, np.ndarray]:
+    """Trained vectors without what all have in common, of one length, in whole numbers; those of words and surnames."""
+    if not names:
+        return {}
+    inner = inner - inner.mean(axis=0)  # what all nodes share tells nothing
+    norms = np.linalg.norm(inner, axis=1, keepdims=True)
+    inner = inner / np.where(norms == 0, 1, norms)
+    return {t: np.rint(TRAINED_WEIGHT * inner[i]).astype(np.int64) for i, t in enumerate(names) if t[:2] not in ("y:", "d:")}
+
+
+def skip_grams(records: list[list[str]], two: list[bool] | None = None, seed: int = 7, walks: int = 1, more: int = 20, most: float = 0.05, length: int = 2, window: int = 3, epochs: int = 2, rate: float = 0.2) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Nodes, their skip-gram vectors with negative samples, trained on random walks record, node, record, node ... over the records' graph, and how many records have each.
 
     A record is the list of its nodes: title words, surnames (@), year (y:) and DOI (d:). Walks leave a record by a node that few records share;
     from records with ``two`` titles in different languages there are ``more`` walks, which bring both languages together. Nodes of more
-    than ``most`` of the records tell nothing and are left out.
+    than ``most`` of the records tell nothing and are left out. A node's vector starts from its own name, so that what shards learn can be added up.
     """
     rng = np.random.default_rng(seed)
     count = Counter(t for nodes in records for t in set(nodes))
     vocabulary = {t: i for i, t in enumerate(sorted(t for t, n in count.items() if 2 <= n <= max(20, most * len(records))))}
     n, size = len(vocabulary), DIMENSIONS
     if n < 50:
-        return {}
+        return [], np.zeros((0, size), np.float32), np.zeros(0, np.int64)
     held = [sorted({vocabulary[t] for t in nodes if t in vocabulary}) for nodes in records]
     often = np.array([more if t else walks for t, ids in zip(two or [False] * len(held), held, strict=True) if ids])
     held = [ids for ids in held if ids]
@@ -172,20 +189,19 @@ def walk_vectors(records: list[list[str]], two: list[bool] | None = None, seed:
     pairs = np.concatenate([np.column_stack([walk[:, : -k].ravel(), walk[:, k:].ravel()]) for k in range(1, window + 1)])
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     pairs = np.concatenate([pairs, pairs[:, ::-1]])
-    inner, outer = rng.normal(0, 0.1, (n, size)).astype(np.float32), np.zeros((n, size), np.float32)
+    inner, outer = np.array([0.1 * _gram(t) for t in vocabulary], np.float32), np.zeros((n, size), np.float32)
     for _ in range(epochs):
-        rng.shuffle(pairs)
+        pairs = pairs[rng.permutation(len(pairs))]
         for start in range(0, len(pairs), 8192):
             a, b = pairs[start : start + 8192].T
-            for target, label in ((b, 1.0), *((rng.integers(0, n, len(a)), 0.0) for _ in range(3))):
-                va, vb = inner[a], outer[target]
-                gradient = (rate * (label - 1 / (1 + np.exp(-np.clip((va * vb).sum(1), -8, 8)))))[:, None]
-                _add(inner, a, gradient * vb)
-                _add(outer, target, gradient * va)
-    inner = inner - inner.mean(axis=0)  # what all nodes share tells nothing
-    norms = np.linalg.norm(inner, axis=1, keepdims=True)
-    inner = inner / np.where(norms == 0, 1, norms)
-    return {t: np.rint(TRAINED_WEIGHT * inner[i]).astype(np.int64) for t, i in vocabulary.items() if t[:2] not in ("y:", "d:")}
+            target = np.concatenate([b, rng.integers(0, n, 3 * len(a))]).reshape(4, -1)  # the first is right, the others are drawn
+            va, vb = inner[a], outer[target]
+            gradient = rate * ((np.arange(4) == 0)[:, None] - 1 / (1 + np.exp(-np.clip(np.einsum("jd,kjd->kj", va, vb), -8, 8))))
+            gradient = gradient.astype(np.float32)
+            _add(inner, a, np.einsum("kj,kjd->jd", gradient, vb))
+            for k in range(4):
+                _add(outer, target[k], gradient[k][:, None] * va)
+    return list(vocabulary), inner, rarity
 
 
 def _add(matrix: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
@@ -194,7 +210,20 @@ def _add(matrix: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     ends = rows[order]
     at = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
     times = np.diff(np.append(at, len(rows)))
-    matrix[ends[at]] += np.add.reduceat(values[order], at, axis=0) / np.sqrt(times)[:, None]
+    matrix[ends[at]] += (_runs(values[order], at) / np.sqrt(times)[:, None]).astype(matrix.dtype)
+
+
+def _runs(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of each run of rows: all first rows, then all second ones and so on, which is faster than one run after the other."""
+    sizes = np.diff(np.append(starts, len(rows)))
+    order = np.argsort(-sizes, kind="stable")
+    starts, left = starts[order], np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")
+    sums = rows[starts].astype(np.float64)
+    for k in range(1, len(left)):
+        sums[: left[k]] += rows[starts[: left[k]] + k]
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out
 
 
 class Space:
@@ -262,7 +291,7 @@ class Space:
             starts = (np.cumsum(sizes) - sizes)[has]
             if rising:
                 rows = rows * (2 + np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[:, None]
-            out[has] = np.add.reduceat(rows, starts, axis=0)
+            out[has] = _runs(rows, starts)
         return out, has
 
     def _without_parts(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -274,7 +303,7 @@ class Space:
         starts = np.cumsum(sizes) - sizes
         rows = self.vectors(np.fromiter((self.place(f"#{w}") for k in at for w in lists[k]), np.int64, sizes.sum()))
         rows = rows * (2 + np.arange(len(rows)) - np.repeat(starts, sizes))[:, None]
-        parts = np.add.reduceat(rows, (starts[:, None] + np.arange(PARTS) * sizes[:, None] // PARTS).ravel(), axis=0).reshape(len(at), PARTS, DIMENSIONS)
+        parts = _runs(rows, (starts[:, None] + np.arange(PARTS) * sizes[:, None] // PARTS).ravel()).reshape(len(at), PARTS, DIMENSIONS)
         return parts.sum(axis=1, keepdims=True) - parts, at
 
     def blocks(self, titles: list[str], authors: list[str], dois: list[str]) -> tuple[np.ndarray, ...]:
@@ -285,6 +314,7 @@ class Space:
         unusual = [self.rare(x) for x in words]
         names = _spread(surnames)
         wide, firm = planes()
+        wide = wide[:, : SKETCH + self.tables * self.bits]
         title, known = self._sums(words)
         bits = (title[known] - self.center) @ wide > 0  # without what all titles have in common, so that buckets are even
         sketch = np.zeros(len(titles), np.int64)
@@ -373,30 +403,66 @@ def kept_in_translation(found: dict[str, int], total: dict[str, int]) -> bool:
     return len(rates) > 2 and rates[-3] >= 0.1 * rates[-1]
 
 
-def learned(classes: DataFrame, sample: int = 5000) -> tuple[dict[str, np.ndarray], dict[str, float], set[str], int, set[str]]:
-    """Trained vectors (of about ``sample`` records), shares of title words that a thousandth of records have, given names, number of records, ``lasting`` ones of the words.
+def nodes_of(title: str, other: str, authors: str, year: int, doi: str) -> list[str]:
+    """The nodes of a record in the graph."""
+    return [*f"{title} {other}".split(), *(f"@{w}" for w in authors.replace("|", " ").split(" ") if len(w) > 2 and w[0] not in "+="), *([f"y:{year}"] if year else []), *([f"d:{doi}"] if doi else [])]
+
+
+def trained_on_all(classes: DataFrame, kept: set[str]) -> dict[str, np.ndarray]:
+    """Vectors of the ``kept`` nodes, trained on all records: each shard by itself, then the mean over shards, weighted by a node's records.
 
-    Counts cover all records. Both lists are bounded whatever the number of records: words of a thousandth of them cannot be more than a thousand times
-    a title's length, and given names of a hundred-thousandth not more than that many times the names of a record. The
-    sample takes records with titles in two languages, half of it at most, and all records of some first authors, by hash, so that its graph is as dense as that of all.
+    A shard has all records of some first authors, so its graph is as dense as that of all; a large one is taken in pieces. What goes to the driver is as
+    long as ``kept``, whatever the number of records.
+    """
+    sent = Sent(classes.sparkSession, kept, set)
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, sums, counts = sent.get(), {}, Counter()
+
+        def learn(rows: list[tuple]) -> None:
+            rows = sorted(rows)  # whatever the order in which they come
+            names, inner, rarity = skip_grams([nodes_of(*x) for x in rows], [bool(x[1]) for x in rows])
+            for name, vector, m in zip(names, np.rint(1e6 * inner.astype(np.float64)).astype(np.int64), rarity.tolist(), strict=True):
+                if name in known:
+                    sums[name] = sums.get(name, 0) + m * vector
+                    counts[name] += m
+
+        held, at = [], None
+        for frame in frames:
+            for shard, *row in zip(*(frame[c].tolist() for c in ("shard", "title", "other", "authors", "year", "doi")), strict=True):
+                if held and (shard != at or len(held) == 2 * SHARD):
+                    learn(held)
+                    held = []
+                at = shard
+                held.append(tuple(row))
+        if held:
+            learn(held)
+        if sums:
+            yield pd.DataFrame({"name": list(sums), "n": [counts[x] for x in sums], "v": [x.tolist() for x in sums.values()]})
+
+    parts = classes.select("shard", "title", "other", "authors", "year", "doi").mapInPandas(batches, "name string, n long, v array<long>")
+    rows = sorted(tuple(r) for r in parts.groupBy("name").agg(F.sum("n").alias("n"), *(F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(DIMENSIONS))).collect())
+    return finished([name for name, *_ in rows], np.array([np.array(v) / m / 1e6 for _, m, *v in rows]))
+
+
+def learned(classes: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, float], set[str], int, set[str]]:
+    """Trained vectors, shares of title words that a thousandth of records have, given names, number of records, ``lasting`` ones of the words.
+
+    All records count and all are trained on. The lists are bounded whatever the number of records: words of a thousandth of them cannot be more than a thousand times
+    a title's length, given names of a hundred-thousandth not more than that many times the names of a record, and nodes that have a vector, of
+    which a 2500th of the records or more share each, not more than that many times the nodes of a record.
     """
     n = max(1, classes.count())
+    words = classes.select(F.explode(F.array_distinct(F.split(F.concat_ws(" ", "title", "other"), " "))).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("k")).where(F.col("k") >= max(2, n / 2500))
+    kept = {r["w"] for r in words.collect()}
     words = classes.select(F.explode(F.array_distinct(F.split("title", " "))).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(5, n / 1000))
     share = {r["w"]: r["n"] / n for r in words.collect()}
     names = classes.select(F.explode(F.split(F.regexp_replace("authors", r"\|", " "), " ")).alias("w")).where("length(w) > 2 and w not like '=%'")
-    sides = names.groupBy(F.regexp_replace("w", r"^\+", "").alias("name")).agg(F.count_if(F.col("w").startswith("+")).alias("m"))
+    sides = names.groupBy(F.regexp_replace("w", r"^\+", "").alias("name")).agg(F.count_if(F.col("w").startswith("+")).alias("m"), F.count_if(~F.col("w").startswith("+")).alias("k"))
     before = classes.select(F.explode(F.split("authors", r"\|")).alias("a")).where("a like '%+%'").select(F.explode(F.split("a", " ")).alias("w")).where("length(w) > 2 and w not like '=%' and w not like '+%'").groupBy(F.col("w").alias("name")).agg(F.count("*").alias("k"))
-    given = sides.where(F.col("m") > n / 100_000).join(before, "name", "left").where("m > 2 * coalesce(k, 0)").select("name")
-    author = F.xxhash64(F.regexp_extract("authors", r"(\S+) =", 1))
-    chosen = classes.where(F.pmod(F.when(F.col("authors") != "", author).otherwise(F.col("sig")), F.lit(1 << 20)) < int(min(1.0, sample / n) * (1 << 20)) + 1)
-    fields = ("title", "other", "authors", "year", "doi")
-    two = classes.where("other <> ''").orderBy("sig").limit(sample // 2).select(*fields).collect()
-    rows = sorted({tuple(r) for part in (two, chosen.orderBy("sig").limit(sample).select(*fields).collect()) for r in part})
-    records = [
-        [*f"{title} {other}".split(), *(f"@{w}" for w in authors.replace("|", " ").split(" ") if len(w) > 2 and w[0] not in "+="), *([f"y:{year}"] if year else []), *([f"d:{doi}"] if doi else [])]
-        for title, other, authors, year, doi in rows
-    ]
-    return walk_vectors(records, [bool(r[1]) for r in rows]), share, {r["name"] for r in given.collect()}, n, lasting(classes, {w for w in share if not any(w in small for small in SMALL.values())})
+    given = sides.where(F.col("m") > n / 100_000).select("name", "m").join(before, "name", "left").where("m > 2 * coalesce(k, 0)").select("name")
+    kept |= {f"@{r['name']}" for r in sides.where(F.col("k") >= max(2, n / 2500)).select("name").collect()}
+    return trained_on_all(classes, kept), share, {r["name"] for r in given.collect()}, n, lasting(classes, {w for w in share if not any(w in small for small in SMALL.values())})
 
 
 # ---- exact comparison ----
@@ -632,37 +698,40 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(axis=1) / np.where(norms == 0, 1, norms)
 
 
-def calibrated(pairs: DataFrame, classes: DataFrame, sent: Sent, sample: int = 20_000) -> tuple[np.ndarray, float]:
+def calibrated(pairs: DataFrame, classes: DataFrame, sent: Sent) -> tuple[np.ndarray, float]:
     """Weights of a logistic curve over the features, and the confidence from which pairs are looked at.
 
-    It is fitted to about ``sample`` candidate pairs, by hash, of which both have a DOI: equal DOIs are matches, different ones are not. The
-    threshold is a quarter of what all but a five-hundredth of the pairs with equal DOIs reach that the exact check accepts too.
+    It is fitted to all candidate pairs of which both have a DOI: equal DOIs are matches, different ones are not. They come as counts of
+    equal features, cosines in hundredths, so their number is bounded. The threshold is a quarter of what all but a five-hundredth of the pairs with equal DOIs reach that the exact check accepts too.
     """
     told = classes.where("doi <> ''").select("sig")
     both = pairs.join(told.withColumnRenamed("sig", "a"), "a", "left_semi").join(told.withColumnRenamed("sig", "b"), "b", "left_semi")
-    both = checkpointed(both.withColumn("order", F.xxhash64("a", "b")))
-    share = min(1.0, sample / max(1, both.count()))
-    some = both.where(F.pmod("order", F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy("order").limit(sample).select("a", "b")
+    columns = [*FEATURES, "same", "ok"]
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        space = sent.get()
+        space, fields = sent.get(), [*(f"{f}_a" for f in FIELDS), *(f"{f}_b" for f in FIELDS)]
         for frame in frames:
-            x = features(space, frame)
-            ok = [bool(same_work(space, row[:6], row[6:])) for row in zip(*(frame[c].tolist() for c in (*(f"{f}_a" for f in FIELDS), *(f"{f}_b" for f in FIELDS))), strict=True)]
-            yield pd.DataFrame({**{f: x[:, k] for k, f in enumerate(FEATURES)}, "same": (frame["doi_a"] == frame["doi_b"]).astype(float), "ok": ok})
+            x = np.rint(100 * features(space, frame)) / 100
+            same = (frame["doi_a"] == frame["doi_b"]).to_numpy()
+            ok = np.zeros(len(frame), bool)
+            ok[same] = [bool(same_work(space, row[:6], row[6:])) for row in zip(*(frame[c][same].tolist() for c in fields), strict=True)]
+            space.trim()
+            yield pd.DataFrame({**{f: x[:, k] for k, f in enumerate(FEATURES)}, "same": same.astype(float), "ok": ok}).groupby(columns, as_index=False).size()
 
-    rows = _full(some, classes).mapInPandas(batches, ", ".join(f"{f} double" for f in FEATURES) + ", same double, ok boolean").orderBy(*FEATURES, "same").toPandas()
-    x, y = np.column_stack([rows[list(FEATURES)].to_numpy(float), np.ones(len(rows))]), rows["same"].to_numpy(float)
+    rows = _full(both, classes).mapInPandas(batches, ", ".join(f"{f} double" for f in FEATURES) + ", same double, ok boolean, size long").groupBy(*columns).agg(F.sum("size").alias("n")).orderBy(*columns).toPandas()
+    x, y, n = np.column_stack([rows[list(FEATURES)].to_numpy(float), np.ones(len(rows))]), rows["same"].to_numpy(float), rows["n"].to_numpy(float)
     weights = np.array([5.0, 10.0, -5.0, -2.5, -3.5])
-    if len(rows) > 200 and 20 < y.sum() < len(y) - 20:
+    if n.sum() > 200 and 20 < (n * y).sum() < n.sum() - 20:
         prior = weights.copy()
         for _ in range(30):  # Newton steps, held near the prior
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
-            slope = x.T @ (y - p) - 0.5 * (weights - prior)
-            weights = weights + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(weights)), slope)
+            slope = x.T @ (n * (y - p)) - 0.5 * (weights - prior)
+            weights = weights + np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(weights)), slope)
     sure = rows["ok"].to_numpy(bool) & (y > 0)
-    confidence = 1 / (1 + np.exp(-x @ weights))
-    return weights, float(np.quantile(confidence[sure], 0.002)) / 4 if sure.sum() > 20 else 0.02
+    confidence = (1 / (1 + np.exp(-x @ weights)))[sure]
+    order = np.argsort(confidence)
+    below = np.cumsum(n[sure][order])
+    return weights, float(confidence[order][np.searchsorted(below, 0.002 * below[-1])]) / 4 if len(below) and below[-1] > 20 else 0.02
 
 
 def compared(pairs: DataFrame, classes: DataFrame, sent: Sent) -> DataFrame:
@@ -693,8 +762,12 @@ def prepared(*tables: tuple[DataFrame, str, str]) -> tuple[DataFrame, DataFrame,
     for table in tables[1:]:
         members = members.unionByName(featured(*table))
     members = checkpointed(members)
-    classes = checkpointed(members.groupBy("sig").agg(*(F.first(c).alias(c) for c in FIELDS), F.collect_set("side").alias("sides")))
-    sent = Sent(classes.sparkSession, learned(classes), Space)
+    spark = members.sparkSession
+    shards = members.count() // SHARD + 1
+    author = F.when(F.col("authors") != "", F.xxhash64(F.regexp_extract("authors", r"(\S+) =", 1))).otherwise(F.xxhash64("sig"))
+    placed = members.withColumn("shard", F.pmod(author, F.lit(shards)).cast("int")).repartition(max(2 * spark.sparkContext.defaultParallelism, shards // 20), "shard")
+    classes = checkpointed(placed.groupBy("shard", "sig").agg(*(F.first(c).alias(c) for c in FIELDS), F.collect_set("side").alias("sides")).sortWithinPartitions("shard", "sig"))
+    sent = Sent(spark, learned(classes), Space)
     return members.select("side", "id", "sig"), classes, sent, hashed(classes, sent)
 
 
