@@ -229,11 +229,16 @@ class Model:
 
 
 def values(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """(key, field, value) of all texts and names with characters beyond ASCII, or references to such."""
+    """(key, field, at, value) of all texts and names; the model is trained on all of them."""
     rows = pages.select(F.col(key).cast("long").alias("key"), F.explode(F.array(
         F.struct(F.lit("title").alias("field"), F.array("title").alias("values")), F.struct(F.lit("abstract").alias("field"), F.array("abstract").alias("values")), F.struct(F.lit("authors").alias("field"), F.col("authors").alias("values")),
     )).alias("x"))
-    return rows.select("key", "x.field", F.posexplode("x.values").alias("at", "value")).where(F.col("value").rlike(r"[^\x00-\x7f]|&#?\w+;|\p{L}\?\p{L}"))
+    return rows.select("key", "x.field", F.posexplode("x.values").alias("at", "value")).where("value is not null")
+
+
+def unusual(rows: DataFrame) -> DataFrame:
+    """Those values with a word that can be garbled at all (TOKEN): with characters beyond ASCII, references to such, or a mark between letters."""
+    return rows.where(F.col("value").rlike(r"[^\x00-\x7f]|&#?\w+;|\p{L}\?\p{L}"))
 
 
 def _held(value: str) -> bool:
@@ -330,7 +335,7 @@ def validated_margins(tables: list[np.ndarray], letters: list[str], rows: DataFr
                             counts[kind, True, int(2 * max(-200.0, min(gain, 200.0)))] += n
             yield pd.DataFrame([(*key, n) for key, n in counts.items()], columns=["kind", "bad", "gain", "n"])
 
-    found = rows.select("value").mapInPandas(batches, "kind string, bad boolean, gain int, n long").groupBy("kind", "bad", "gain").agg(F.sum("n").alias("n")).collect()
+    found = unusual(rows).select("value").mapInPandas(batches, "kind string, bad boolean, gain int, n long").groupBy("kind", "bad", "gain").agg(F.sum("n").alias("n")).collect()
     margins = {}
     for kind in KINDS:
         good, bad = (sorted((r["gain"] / 2, r["n"]) for r in found if r["kind"] == kind and r["bad"] == b) for b in (False, True))
@@ -372,7 +377,7 @@ def mended(pages: DataFrame, key: str = "page_id") -> DataFrame:
             done = [model.mend(v) for v in frame["value"]]
             yield frame.assign(restored=[d[0] for d in done], garbled=[d[1] for d in done])
 
-    return rows.mapInPandas(batches, "key long, field string, at int, value string, restored string, garbled boolean").withColumnRenamed("key", key)
+    return unusual(rows).mapInPandas(batches, "key long, field string, at int, value string, restored string, garbled boolean").withColumnRenamed("key", key)
 
 
 def garbled_values(pages: DataFrame, key: str = "page_id") -> DataFrame:

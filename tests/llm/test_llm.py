@@ -243,6 +243,16 @@ def test_every_chain_is_tried_and_words_of_letters_are_kept():
     assert garbles.regular("L’État SERVIÇO AbC 12") == "  l’état serviço AbC 00 "
 
 
+def test_plain_values_are_trained_on_too(spark):
+    rows = [(k, f"plain words of a title {k}", [], f"Gestión del agua en la región {k}") for k in range(40)]
+    frame = spark.createDataFrame(rows, "page_id long, title string, authors array<string>, abstract string")
+    values = garbles.values(frame)
+    assert values.where("field = 'title'").count() == 40 and values.where("value is null").count() == 0
+    tables, _ = garbles.train(values)
+    assert tables[2][garbles.slot("pla")] >= 30
+    assert {r["field"] for r in garbles.mended(frame).collect()} == {"abstract"}
+
+
 def test_margins_lie_between_clean_and_garbled_words(spark):
     pages_ = spark.read.parquet("/root/testdata/sf0.01/scraped_pages.parquet")
     rows = garbles.values(pages_)
@@ -495,6 +505,17 @@ def test_walks_bring_two_languages_together_and_links_need_them():
     assert taken["trained"] > taken["dropped"] + 10
 
 
+def test_words_of_all_records_are_trained(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(5))
+    topics, authors = [word() for _ in range(300)], [(word(), word()) for _ in range(120)]
+    rows = [(k, " ".join([*rng.sample(topics, 5), authors[k % 120][1]]), [f"{authors[k % 120][0]}, Ana"], 2000 + k % 20, None) for k in range(12_000)]
+    _, classes, sent, _ = matches.prepared((spark.createDataFrame(rows, "seq long, title string, authors array<string>, year int, doi string"), "seq", "l"))
+    trained, _, _, n, _ = sent.broadcast.value
+    assert n == 12_000 and {own for _, own in authors} | set(topics) <= set(trained)
+    assert classes.count() == n and classes.select("sig").distinct().count() == n
+
+
 def test_hot_buckets_in_blocks_give_the_same_pairs(spark):
     rows = [(k, 7, 0, 0, 2010, 0, 1 + k % 2) for k in range(60)] + [(100 + k, 8, 0, 0, 2010, 0, 3) for k in range(5)]
     buckets = spark.createDataFrame(rows, "sig long, code long, sketch long, names long, year int, marker long, side int")
