@@ -516,6 +516,16 @@ def test_words_of_all_records_are_trained(spark):
     assert classes.count() == n and classes.select("sig").distinct().count() == n
 
 
+def test_the_curve_is_fitted_to_all_labelled_pairs(spark):
+    title = "gestion del agua de riego en el valle de torbe durante la sequia"
+    rows = [(k, f"{title} {k % 7}", [f"Torbe{k % 5}, Ana"], 2000, f"10.1000/x.{k // 2}") for k in range(320)]
+    _, classes, sent, _ = matches.prepared((spark.createDataFrame(rows, "seq long, title string, authors array<string>, year int, doi string"), "seq", "l"))
+    pairs = classes.select(F.col("sig").alias("a")).crossJoin(classes.select(F.col("sig").alias("b"))).where("a < b")
+    weights, least = matches.calibrated(pairs, classes, sent)
+    again, least_ = matches.calibrated(pairs.orderBy(F.desc("a")), classes, sent)
+    assert pairs.count() > 20_000 and np.array_equal(weights, again) and least == least_ and np.isfinite(weights).all()
+
+
 def test_hot_buckets_in_blocks_give_the_same_pairs(spark):
     rows = [(k, 7, 0, 0, 2010, 0, 1 + k % 2) for k in range(60)] + [(100 + k, 8, 0, 0, 2010, 0, 3) for k in range(5)]
     buckets = spark.createDataFrame(rows, "sig long, code long, sketch long, names long, year int, marker long, side int")
