@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -35,6 +36,7 @@ BREAK = re.compile(r"([.!?][\"”»)]?)\s+(?=[A-ZÀ-ÖØ-Þ¿¡«“\"(\[])")
 LABELLED = re.compile(rf"([A-ZÀ-ÖØ-Þ](?:{L}|-)+(?:\s{L}+)?)\s?:\s")
 LINK = re.compile(r"\shttps?://\S+$")
 LONE_DIGIT = re.compile(rf"(?:^|[^\W\d_]\s|<\s)\d\.$")
+DIGIT = re.compile(r"\d")
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 NAMES = re.compile(rf"(?<=[\s'’])[A-ZÀ-ÖØ-Þ](?:{L}|-)*(?:\s[A-ZÀ-ÖØ-Þ](?:{L}|-)*)*")
 LAST_WORD = re.compile(r"[^\s'’]*$")
@@ -69,16 +71,26 @@ def keys(sentence: str) -> tuple[int, int, int]:
     opening = OPENING.match(sentence)
     words = (sentence[opening.end() :] if opening else sentence).split(" ")
     head = _shape(" ".join(words[:7])).split(" ", 3)[:3]
-    tail = _shape(" " + " ".join(words[-6:]).removesuffix(".")).split(" ")[-2:]
+    tail = _shape(" " + " ".join(words[-6:]).removesuffix(".")).rsplit(" ", 2)[-2:]
     last = LAST_WORD.search(words[-1])[0].removesuffix(".").lower()
-    return _hash(*head, *tail), _hash("word", NUMBER.sub("0", last) if last[-1:].isdigit() else last), len(words)
+    return _hash(*head, *tail), _word_hash(NUMBER.sub("0", last) if last[-1:].isdigit() else last), len(words)
+
+
+@lru_cache(50_000)
+def _word_hash(word: str) -> int:
+    return _hash("word", word)
 
 
 def _shape(part: str) -> str:
     low = part.lower()
     if part[1:] != low[1:]:
         low = NAMES.sub("P", part).lower()
-    return NUMBER.sub("0", low)
+    return NUMBER.sub("0", low) if DIGIT.search(low) else low
+
+
+def _marked(tail: str) -> bool:
+    """Whether a mark of omission stands at the end; where a full stop does, only two more before it can make one."""
+    return not (tail[-1:] == "." and tail.count(".", -5) < 3) and MARK.search(tail) is not None
 
 
 def _read(value: str, whole: set[int]) -> tuple[str, str | None]:
@@ -86,7 +98,7 @@ def _read(value: str, whole: set[int]) -> tuple[str, str | None]:
     text = TAGS.sub(" ", value) if "<" in value or "&" in value else value
     head, tail = text[:-90], text[-90:]
     bare = (head + TAIL.sub("", tail)).rstrip()
-    marked = bool(MARK.search(LAST_TAGS.sub("", value[-90:])) or MARK.search(bare[-60:]))
+    marked = _marked(LAST_TAGS.sub("", value[-90:])) or _marked(bare[-60:])
     stop = bare[-1:] in (".", "!", "?") and not LONE_DIGIT.search(bare[-8:])
     parts = BREAK.sub("\\1\x01", bare).split("\x01")
     for part in parts[: None if stop and not marked else -1]:

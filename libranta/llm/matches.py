@@ -13,8 +13,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from urllib.parse import unquote
 
 import numpy as np
@@ -78,18 +79,20 @@ def both_titles(title: str | None) -> tuple[str, str, str]:
 
 def author_parts(names) -> list[str]:
     """Each name as its plain words, those after a comma marked by a plus; initials and placeholders are left out."""
-    out = []
-    for name in [] if names is None else names:
-        if not name or plain(name.strip()) in NO_NAMES:
-            continue
-        left, comma, right = name.partition(",")
-        words = [plain(w) for w in LETTERS.findall(left) if len(w) > 2 or not w.isupper()] + [f"+{plain(w)}" for w in LETTERS.findall(right) if comma and len(w) > 2]
-        if comma and name.count(",") == 1:
-            initials = "".join(plain(w)[0] for w in LETTERS.findall(right))
-        else:
-            initials = "".join(plain(w) if len(w) <= 2 and w.isupper() else plain(w)[0] for w in LETTERS.findall(left) if len(w) <= 2 and w.isupper())
-        out.append(" ".join([*(w for w in words if len(w) > 1), f"={initials}"]))
-    return out
+    return [part for name in ([] if names is None else names) if name and (part := _author_part(name))]
+
+
+@lru_cache(50_000)
+def _author_part(name: str) -> str:
+    if plain(name.strip()) in NO_NAMES:
+        return ""
+    left, comma, right = name.partition(",")
+    words = [plain(w) for w in LETTERS.findall(left) if len(w) > 2 or not w.isupper()] + [f"+{plain(w)}" for w in LETTERS.findall(right) if comma and len(w) > 2]
+    if comma and name.count(",") == 1:
+        initials = "".join(plain(w)[0] for w in LETTERS.findall(right))
+    else:
+        initials = "".join(plain(w) if len(w) <= 2 and w.isupper() else plain(w)[0] for w in LETTERS.findall(left) if len(w) <= 2 and w.isupper())
+    return " ".join([*(w for w in words if len(w) > 1), f"={initials}"])
 
 
 def doi_part(doi: str | None) -> str:
@@ -124,6 +127,17 @@ def base_vector(token: str) -> np.ndarray:
     return np.rint(1000 * total / (np.linalg.norm(total) or 1)).astype(np.int64)
 
 
+def base_vectors(tokens: list[str]) -> np.ndarray:
+    """``base_vector`` of each token, as rows of floats."""
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    grams = [t[i : i + 3] for t in (f"^{t}$" for t in tokens) for i in range(len(t) - 2)]
+    at, names = pd.factorize(np.array(grams, object))
+    total = np.zeros((len(tokens), DIMENSIONS))
+    total[sizes > 0] = _runs(np.array([_gram(g) for g in names]).reshape(-1, DIMENSIONS), (np.cumsum(sizes) - sizes)[sizes > 0], at)
+    norms = np.linalg.norm(total, axis=1, keepdims=True)
+    return np.rint(1000 * total / np.where(norms == 0, 1, norms))
+
+
 @lru_cache(30_000)
 def _gram(gram: str) -> np.ndarray:
     return np.random.default_rng(xxhash.xxh3_64_intdigest(gram)).standard_normal(DIMENSIONS)
@@ -190,42 +204,65 @@ def skip_grams(records: list[list[str]], two: list[bool] | None = None, seed: in
     pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     pairs = np.concatenate([pairs, pairs[:, ::-1]])
     inner, outer = np.array([0.1 * _gram(t) for t in vocabulary], np.float32), np.zeros((n, size), np.float32)
+    right = np.array([1.0, 0.0, 0.0, 0.0], np.float32)[:, None]
     for _ in range(epochs):
         pairs = pairs[rng.permutation(len(pairs))]
         for start in range(0, len(pairs), 8192):
             a, b = pairs[start : start + 8192].T
             target = np.concatenate([b, rng.integers(0, n, 3 * len(a))]).reshape(4, -1)  # the first is right, the others are drawn
-            va, vb = inner[a], outer[target]
-            gradient = rate * ((np.arange(4) == 0)[:, None] - 1 / (1 + np.exp(-np.clip(np.einsum("jd,kjd->kj", va, vb), -8, 8))))
-            gradient = gradient.astype(np.float32)
-            _add(inner, a, np.einsum("kj,kjd->jd", gradient, vb))
+            va, vb = inner.take(a, axis=0), [outer.take(t, axis=0) for t in target]
+            gradient = rate * (right - 1 / (1 + np.exp(-np.clip([np.einsum("jd,jd->j", va, v) for v in vb], -8, 8))))
+            gradient = gradient.astype(np.float32)[:, :, None]
+            step = gradient[0] * vb[0]
+            for k in range(1, 4):
+                step += np.multiply(gradient[k], vb[k], out=vb[k])
+            _add(inner, a, step)
             for k in range(4):
-                _add(outer, target[k], gradient[k][:, None] * va)
+                _add(outer, target[k], np.multiply(gradient[k], va, out=vb[k]))
     return list(vocabulary), inner, rarity
 
 
 def _add(matrix: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """Adds values to rows; of those that come several times the sum counts as its square root, so that no step is too long."""
-    order = np.argsort(rows, kind="stable")
+    order = _sorted(rows, len(matrix))
     ends = rows[order]
     at = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
     times = np.diff(np.append(at, len(rows)))
-    matrix[ends[at]] += (_runs(values[order], at) / np.sqrt(times)[:, None]).astype(matrix.dtype)
+    matrix[ends[at]] += _runs(values, at, order) / np.sqrt(times, dtype=np.float32)[:, None]
+
+
+def _sorted(numbers: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of numbers below ``most``; small ones are sorted by their digits."""
+    return np.argsort(numbers.astype(np.uint16) if most <= 1 << 16 else numbers, kind="stable")
 
 
-def _runs(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The sum of each run of rows: all first rows, then all second ones and so on, which is faster than one run after the other."""
-    sizes = np.diff(np.append(starts, len(rows)))
-    order = np.argsort(-sizes, kind="stable")
-    starts, left = starts[order], np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")
-    sums = rows[starts].astype(np.float64)
-    for k in range(1, len(left)):
-        sums[: left[k]] += rows[starts[: left[k]] + k]
+def _runs(rows: np.ndarray, starts: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
+    """The sum of each run of rows (of those at ``places``): all first rows, then all second ones and so on, which is faster than one run after the other."""
+    sizes = np.diff(np.append(starts, len(rows) if places is None else len(places)))
+    longest = int(sizes.max(initial=0))
+    order = _sorted(longest - sizes, longest + 1)
+    starts, left = starts[order], np.searchsorted(-sizes[order], -np.arange(longest), side="left")
+    at = lambda k: starts[: left[k]] + k if places is None else places[starts[: left[k]] + k]
+    sums = rows.take(at(0), axis=0) if longest else rows[:0]
+    for k in range(1, longest):
+        sums[: left[k]] += rows.take(at(k), axis=0)
     out = np.empty_like(sums)
     out[order] = sums
     return out
 
 
+class _Places(dict):
+    """The rows of tokens' vectors; a new token, with its mark before it, goes to the end of ``tokens``."""
+
+    def __init__(self, mark: str, tokens: list[str]):
+        self.mark, self.tokens = mark, tokens
+
+    def __missing__(self, token: str) -> int:
+        at = self[token] = len(self.tokens)
+        self.tokens.append(self.mark + token)
+        return at
+
+
 class Space:
     """Vectors and hashes of records, from what was ``learned``."""
 
@@ -235,37 +272,36 @@ class Space:
         self.bits = int(min(MOST_BITS, max(16, round(np.log2(max(2, n))) + 4)))  # codes grow with the records, and the tables with the codes
         self.tables = tables_for(self.bits)
         # what titles have in common; of a few titles it would be the titles themselves, and all fit into small buckets anyway
-        self.center = np.zeros(DIMENSIONS) if n < 1000 else np.rint(sum((share * self._vector(token) for token, share in sorted(self.share.items())), np.zeros(DIMENSIONS)))
-        self.index: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-        self.matrix = np.zeros((0, DIMENSIONS))
-
-    def place(self, token: str) -> int:
-        """The row of a token's vector: its own and what training found; title words are weighted by rarity."""
-        at = self.index.get(token)
-        if at is None:
-            at = self.index[token] = len(self.rows)
-            self.rows.append(self._vector(token))
-        return at
-
-    def _vector(self, token: str) -> np.ndarray:
-        if token[0] == "#":  # a word beside a surname
-            return base_vector(token) + self.trained.get(token[1:], 0).astype(np.float64) if token[1:] in self.trained else base_vector(token).astype(np.float64)
-        vector = base_vector(token) + self.trained.get(token, np.zeros(DIMENSIONS))
-        if token[0] == "@":
-            return vector
-        s = self.share.get(token, 0.0)
-        return (1 if s > 0.05 else 3 if s > 0.01 else 5 if s > 0.003 else 9) * vector
+        self.center = np.zeros(DIMENSIONS) if n < 1000 else np.rint(sum((self.share[t] * v for t, v in zip(sorted(self.share), self._vectors(sorted(self.share)), strict=True)), np.zeros(DIMENSIONS)))
+        self.trim(0)
+
+    def _vectors(self, tokens: list[str]) -> np.ndarray:
+        """Vectors of tokens, their own and what training found; title words are weighted by rarity. A # marks a word beside a surname, an @ a surname."""
+        out = base_vectors(tokens)
+        for k, token in enumerate(tokens):
+            found = self.trained.get(token[1:] if token[0] == "#" else token)
+            if found is not None:
+                out[k] += found
+            if token[0] not in "#@":
+                s = self.share.get(token, 0.0)
+                out[k] *= 1 if s > 0.05 else 3 if s > 0.01 else 5 if s > 0.003 else 9
+        return out
+
+    def places(self, tokens: Iterable[str], n: int, mark: str = "") -> np.ndarray:
+        """The rows of vectors of ``n`` tokens, with a mark before each."""
+        return np.fromiter(map(self.index[mark].__getitem__, tokens), np.int64, n)
 
     def vectors(self, places: np.ndarray) -> np.ndarray:
-        if len(self.matrix) < len(self.rows):
-            self.matrix = np.vstack([self.matrix, *self.rows[len(self.matrix) :]])
-        return self.matrix[places]
+        if len(self.matrix) < len(self.tokens):
+            self.matrix = np.vstack([self.matrix, self._vectors(self.tokens[len(self.matrix) :])])
+        return self.matrix.take(places, axis=0)
 
-    def trim(self) -> None:
+    def trim(self, most: int = 60_000) -> None:
         """Between batches: vectors are forgotten when they are too many."""
-        if len(self.rows) > 60_000:
-            self.index, self.rows, self.matrix = {}, [], np.zeros((0, DIMENSIONS))
+        if not most or len(self.tokens) > most:
+            self.tokens: list[str] = []
+            self.index = {mark: _Places(mark, self.tokens) for mark in ("", "#", "@")}
+            self.matrix = np.zeros((0, DIMENSIONS))
 
     def rare(self, words: list[str]) -> list[str]:
         """Words of a title that few titles have, or that titles in all languages have: mostly names of places."""
@@ -281,30 +317,34 @@ class Space:
             found.update(w for w in name.split(" ") if w[0] not in "+=" and w not in self.given and w not in NICKNAMES)
         return sorted(found)
 
-    def _sums(self, lists: list[list[str]], rising: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """For each list of tokens the sum of their vectors (by place, if ``rising``), and whether it has any."""
-        sizes = np.array([len(x) for x in lists])
+    def _sums(self, lists: list[list[str]], mark: str = "") -> tuple[np.ndarray, np.ndarray]:
+        """For each list of tokens, with a mark before each, the sum of their vectors, and whether it has any."""
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
         has = sizes > 0
         out = np.zeros((len(lists), DIMENSIONS))
         if has.any():
-            rows = self.vectors(np.fromiter((self.place(t) for x in lists for t in x), np.int64, sizes.sum()))
-            starts = (np.cumsum(sizes) - sizes)[has]
-            if rising:
-                rows = rows * (2 + np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[:, None]
-            out[has] = _runs(rows, starts)
+            n = int(sizes.sum())
+            places = self.places(chain.from_iterable(lists), n, mark)
+            self.vectors(places[:0])
+            out[has] = _runs(self.matrix, (np.cumsum(sizes) - sizes)[has], places)
         return out, has
 
-    def _without_parts(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """For each list of PARTS words or more the sums of vectors by place that leave out one part each, and which lists these are."""
-        at = np.array([k for k, x in enumerate(lists) if len(x) >= PARTS], np.int64)
-        if not len(at):
-            return np.zeros((0, PARTS, DIMENSIONS)), at
-        sizes = np.array([len(lists[k]) for k in at])
+    def _by_place(self, lists: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Sums of vectors weighted by place: for each list of PARTS words or more those that leave out one part each, and which lists these are; for each of more than five the first nine words, and which."""
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        long, more = np.flatnonzero(sizes >= PARTS), np.flatnonzero(sizes > 5)
+        if not len(long):
+            return np.zeros((0, PARTS, DIMENSIONS)), long, np.zeros((0, DIMENSIONS)), more
+        sizes = sizes[long]
         starts = np.cumsum(sizes) - sizes
-        rows = self.vectors(np.fromiter((self.place(f"#{w}") for k in at for w in lists[k]), np.int64, sizes.sum()))
-        rows = rows * (2 + np.arange(len(rows)) - np.repeat(starts, sizes))[:, None]
-        parts = _runs(rows, (starts[:, None] + np.arange(PARTS) * sizes[:, None] // PARTS).ravel()).reshape(len(at), PARTS, DIMENSIONS)
-        return parts.sum(axis=1, keepdims=True) - parts, at
+        places = self.places(chain.from_iterable(lists[k] for k in long.tolist()), int(sizes.sum()), "#")
+        rows = self.vectors(places)
+        rows *= (2 + np.arange(len(rows)) - np.repeat(starts, sizes))[:, None]
+        bounds = (starts[:, None] + np.arange(PARTS) * sizes[:, None] // PARTS).ravel()
+        parts = _runs(rows, bounds).reshape(len(long), PARTS, DIMENSIONS)
+        first = np.minimum(sizes, 9)[sizes > 5]
+        at = np.repeat(starts[sizes > 5] - np.cumsum(first) + first, first) + np.arange(first.sum())
+        return parts.sum(axis=1, keepdims=True) - parts, long, _runs(rows, np.cumsum(first) - first, at), more
 
     def blocks(self, titles: list[str], authors: list[str], dois: list[str]) -> tuple[np.ndarray, ...]:
         """(record, code) of every bucket, and (sketch, names) of every record: bits of its title and its surnames."""
@@ -316,7 +356,7 @@ class Space:
         wide, firm = planes()
         wide = wide[:, : SKETCH + self.tables * self.bits]
         title, known = self._sums(words)
-        bits = (title[known] - self.center) @ wide > 0  # without what all titles have in common, so that buckets are even
+        bits = _above(title[known] - self.center, wide)  # without what all titles have in common, so that buckets are even
         sketch = np.zeros(len(titles), np.int64)
         sketch[known] = _numbers(bits[:, :SKETCH]).view(np.int64)
         at = np.flatnonzero(known)
@@ -325,33 +365,44 @@ class Space:
             start = SKETCH + table * self.bits
             records.append(at)
             codes.append(_numbers(bits[:, start : start + self.bits]).astype(np.int64) | (table << 40))
-        sums, long = self._without_parts(words)
+        sums, long, head, more = self._by_place(words)
         for part in range(PARTS if len(long) else 0):
             records.append(long)
-            codes.append(_numbers(sums[:, part] @ firm > 0).astype(np.int64) | (4 + part << 56))
-        doi = [[f"#{d}", *(f"#{w}" for w in x[:3])] if d else [] for d, x in zip(dois, words, strict=True)]
-        sums, has = self._sums(doi)
+            codes.append(_numbers(_above(sums[:, part], firm)).astype(np.int64) | (4 + part << 56))
+        doi = [[d, *x[:3]] if d else [] for d, x in zip(dois, words, strict=True)]
+        sums, has = self._sums(doi, "#")
         records.append(np.flatnonzero(has))
-        codes.append(_numbers(sums[has] @ firm > 0).astype(np.int64) | (3 << 56) | (1 << 62))
+        codes.append(_numbers(_above(sums[has], firm)).astype(np.int64) | (3 << 56) | (1 << 62))
         if len(owner):
-            own = self.vectors(np.fromiter((self.place(f"@{s}") for x in surnames for s in x), np.int64, len(owner)))
+            places = self.places(chain.from_iterable(surnames), len(owner), "@")
+            own = self.vectors(places)
             part = firm[:, : min(FIRM, self.bits + 10)]
+            first = np.cumsum([0, *map(len, surnames)]).tolist()
             keys = [self.keys(x) for x in unusual]
-            named = [(k, s, key) for k, (x, each) in enumerate(zip(surnames, keys, strict=True)) for s in x for key in each]
+            named = [(k, at, key) for k, each in enumerate(keys) for at in range(first[k], first[k + 1]) for key in each]
             if named:
-                own_named = self.vectors(np.fromiter((self.place(f"@{s}") for _, s, _ in named), np.int64, len(named)))
-                sums = self._sums([[f"#{w}" for w in key] for _, _, key in named])[0]
+                sums = self._sums([key for _, _, key in named], "#")[0]
                 records.append(np.array([k for k, _, _ in named], np.int64))
-                codes.append(_numbers((3 * own_named + 2 * sums) @ part > 0).astype(np.int64) | (1 << 56) | (1 << 62))
-            head, has = self._sums([[f"#{w}" for w in x[:9]] if len(x) > 5 else [] for x in words], rising=True)
-            alone, has_doi = self._sums([[f"#{d}"] if d and not x else [] for d, x in zip(dois, words, strict=True)])
-            for kind, factor, sums, has_, planes_ in ((2, 12, head, has, part), (4, 1, alone, has_doi, firm)):
+                codes.append(_numbers(_above(3 * own.take([at for _, at, _ in named], axis=0) + 2 * sums, part)).astype(np.int64) | (1 << 56) | (1 << 62))
+            heads, alone = np.zeros((len(titles), DIMENSIONS)), [[d] if d and not x else [] for d, x in zip(dois, words, strict=True)]
+            heads[more] = head
+            alone, has_doi = self._sums(alone, "#")
+            for kind, factor, sums, has_, planes_ in ((2, 12, heads, np.isin(np.arange(len(titles)), more), part), (4, 1, alone, has_doi, firm)):
                 rows = has_[owner]
                 records.append(owner[rows])
-                codes.append(_numbers((2 * factor * own[rows] + 2 * sums[owner[rows]]) @ planes_ > 0).astype(np.int64) | (kind << 56) | (1 << 62))
+                codes.append(_numbers(_above(2 * factor * own[rows] + 2 * sums[owner[rows]], planes_)).astype(np.int64) | (kind << 56) | (1 << 62))
         return np.concatenate(records), np.concatenate(codes), sketch, names
 
 
+def _above(rows: np.ndarray, planes_: np.ndarray, step: int = 24) -> np.ndarray:
+    """On which side of each plane every row lies. Few rows at a time: products so small stay in one thread, where more threads only wait for each other."""
+    out = np.empty((len(rows), planes_.shape[1]), bool)
+    whole = len(rows) // step * step
+    np.greater(rows[:whole].reshape(-1, step, rows.shape[1]) @ planes_, 0, out=out[:whole].reshape(-1, step, planes_.shape[1]))
+    out[whole:] = rows[whole:] @ planes_ > 0
+    return out
+
+
 def _spread(lists: list[list[str]]) -> np.ndarray:
     """For each list of words 64 bits, one of them set for each word."""
     out = np.zeros(len(lists), np.uint64)
@@ -678,7 +729,7 @@ def features(space: Space, frame: pd.DataFrame) -> np.ndarray:
         first[at[::-1]] = np.arange(len(frame))[::-1]
         title, other, authors = (frame[f"{c}_{x}"].to_numpy()[first] for c in ("title", "other", "authors"))
         titles = [space._sums([t.split(" ") if t else [] for t in title])] + ([space._sums([t.split(" ") if t else [] for t in other])] if any(other) else [])
-        sides.append((at, titles, space._sums([[f"@{w}" for w in space.surnames(t)] for t in authors])))
+        sides.append((at, titles, space._sums([space.surnames(t) for t in authors], "@")))
     (ia, ta, (va, ha)), (ib, tb, (vb, hb)) = sides
     best = np.zeros(len(frame))
     for sums_a, has_a in ta:

@@ -556,6 +556,29 @@ def test_one_slip_leaves_a_common_bucket_at_any_size():
             assert all(held[k] & held[60 + k] for k in range(60))
 
 
+def test_hashing_stays_in_one_thread_and_sums_are_those_of_single_tokens():
+    import time
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(3, 10))) for _ in range(3000)]
+    titles, authors = [" ".join(rng.choices(words, k=3 + k % 12)) for k in range(6000)], [f"{rng.choice(words)} =a|{rng.choice(words)} ana =" for _ in range(6000)]
+    trained = {w: np.arange(matches.DIMENSIONS) - k for k, w in enumerate(words[:200])}
+    space = matches.Space((trained, {w: 0.02 for w in words[100:300]}, {"ana"}, 1_000_000))
+    space.blocks(titles, authors, [""] * 6000)
+    wall, cpu = time.perf_counter(), time.process_time()
+    for _ in range(3):
+        space.blocks(titles, authors, [""] * 6000)
+    assert time.process_time() - cpu <= 1.15 * (time.perf_counter() - wall) + 0.05
+    weight = lambda w: 3 if w in words[100:300] else 9
+    sums, has = space._sums([titles[0].split(" "), [], titles[5].split(" ")])
+    assert has.tolist() == [True, False, True] and not sums[1].any()
+    for k, title in ((0, titles[0]), (2, titles[5])):
+        assert np.array_equal(sums[k], sum(weight(w) * (matches.base_vector(w) + trained.get(w, 0)) for w in title.split(" ")))
+    beside = space._sums([[words[5], words[2000]]], "#")[0][0]
+    assert np.array_equal(beside, matches.base_vector(f"#{words[5]}") + trained[words[5]] + matches.base_vector(f"#{words[2000]}"))
+    assert np.array_equal(space._sums([[words[7]]], "@")[0][0], matches.base_vector(f"@{words[7]}"))
+
+
 def test_linking_joins_titles_with_a_slip(spark):
     title = "relation between household income and user satisfaction in fishing communities of the old port"
     papers = spark.createDataFrame([(k, title.replace(*swap), ["Ana Torbe Lindo"], 2010, None) for k, swap in enumerate([("household", "houshold"), ("relation", "relatoin"), ("port", "prot"), ("port", "hill and the lake")])], "seq long, title string, authors array<string>, year int, doi string")
