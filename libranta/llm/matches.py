@@ -225,10 +225,11 @@ def skip_grams(records: list[list[str]], two: list[bool] | None = None, seed: in
 def _add(matrix: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """Adds values to rows; of those that come several times the sum counts as its square root, so that no step is too long."""
     order = _sorted(rows, len(matrix))
-    ends = rows[order]
+    ends = rows.take(order)
     at = np.flatnonzero(np.concatenate([[True], ends[1:] != ends[:-1]]))
-    times = np.diff(np.append(at, len(rows)))
-    matrix[ends[at]] += _runs(values, at, order) / np.sqrt(times, dtype=np.float32)[:, None]
+    by, sizes, sums = _long_first(values, at, order)
+    sums /= np.sqrt(sizes, dtype=np.float32)[:, None]
+    matrix[ends.take(at.take(by))] += sums
 
 
 def _sorted(numbers: np.ndarray, most: int) -> np.ndarray:
@@ -236,16 +237,27 @@ def _sorted(numbers: np.ndarray, most: int) -> np.ndarray:
     return np.argsort(numbers.astype(np.uint16) if most <= 1 << 16 else numbers, kind="stable")
 
 
-def _runs(rows: np.ndarray, starts: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
-    """The sum of each run of rows (of those at ``places``): all first rows, then all second ones and so on, which is faster than one run after the other."""
+def _long_first(rows: np.ndarray, starts: np.ndarray, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of rows (of those at ``places``) from the longest to the shortest, how long they are and their sums: all first rows, then all second ones and so on, which is faster than one run after the other."""
     sizes = np.diff(np.append(starts, len(rows) if places is None else len(places)))
     longest = int(sizes.max(initial=0))
     order = _sorted(longest - sizes, longest + 1)
-    starts, left = starts[order], np.searchsorted(-sizes[order], -np.arange(longest), side="left")
-    at = lambda k: starts[: left[k]] + k if places is None else places[starts[: left[k]] + k]
-    sums = rows.take(at(0), axis=0) if longest else rows[:0]
-    for k in range(1, longest):
-        sums[: left[k]] += rows.take(at(k), axis=0)
+    starts, sizes = starts.take(order), sizes.take(order)
+    left = np.searchsorted(-sizes, -np.arange(longest), side="left").tolist()
+    sums = rows[:0]
+    for k, n in enumerate(left):
+        at = starts[:n] + k
+        part = rows.take(at if places is None else places.take(at), axis=0)
+        if k:
+            sums[:n] += part
+        else:
+            sums = part
+    return order, sizes, sums
+
+
+def _runs(rows: np.ndarray, starts: np.ndarray, places: np.ndarray | None = None) -> np.ndarray:
+    """The sum of each run of rows (of those at ``places``)."""
+    order, _, sums = _long_first(rows, starts, places)
     out = np.empty_like(sums)
     out[order] = sums
     return out

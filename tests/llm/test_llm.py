@@ -579,6 +579,22 @@ def test_hashing_stays_in_one_thread_and_sums_are_those_of_single_tokens():
     assert np.array_equal(space._sums([[words[7]]], "@")[0][0], matches.base_vector(f"@{words[7]}"))
 
 
+def test_steps_of_the_training_against_sums_one_by_one():
+    rng = np.random.default_rng(3)
+    for n in (50, 70_000):  # numbers of nodes that fit into two bytes, and that do not
+        rows = np.minimum(rng.zipf(1.4, 4000), n) - 1
+        values, matrix = rng.integers(-9, 9, (4000, 3)).astype(np.float32), np.zeros((n, 3), np.float32)
+        want = np.zeros((n, 3))
+        np.add.at(want, rows, values)
+        matches._add(matrix, rows, values)
+        times = np.bincount(rows, minlength=n)
+        assert np.allclose(matrix, want / np.sqrt(np.maximum(times, 1))[:, None], atol=1e-4)
+        order = np.argsort(rows, kind="stable")
+        starts = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        by, sizes, sums = matches._long_first(values, starts, order)
+        assert (np.diff(sizes) <= 0).all() and np.array_equal(sizes, times[times > 0][by]) and np.array_equal(sums, want[times > 0][by])
+
+
 def test_linking_joins_titles_with_a_slip(spark):
     title = "relation between household income and user satisfaction in fishing communities of the old port"
     papers = spark.createDataFrame([(k, title.replace(*swap), ["Ana Torbe Lindo"], 2010, None) for k, swap in enumerate([("household", "houshold"), ("relation", "relatoin"), ("port", "prot"), ("port", "hill and the lake")])], "seq long, title string, authors array<string>, year int, doi string")
