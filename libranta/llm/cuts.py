@@ -32,6 +32,7 @@ MARK = re.compile(
 TAGS = re.compile(r"</?[a-zA-Z][^<>]*>|&nbsp;")
 LAST_TAGS = re.compile(r"(?:</?[a-zA-Z][^<>\s]{0,40}>|\s)+$")
 TAIL = re.compile(r"(?:<(?:/?[a-zA-Z][^<>\s]{0,40})?>?|&#?\w{0,6};?|[\"“”«»'’\s])+$")
+TRAILING = "\"“”«»'’"
 BREAK = re.compile(r"([.!?][\"”»)]?)\s+(?=[A-ZÀ-ÖØ-Þ¿¡«“\"(\[])")
 LABELLED = re.compile(rf"([A-ZÀ-ÖØ-Þ](?:{L}|-)+(?:\s{L}+)?)\s?:\s")
 LINK = re.compile(r"\shttps?://\S+$")
@@ -56,7 +57,8 @@ def values(papers: DataFrame, *columns: str) -> DataFrame:
         F.col("seq").cast("long").alias("seq"), "source",
         F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in columns))).alias("x"),
     )
-    return rows.select("seq", "source", "x.field", "x.value").where(genuine_text(F.col("value")) & ~F.col("value").rlike(FACTS))
+    facts = F.col("value").contains("|") & F.col("value").rlike(FACTS)
+    return rows.select("seq", "source", "x.field", "x.value").where(genuine_text(F.col("value")) & ~facts)
 
 
 def _hash(*parts: str) -> int:
@@ -69,16 +71,26 @@ def keys(sentence: str) -> tuple[int, int, int]:
     Numbers are one word and so are runs of capitalised words; an opening phrase before a comma does not count.
     """
     opening = OPENING.match(sentence)
-    words = (sentence[opening.end() :] if opening else sentence).split(" ")
-    head = _shape(" ".join(words[:7])).split(" ", 3)[:3]
-    tail = _shape(" " + " ".join(words[-6:]).removesuffix(".")).rsplit(" ", 2)[-2:]
-    last = LAST_WORD.search(words[-1])[0].removesuffix(".").lower()
-    return _hash(*head, *tail), _word_hash(NUMBER.sub("0", last) if last[-1:].isdigit() else last), len(words)
+    rest = sentence[opening.end() :] if opening else sentence
+    closing = rest.rsplit(" ", 6)
+    head, tail = _head(" ".join(rest.split(" ", 7)[:7])), _tail(" ".join(closing[-6:]))
+    return xxhash.xxh3_64_intdigest(f"{head}\x1f{tail}") - (1 << 63), _last(closing[-1]), rest.count(" ") + 1
 
 
 @lru_cache(50_000)
-def _word_hash(word: str) -> int:
-    return _hash("word", word)
+def _head(words: str) -> str:
+    return "\x1f".join(_shape(words).split(" ", 3)[:3])
+
+
+@lru_cache(50_000)
+def _tail(words: str) -> str:
+    return "\x1f".join(_shape(" " + words.removesuffix(".")).rsplit(" ", 2)[-2:])
+
+
+@lru_cache(50_000)
+def _last(word: str) -> int:
+    last = LAST_WORD.search(word)[0].removesuffix(".").lower()
+    return _hash("word", NUMBER.sub("0", last) if last[-1:].isdigit() else last)
 
 
 def _shape(part: str) -> str:
@@ -97,8 +109,9 @@ def _read(value: str, whole: set[int]) -> tuple[str, str | None]:
     """How a value ends (mark, stop or open) and its unfinished last sentence; keys of its whole sentences go to ``whole``."""
     text = TAGS.sub(" ", value) if "<" in value or "&" in value else value
     head, tail = text[:-90], text[-90:]
-    bare = (head + TAIL.sub("", tail)).rstrip()
-    marked = _marked(LAST_TAGS.sub("", value[-90:])) or _marked(bare[-60:])
+    bare = (head + (TAIL.sub("", tail) if tail[-1:] in TRAILING or tail[-1:].isspace() or "<" in tail or "&" in tail else tail)).rstrip()  # no other text has such an end
+    end = value[-90:]
+    marked = _marked(LAST_TAGS.sub("", end) if end[-1:] == ">" or end[-1:].isspace() else end) or _marked(bare[-60:])
     stop = bare[-1:] in (".", "!", "?") and not LONE_DIGIT.search(bare[-8:])
     parts = BREAK.sub("\\1\x01", bare).split("\x01")
     for part in parts[: None if stop and not marked else -1]:

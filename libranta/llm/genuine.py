@@ -24,7 +24,8 @@ def listed(column: Column, *lists: str) -> Column:
 def genuine_text(column: Column) -> Column:
     """A text of its own; notices are short, so a long text that opens like one is kept."""
     notice = (F.length(column) < 100) & column.rlike(NOTICE)
-    return column.isNotNull() & (F.trim(column) != "") & ~listed(column, PLACEHOLDERS) & ~notice
+    short = F.length(F.trim(column)) < 100  # as all placeholders are
+    return column.isNotNull() & (F.trim(column) != "") & ~(short & listed(column, PLACEHOLDERS)) & ~notice
 
 
 def genuine_title(column: Column) -> Column:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import checkpointed
+from ..tables import checkpointed, dropped, small_hashed
 from .genuine import NO_NAME, NO_TITLE, PLACEHOLDERS
 from .once import Sent
 from .spellings import NICKNAMES, _edits, plain
@@ -32,6 +32,7 @@ from .spellings import NICKNAMES, _edits, plain
 DIMENSIONS, MOST_BITS, SKETCH, FIRM = 48, 32, 64, 48
 NEAR_DEGREES, FOUND = 12.0, 0.8  # the title tables are so many that titles at this angle meet in one of them with this chance
 HOT = 2000  # rows of a bucket on either side of a comparison in one task
+FLUSH = 200_000  # words whose counts a task holds
 SHARD = 5000  # records, about, that one walk can reach
 TRAINED_WEIGHT = 700  # length of a trained vector beside 1000 of a token's own
 PARTS = 4  # of a title: buckets of the others make up for a slip in one, however many records there are
@@ -49,6 +50,7 @@ SMALL = {
     "fr": "le la les des du de et dans chez une un avec sur parmi pour",
 }
 SMALL = {code: set(words.split()) for code, words in SMALL.items()}
+SMALLEST = set().union(*SMALL.values())
 SCHEMA = "sig long, title string, other string, marker string, authors string, year int, doi string"
 TWO_TITLES = re.compile(r"\s+=\s+")
 
@@ -59,7 +61,8 @@ def title_parts(title: str | None) -> tuple[list[str], str]:
     if text.strip() in NO_TITLES:
         return [], ""
     text = OPENER.sub("", text)
-    text = re.sub(r"<[^>]{1,6}>", " ", text)
+    if "<" in text:
+        text = re.sub(r"<[^>]{1,6}>", " ", text)
     marker = ""
     if found := MARKER.search(text):
         number = ROMAN.get(found[2]) or (int(found[2]) if found[2].isdigit() else 0)
@@ -71,7 +74,7 @@ def title_parts(title: str | None) -> tuple[list[str], str]:
 
 def both_titles(title: str | None) -> tuple[str, str, str]:
     """Words of a title, words of the same title in another language if an equals sign joins the two, and the part or report number."""
-    first, *more = TWO_TITLES.split(title or "", maxsplit=1)
+    first, *more = TWO_TITLES.split(title, maxsplit=1) if title and "=" in title else (title,)
     words, marker = title_parts(first)
     other, marker_ = title_parts(more[0]) if more and len(words) > 3 else ([], "")
     return " ".join(words), " ".join(other), marker or marker_
@@ -87,11 +90,12 @@ def _author_part(name: str) -> str:
     if plain(name.strip()) in NO_NAMES:
         return ""
     left, comma, right = name.partition(",")
-    words = [plain(w) for w in LETTERS.findall(left) if len(w) > 2 or not w.isupper()] + [f"+{plain(w)}" for w in LETTERS.findall(right) if comma and len(w) > 2]
+    before, after = LETTERS.findall(left), [(w, plain(w)) for w in LETTERS.findall(right)]
+    words = [plain(w) for w in before if len(w) > 2 or not w.isupper()] + [f"+{x}" for w, x in after if len(w) > 2]
     if comma and name.count(",") == 1:
-        initials = "".join(plain(w)[0] for w in LETTERS.findall(right))
+        initials = "".join(x[0] for _, x in after)
     else:
-        initials = "".join(plain(w) if len(w) <= 2 and w.isupper() else plain(w)[0] for w in LETTERS.findall(left) if len(w) <= 2 and w.isupper())
+        initials = "".join(plain(w) for w in before if len(w) <= 2 and w.isupper())
     return " ".join([*(w for w in words if len(w) > 1), f"={initials}"])
 
 
@@ -179,12 +183,13 @@ def skip_grams(records: list[list[str]], two: list[bool] | None = None, seed: in
     than ``most`` of the records tell nothing and are left out. A node's vector starts from its own name, so that what shards learn can be added up.
     """
     rng = np.random.default_rng(seed)
-    count = Counter(t for nodes in records for t in set(nodes))
+    records = [set(nodes) for nodes in records]
+    count = Counter(chain.from_iterable(records))
     vocabulary = {t: i for i, t in enumerate(sorted(t for t, n in count.items() if 2 <= n <= max(20, most * len(records))))}
     n, size = len(vocabulary), DIMENSIONS
     if n < 50:
         return [], np.zeros((0, size), np.float32), np.zeros(0, np.int64)
-    held = [sorted({vocabulary[t] for t in nodes if t in vocabulary}) for nodes in records]
+    held = [sorted([vocabulary[t] for t in nodes if t in vocabulary]) for nodes in records]
     often = np.array([more if t else walks for t, ids in zip(two or [False] * len(held), held, strict=True) if ids])
     held = [ids for ids in held if ids]
     sizes = np.array([len(ids) for ids in held])
@@ -275,12 +280,27 @@ class _Places(dict):
         return at
 
 
+class _Persons(dict):
+    """What a name tells: given names, surnames and initials, read once for each name."""
+
+    def __init__(self, given: set[str]):
+        self.given = given
+
+    def __missing__(self, name: str) -> tuple[set[str], list[str], set[str]]:
+        *words, initials = name.split(" ")
+        given = {NICKNAMES.get(w.lstrip("+"), w.lstrip("+")) for w in words if w[0] == "+" or w in self.given or w in NICKNAMES}
+        surnames = [w for w in words if w[0] != "+" and w not in self.given and w not in NICKNAMES]
+        found = self[name] = (given, surnames, {w[0] for w in given} | set(initials[1:]))
+        return found
+
+
 class Space:
     """Vectors and hashes of records, from what was ``learned``."""
 
     def __init__(self, sent: tuple):
         self.trained, self.share, self.given, n, *more = sent
         self.lasting: set[str] = more[0] if more else set()
+        self.forenames = self.given.union(NICKNAMES)
         self.bits = int(min(MOST_BITS, max(16, round(np.log2(max(2, n))) + 4)))  # codes grow with the records, and the tables with the codes
         self.tables = tables_for(self.bits)
         # what titles have in common; of a few titles it would be the titles themselves, and all fit into small buckets anyway
@@ -314,6 +334,8 @@ class Space:
             self.tokens: list[str] = []
             self.index = {mark: _Places(mark, self.tokens) for mark in ("", "#", "@")}
             self.matrix = np.zeros((0, DIMENSIONS))
+        if not most or len(self.persons) > most:
+            self.persons = _Persons(self.given)
 
     def rare(self, words: list[str]) -> list[str]:
         """Words of a title that few titles have, or that titles in all languages have: mostly names of places."""
@@ -324,10 +346,7 @@ class Space:
         return [[w] for w in unusual if self.share.get(w, 0) <= 0.01] or ([unusual] if unusual else [])
 
     def surnames(self, authors: str) -> list[str]:
-        found = set()
-        for name in authors.split("|") if authors else []:
-            found.update(w for w in name.split(" ") if w[0] not in "+=" and w not in self.given and w not in NICKNAMES)
-        return sorted(found)
+        return sorted({w for w in authors.replace("|", " ").split(" ") if w and w[0] not in "+=" and w not in self.forenames})
 
     def _sums(self, lists: list[list[str]], mark: str = "") -> tuple[np.ndarray, np.ndarray]:
         """For each list of tokens, with a mark before each, the sum of their vectors, and whether it has any."""
@@ -434,28 +453,63 @@ def _numbers(bits: np.ndarray) -> np.ndarray:
     return whole.view(">u8").ravel().astype(np.uint64)
 
 
-def lasting(classes: DataFrame, words: set[str]) -> set[str]:
-    """Those of ``words`` that a translation keeps, such as names of places.
+def counted(classes: DataFrame) -> DataFrame:
+    """(kind, code, w, n, m): in how many records each word stands, from one pass. Kind 0: in a title of the language ``code``; 1: in a second title only;
+    2: in names, behind a comma ``n`` times and elsewhere ``m`` times; 3: in names with a comma, before it. The empty word of kind 0 counts the titles.
 
-    Of the languages' shares of titles with the word, the third is a tenth of the first or more; of a word too rare for
-    that (fewer than 30 titles), at most four fifths are in one language.
+    A task hands on its counts when it holds FLUSH words, so it never holds more, whatever the number of records.
     """
-    sent = Sent(classes.sparkSession, words, set)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words: dict[str, Counter[str]] = defaultdict(Counter)
+        others, behind, elsewhere, before = Counter(), Counter(), Counter(), Counter()
+
+        def flushed() -> pd.DataFrame:
+            out = [(0, code, w, n, 0) for code, found in words.items() for w, n in found.items()] + [(1, "", w, n, 0) for w, n in others.items()]
+            out += [(2, "", w, behind[w], elsewhere[w]) for w in {**behind, **elsewhere}] + [(3, "", w, n, 0) for w, n in before.items()]
+            for counts in (words, others, behind, elsewhere, before):
+                counts.clear()
+            return pd.DataFrame(out, columns=["kind", "code", "w", "n", "m"])
+
         for frame in frames:
-            counts: Counter[tuple[str, str]] = Counter()
-            for title in frame["title"]:
-                found = title.split(" ")
-                counts.update((code, w) for code in (tongue(found),) for w in {"", *(sent.get() & set(found))})
-            yield pd.DataFrame([(code, w, n) for (code, w), n in counts.items()], columns=["code", "w", "n"])
+            for title, other, authors in zip(*(frame[c].tolist() for c in ("title", "other", "authors")), strict=True):
+                found = title.split(" ") if title else []
+                different = {*found, ""} if found else set()
+                if found:
+                    words[tongue(found)].update(different)
+                if other:
+                    others.update({*other.split(" ")} - different - {""})
+                for name in authors.split("|") if authors else []:
+                    long = [w for w in name.split(" ") if len(w) > 2 and w[0] != "="]
+                    rest = [w for w in long if w[0] != "+"]
+                    if "+" in name:
+                        behind.update([w[1:] for w in long if w[0] == "+"])
+                        before.update(rest)
+                    elsewhere.update(rest)
+            if sum(map(len, (*words.values(), others, behind, elsewhere, before))) > FLUSH:
+                yield flushed()
+        if words or others or elsewhere or behind:
+            yield flushed()
+
+    rows = classes.select("title", "other", "authors").mapInPandas(batches, "kind int, code string, w string, n long, m long")
+    return checkpointed(rows.groupBy("kind", "code", "w").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+
+
+def lasting(counts: DataFrame, least: float) -> tuple[dict[str, int], set[str]]:
+    """Words that ``least`` titles have, each with its titles, and those of them that a translation keeps, such as names of places; small words are none.
 
-    rows = classes.where("title <> ''").select("title").mapInPandas(batches, "code string, w string, n long").groupBy("code", "w").agg(F.sum("n").alias("n")).collect()
-    total = {r["code"]: r["n"] for r in rows if not r["w"]}
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in rows:
-        counts[r["w"]][r["code"]] = r["n"]
-    return {w for w, found in counts.items() if w and kept_in_translation(found, total)}
+    Of the languages' shares of titles with the word, the third is a tenth of the first or more; of a word too rare for
+    that (fewer than 30 titles), at most four fifths are in one language.
+    """
+    titles = counts.where("kind = 0")
+    often = titles.groupBy("w").agg(F.sum("n").alias("all")).where((F.col("all") >= least) | (F.col("w") == ""))
+    total, found = {}, defaultdict(dict)
+    for r in titles.join(often, "w").select("code", "w", "n").collect():
+        if r["w"]:
+            found[r["w"]][r["code"]] = r["n"]
+        else:
+            total[r["code"]] = r["n"]
+    return {w: sum(n.values()) for w, n in found.items()}, {w for w, n in found.items() if w not in SMALLEST and kept_in_translation(n, total)}
 
 
 def kept_in_translation(found: dict[str, int], total: dict[str, int]) -> bool:
@@ -516,16 +570,17 @@ def learned(classes: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, float]
     which a 2500th of the records or more share each, not more than that many times the nodes of a record.
     """
     n = max(1, classes.count())
-    words = classes.select(F.explode(F.array_distinct(F.split(F.concat_ws(" ", "title", "other"), " "))).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("k")).where(F.col("k") >= max(2, n / 2500))
+    counts = counted(classes)
+    words = counts.where("kind < 2 and w <> ''").groupBy("w").agg(F.sum("n").alias("k")).where(F.col("k") >= max(2, n / 2500))
     kept = {r["w"] for r in words.collect()}
-    words = classes.select(F.explode(F.array_distinct(F.split("title", " "))).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= max(5, n / 1000))
-    share = {r["w"]: r["n"] / n for r in words.collect()}
-    names = classes.select(F.explode(F.split(F.regexp_replace("authors", r"\|", " "), " ")).alias("w")).where("length(w) > 2 and w not like '=%'")
-    sides = names.groupBy(F.regexp_replace("w", r"^\+", "").alias("name")).agg(F.count_if(F.col("w").startswith("+")).alias("m"), F.count_if(~F.col("w").startswith("+")).alias("k"))
-    before = classes.select(F.explode(F.split("authors", r"\|")).alias("a")).where("a like '%+%'").select(F.explode(F.split("a", " ")).alias("w")).where("length(w) > 2 and w not like '=%' and w not like '+%'").groupBy(F.col("w").alias("name")).agg(F.count("*").alias("k"))
-    given = sides.where(F.col("m") > n / 100_000).select("name", "m").join(before, "name", "left").where("m > 2 * coalesce(k, 0)").select("name")
-    kept |= {f"@{r['name']}" for r in sides.where(F.col("k") >= max(2, n / 2500)).select("name").collect()}
-    return trained_on_all(classes, kept), share, {r["name"] for r in given.collect()}, n, lasting(classes, {w for w in share if not any(w in small for small in SMALL.values())})
+    names = counts.where("kind = 2").select("w", "n", "m")
+    before = counts.where("kind = 3").select("w", F.col("n").alias("k"))
+    given = names.where(F.col("n") > n / 100_000).join(before, "w", "left").where("n > 2 * coalesce(k, 0)").select("w")
+    kept |= {f"@{r['w']}" for r in names.where(F.col("m") >= max(2, n / 2500)).select("w").collect()}
+    given = {r["w"] for r in given.collect()}
+    often, last = lasting(counts, max(5, n / 1000))
+    dropped(counts)
+    return trained_on_all(classes, kept), {w: k / n for w, k in often.items()}, given, n, last
 
 
 # ---- exact comparison ----
@@ -533,21 +588,26 @@ def learned(classes: DataFrame) -> tuple[dict[str, np.ndarray], dict[str, float]
 
 def tongue(words: list[str]) -> str:
     """The language whose small words are most frequent in a title."""
-    return max(SMALL, key=lambda code: sum(w in SMALL[code] for w in words))
+    small = [w for w in words if w in SMALLEST]
+    return max(SMALL, key=lambda code: sum(w in SMALL[code] for w in small))
 
 
 def _tally(short: list[str], long: list[str]) -> tuple[int, int]:
     """Words of ``short`` that ``long`` has too, as they are or with one slip, and words of ``long`` left over."""
-    left = Counter(long)
-    same, odd = 0, []
+    left: dict[str, int] = {}
+    for word in long:
+        left[word] = left.get(word, 0) + 1
+    odd = []
     for word in short:
-        if left[word] > 0:
+        if left.get(word, 0) > 0:
             left[word] -= 1
-            same += 1
         else:
             odd.append(word)
-    rest = list(left.elements())
-    for word in odd if len(odd) < 4 else []:
+    same = len(short) - len(odd)
+    if not 0 < len(odd) < 4:
+        return same, len(long) - same
+    rest = [word for word, n in left.items() for _ in range(n)]
+    for word in odd:
         if word.isdigit():
             continue
         for k, other in enumerate(rest):
@@ -578,26 +638,22 @@ def titles_agree(a: list[str], b: list[str]) -> str:
     return ""
 
 
-def _persons_agree(a: list[str], b: list[str], given: set[str]) -> bool:
+def _persons_agree(a: tuple, b: tuple) -> bool:
     """Whether two names can mean one person: a common surname, no clash of given names or initials."""
-    wa, wb = [w for w in a if w[0] != "="], [w for w in b if w[0] != "="]
-    ga, gb = ({NICKNAMES.get(w.lstrip("+"), w.lstrip("+")) for w in x if w[0] == "+" or w in given or w in NICKNAMES} for x in (wa, wb))
-    sa, sb = ([w for w in x if w[0] != "+" and w not in given and w not in NICKNAMES] for x in (wa, wb))
+    (ga, sa, ia), (gb, sb, ib) = a, b
     if not sa or not sb:
         return False
-    common = set(sa) & set(sb) or any(len(x) > 4 and _edits(x, y) == 1 for x in sa for y in sb)
-    if not common:
+    shared = len(set(sa) & set(sb))
+    if not shared and not any(len(x) > 4 and _edits(x, y) == 1 for x in sa for y in sb):
         return False
-    if len(sa) > 1 and len(sb) > 1 and len(set(sa) & set(sb)) < 2 and not all(any(x == y or _edits(x, y) == 1 for y in sb) for x in sa):
+    if len(sa) > 1 and len(sb) > 1 and shared < 2 and not all(any(x == y or _edits(x, y) == 1 for y in sb) for x in sa):
         return False
-    ia = {w[0] for w in ga} | set(a[-1][1:])
-    ib = {w[0] for w in gb} | set(b[-1][1:])
     if ga and gb and not (ga & gb) and not any(x.startswith(y) or y.startswith(x) or _edits(x, y) == 1 for x in ga for y in gb):
         return False
     return bool(not ia or not ib or ia & ib)
 
 
-def authors_agree(a: str, b: str, given: set[str]) -> float | None:
+def authors_agree(a: str, b: str, persons: dict[str, tuple]) -> float | None:
     """Share of the shorter list's authors found in the other, or None if a list is empty."""
     if not a or not b:
         return None
@@ -607,8 +663,8 @@ def authors_agree(a: str, b: str, given: set[str]) -> float | None:
     known = set(long)
     if known.issuperset(short):
         return 1.0
-    parts = [y.split(" ") for y in long]
-    return sum(x in known or any(_persons_agree(x.split(" "), y, given) for y in parts) for x in short) / len(short)
+    parts = [persons[y] for y in long]
+    return sum(x in known or any(_persons_agree(persons[x], y) for y in parts) for x in short) / len(short)
 
 
 def places_agree(space: Space, a: list[str], b: list[str]) -> str:
@@ -644,14 +700,14 @@ def _same_work(space: Space, a: tuple, b: tuple) -> str:
     if ma != mb and not (titles == "short" and (not ma and len(wa) < len(wb) or not mb and len(wb) < len(wa)) and gap == 0):
         return ""
     if not wa or not wb:
-        authors = authors_agree(na, nb, space.given)
+        authors = authors_agree(na, nb, space.persons)
         return "doi" if da and da == db and authors is not None and authors >= 0.5 and gap <= 2 else ""
     if not titles and len(wa) == len(wb) and sum(x == y for x, y in zip(wa, wb, strict=True)) > len(wa) - 2:
         return ""  # one other word: another work
     if titles and gap > (3 if titles == "same" else 2):
         return ""
     if titles:
-        authors = authors_agree(na, nb, space.given)
+        authors = authors_agree(na, nb, space.persons)
         if authors is None:
             if da and da == db:
                 return "doi"
@@ -663,7 +719,7 @@ def _same_work(space: Space, a: tuple, b: tuple) -> str:
     places = places_agree(space, space.rare(wa), space.rare(wb))
     if places == "same" and gap <= 2 or places == "near" and ya and yb and gap <= 1:
         common = len(set(wa) & set(wb)) / min(len(wa), len(wb))
-        authors = authors_agree(na, nb, space.given)
+        authors = authors_agree(na, nb, space.persons)
         if authors is not None and authors >= 0.75 and common < 0.75 and tongue(wa) != tongue(wb):
             return "translated"
     return ""
@@ -747,18 +803,19 @@ def features(space: Space, frame: pd.DataFrame) -> np.ndarray:
     for sums_a, has_a in ta:
         for sums_b, has_b in tb:
             both = has_a[ia] & has_b[ib]
-            best[both] = np.maximum(best[both], _cosines(sums_a[ia[both]], sums_b[ib[both]]))
+            best[both] = np.maximum(best[both], _cosines(sums_a, ia[both], sums_b, ib[both]))
     both = ha[ia] & hb[ib]
     people = np.zeros(len(frame))
-    people[both] = _cosines(va[ia[both]], vb[ib[both]])
+    people[both] = _cosines(va, ia[both], vb, ib[both])
     ya, yb = frame["year_a"].to_numpy(), frame["year_b"].to_numpy()
     gap = np.where((ya > 0) & (yb > 0), np.minimum(np.abs(ya - yb), 5), 1)
     return np.column_stack([best, people, both, gap])
 
 
-def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)
-    return (a * b).sum(axis=1) / np.where(norms == 0, 1, norms)
+def _cosines(a: np.ndarray, ia: np.ndarray, b: np.ndarray, ib: np.ndarray) -> np.ndarray:
+    """Cosines of the rows ``ia`` of ``a`` and ``ib`` of ``b``; sums of whole numbers are exact in any order."""
+    norms = np.sqrt(np.einsum("ij,ij->i", a, a)).take(ia) * np.sqrt(np.einsum("ij,ij->i", b, b)).take(ib)
+    return np.einsum("ij,ij->i", a.take(ia, axis=0), b.take(ib, axis=0)) / np.where(norms == 0, 1, norms)
 
 
 def calibrated(pairs: DataFrame, classes: DataFrame, sent: Sent) -> tuple[np.ndarray, float]:
@@ -829,7 +886,7 @@ def prepared(*tables: tuple[DataFrame, str, str]) -> tuple[DataFrame, DataFrame,
     shards = members.count() // SHARD + 1
     author = F.when(F.col("authors") != "", F.xxhash64(F.regexp_extract("authors", r"(\S+) =", 1))).otherwise(F.xxhash64("sig"))
     placed = members.withColumn("shard", F.pmod(author, F.lit(shards)).cast("int")).repartition(max(2 * spark.sparkContext.defaultParallelism, shards // 20), "shard")
-    classes = checkpointed(placed.groupBy("shard", "sig").agg(*(F.first(c).alias(c) for c in FIELDS), F.collect_set("side").alias("sides")).sortWithinPartitions("shard", "sig"))
+    classes = checkpointed(placed.groupBy("shard", "sig", *FIELDS).agg(*(F.max(F.when(F.col("side") == x, 1)).alias(x) for x in "lr")).select("shard", "sig", *FIELDS, F.array_compact(F.array(*(F.when(F.col(x) == 1, x) for x in "lr"))).alias("sides")).sortWithinPartitions("shard", "sig"))
     sent = Sent(spark, learned(classes), Space)
     return members.select("side", "id", "sig"), classes, sent, hashed(classes, sent)
 
@@ -842,7 +899,7 @@ def linked(papers: DataFrame, records: DataFrame, left_key: str = "seq", right_k
     """
     members, classes, sent, buckets = prepared((papers, left_key, "l"), (records, right_key, "r"))
     both = classes.where("size(sides) = 2").select(F.col("sig").alias("a"), F.col("sig").alias("b"))
-    scored = checkpointed(compared(checkpointed(candidates(buckets, True, checkpointed(hot_codes(classes, sent))).unionByName(both)), classes, sent))
+    scored = checkpointed(compared(small_hashed(candidates(buckets, True, checkpointed(hot_codes(classes, sent))).unionByName(both)), classes, sent))
     a = members.where("side = 'l'").select(F.col("id").alias(left_key), F.col("sig").alias("a"))
     b = members.where("side = 'r'").select(F.col("id").alias(right_key), F.col("sig").alias("b"))
     return scored.join(a, "a").join(b, "b").groupBy(left_key, right_key).agg(F.max("ground").alias("ground"), F.max("confidence").alias("confidence"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..tables import checkpointed
+from ..tables import checkpointed, small_hashed
 from .cuts import judged
 from .genuine import NO_PLACE, PLACEHOLDERS, listed
 from .matches import candidates, compared, hot_codes, prepared
@@ -22,7 +22,7 @@ OTHER_FILES = r"(licen[sc]|car[aá]tula|portada|cover|autorizaci|authori[sz]atio
 def works(papers: DataFrame, key: str = "seq", source_id: str = "id") -> DataFrame:
     """(key, work): rows of one work share ``work``. Rows delivered again under one source id belong together whatever else they say."""
     members, classes, sent, buckets = prepared((papers, key, "l"))
-    links = compared(checkpointed(candidates(buckets, False, checkpointed(hot_codes(classes, sent)))), classes, sent).select("a", "b")
+    links = compared(small_hashed(candidates(buckets, False, checkpointed(hot_codes(classes, sent)))), classes, sent).select("a", "b")
     ids = papers.where(F.col(source_id).isNotNull() & (F.trim(source_id) != "")).select(F.col(key).cast("long").alias("id"), F.col(source_id).alias("own"))
     own = members.join(ids, "id").groupBy("own", "sig").agg(F.lit(1).alias("one")).select("own", "sig")
     firsts = own.groupBy("own").agg(F.min("sig").alias("a"), F.max("sig").alias("z")).where("a <> z").drop("z")
@@ -38,8 +38,9 @@ def particular(university: Column) -> Column:
 
 def full_text(url: Column) -> Column:
     """Whether a link leads to the full text of the work, not to a page, cover, picture, licence or form."""
-    path = F.regexp_replace(F.trim(url), r"[?#].*$", "")
-    name = F.lower(F.regexp_extract(path, r"([^/]*)$", 1))
+    whole = F.trim(url)
+    path = F.when(whole.contains("?") | whole.contains("#"), F.regexp_replace(whole, r"[?#].*$", "")).otherwise(whole)
+    name = F.lower(F.substring_index(path, "/", -1))
     return F.coalesce(F.lower(F.trim(url)).rlike(r"^https?://") & name.endswith(".pdf") & ~name.rlike(OTHER_FILES), F.lit(False))
 
 

@@ -54,6 +54,17 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return found
 
 
+def small_hashed(frame: DataFrame) -> DataFrame:
+    """``checkpointed``, with joins by hash instead of by sorting where each task's share, as it was written, is under 32 MB; larger ones are sorted as ever."""
+    conf, name = frame.sparkSession.conf, "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    before = conf.get(name)
+    conf.set(name, "32m")
+    try:
+        return checkpointed(frame)
+    finally:
+        conf.set(name, before)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Removes tables of ``checkpointed`` that nothing reads any more."""
     for frame in frames:

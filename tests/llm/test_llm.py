@@ -516,6 +516,36 @@ def test_words_of_all_records_are_trained(spark):
     assert classes.count() == n and classes.select("sig").distinct().count() == n
 
 
+def test_words_and_names_are_counted_in_one_pass(spark, monkeypatch):
+    monkeypatch.setattr(matches, "FLUSH", 5)  # counts handed on many times add up
+    rows = [(k, ["gestion del agua en torbe", "the use of water in torbe", "agua agua y riego", ""][k % 4], ["", "water use"][k % 2], ["torbe +ana =A|lom =", "ana torbe =", "+ana =A", ""][k % 4]) for k in range(400)]
+    counts = matches.counted(spark.createDataFrame(rows, "k int, title string, other string, authors string").repartition(3))
+    found = {(r["kind"], r["code"], r["w"]): (r["n"], r["m"]) for r in counts.collect()}
+    assert counts.count() == len(found)
+    assert found[0, "es", ""] == (200, 0) and found[0, "en", ""] == (100, 0) and found[0, "es", "agua"] == (200, 0) and found[0, "en", "torbe"] == (100, 0)
+    assert found[1, "", "water"] == (100, 0) and found[1, "", "use"] == (100, 0)  # not where the first title has them
+    assert found[2, "", "ana"] == (200, 100) and found[2, "", "torbe"] == (0, 200) and found[2, "", "lom"] == (0, 100)
+    assert found[3, "", "torbe"] == (100, 0) and (3, "", "lom") not in found and (3, "", "ana") not in found
+    often, kept = matches.lasting(counts, 150)
+    assert often == {"agua": 200, "torbe": 200} and kept == set()
+
+
+def test_ends_of_texts_are_read_only_where_they_can_be():
+    drawn, parts = random.Random(5), [*"ab .\n<>/&;#\"“’'»-", "<b>", "</i>", "&nbsp;", "..."]
+    for _ in range(20_000):
+        text = "".join(drawn.choice(parts) for _ in range(drawn.randint(1, 9)))
+        whole = set()
+        clean = cuts.TAGS.sub(" ", text)
+        bare = cuts.TAIL.sub("", clean).rstrip()
+        marked = cuts._marked(cuts.LAST_TAGS.sub("", text)) or cuts._marked(bare)
+        stop = bare[-1:] in (".", "!", "?") and not cuts.LONE_DIGIT.search(bare[-8:])
+        assert cuts._read(text, whole)[0] == ("mark" if marked else "stop" if stop else "open")
+    before = cuts._tail.cache_info().hits
+    assert cuts.keys("Los datos de 2010 fueron analizados en Lima")[:2] == cuts.keys("Los datos de 2011 fueron analizados en Lima")[:2] and cuts._tail.cache_info().hits == before
+    cuts.keys("Los datos de 2010 fueron analizados en Lima")
+    assert cuts._tail.cache_info().hits == before + 1
+
+
 def test_the_curve_is_fitted_to_all_labelled_pairs(spark):
     title = "gestion del agua de riego en el valle de torbe durante la sequia"
     rows = [(k, f"{title} {k % 7}", [f"Torbe{k % 5}, Ana"], 2000, f"10.1000/x.{k // 2}") for k in range(320)]
